@@ -163,7 +163,9 @@ def keep(docs: DataFrame, text_col: str = "text", **limits: float) -> DataFrame:
 
     A column n_chars, where there is one, gets the new length.
     """
-    out = clean(docs, text_col, **limits).where("kept").withColumn(text_col, F.col("clean_text"))
+    # the id column keeps the filter above the projections, which it would otherwise repeat inside itself
+    out = clean(docs, text_col, **limits).withColumn("_row", F.monotonically_increasing_id())
+    out = out.where(F.col("kept") & (F.col("_row") >= 0)).withColumn(text_col, F.col("clean_text"))
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.length(text_col).cast(docs.schema["n_chars"].dataType))
     return out.select(*docs.columns)
