@@ -197,13 +197,15 @@ def _best(elements: list[Element]) -> Element:
 
 
 def leading(page: Page, most: int = 5) -> list[tuple[str, float]]:
-    """(path, share of the best score) of a page's ``most`` best paths."""
+    """(path, vote) of a page's ``most`` best paths: the share of the best score, sharpened so that a container that all
+    pages have, as body, doesn't win by being everywhere."""
     by_path: dict[str, float] = {}
     for e in page.containers:
-        by_path[e.path] = max(by_path.get(e.path, 0.0), score(e))
-    top = max(by_path.values())
+        if e.tag:
+            by_path[e.path] = max(by_path.get(e.path, 0.0), score(e))
+    top = max(by_path.values(), default=0.0)
     ranked = sorted(by_path.items(), key=lambda x: (-x[1], -x[0].count("/"), x[0]))[:most]
-    return [(p, s / top) for p, s in ranked if top > 0]
+    return [(p, (s / top) ** 8) for p, s in ranked if top > 0]
 
 
 def text_at(page: Page, path: str | None) -> str:
