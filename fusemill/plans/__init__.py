@@ -1 +1,3 @@
-"""See README: plans."""
+"""The registered queries; importing this package fills the registry."""
+
+from fusemill.plans import graph_queries, ranking_queries, relational_queries, text_queries  # noqa: F401
