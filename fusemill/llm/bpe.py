@@ -134,7 +134,8 @@ class Codec:
 
     def _need(self, parts: list[bytes | str]) -> None:
         need = {p for p in parts if isinstance(p, bytes)}
-        new = need - self.ids.keys()
+        ids = self.ids
+        new = {p for p in need if p not in ids}  # not a difference with the keys, which would walk the whole table
         if new:
             if len(self.ids) + len(new) > CACHE:  # the table starts anew with all that this text needs
                 new = need
