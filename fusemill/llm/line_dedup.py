@@ -28,8 +28,9 @@ VARIABLE = "<*>"
 
 def tokens_of(line: Column) -> Column:
     """Tokens of a line; a token with a digit is a variable field."""
-    masked = F.regexp_replace(line, rf"[^{ASCII_SPACE}]*\d[^{ASCII_SPACE}]*", VARIABLE)
-    return F.array_remove(F.split(masked, f"[{ASCII_SPACE}]+"), "")
+    # from the start of a token on, without going back: linear in the line
+    masked = F.regexp_replace(line, rf"(?<![^{ASCII_SPACE}])[^{ASCII_SPACE}\d]*+\d[^{ASCII_SPACE}]*+", VARIABLE)
+    return F.array_remove(F.split(F.when(line.rlike(r"\d"), masked).otherwise(line), f"[{ASCII_SPACE}]+"), "")
 
 
 def _key(id_col: str, text_col: str) -> dict[str, Column]:
@@ -44,14 +45,19 @@ def _lines(docs: DataFrame, id_col: str, text_col: str, depth: int, min_tokens:
     return made.select("_id", "_text", "no", "toks", leaf.alias("leaf"), F.xxhash64(F.array_join("toks", " ")).alias("line"))
 
 
-def recurring(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", depth: int = 3, min_tokens: int = 4, min_docs: int = 3, min_constant: float = 0.6) -> DataFrame:
-    """leaf, line, template: the hashes of the distinct lines whose template recurs."""
-    lines = _lines(docs, id_col, text_col, depth, min_tokens)
-    light = lines.select("leaf", "_text")
-    shared = cut(light.groupBy("leaf").agg(F.min("_text").alias("a"), F.max("_text").alias("b")).where("a < b").select("leaf"))
-    inside = lines.join(shared, "leaf", "left_semi")
-    by_doc = inside.groupBy("leaf", "line", "_text").agg(F.first("toks").alias("toks"))
-    distinct = cut(by_doc.groupBy("leaf", "line").agg(F.first("toks").alias("toks"), F.count(F.lit(1)).alias("docs")))
+def recurring(
+    lines: DataFrame, places: DataFrame, min_docs: int = 3, min_constant: float = 0.6
+) -> DataFrame:
+    """leaf, line, template: the hashes of the distinct lines whose template recurs.
+
+    lines: what _lines gives; places: the same without the tokens, written once.
+    """
+    shared = cut(places.groupBy("leaf").agg(F.min("_text").alias("a"), F.max("_text").alias("b")).where("a < b").select("leaf"))
+    by_doc = places.join(shared, "leaf", "left_semi").groupBy("leaf", "line", "_text").agg(F.lit(1).alias("one"))
+    docs = cut(by_doc.groupBy("leaf", "line").agg(F.count(F.lit(1)).alias("docs")))
+    # tokens of the distinct lines of shared leaves only
+    toks = lines.select("leaf", "line", "toks").join(docs.select("leaf", "line"), ["leaf", "line"], "left_semi")
+    distinct = cut(toks.groupBy("leaf", "line").agg(F.first("toks").alias("toks")).join(docs, ["leaf", "line"]))
     placed = distinct.select("leaf", "line", "docs", F.posexplode("toks").alias("at", "tok"))
     often = placed.groupBy("leaf", "at", "tok").agg(F.sum("docs").alias("n")).where((F.col("n") >= min_docs) & (F.col("tok") != VARIABLE)).select("leaf", "at", "tok", F.lit(True).alias("fixed"))
     marked = placed.join(often, ["leaf", "at", "tok"], "left")
@@ -65,8 +71,9 @@ def recurring(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", d
 
 def dropped_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", depth: int = 3, min_tokens: int = 4, **limits) -> DataFrame:
     """_id, _text, drop: the line numbers (from 0) that a document loses, for the documents that lose any."""
-    again = cut(recurring(docs, id_col, text_col, depth, min_tokens, **limits))
-    places = _lines(docs, id_col, text_col, depth, min_tokens).select("_id", "_text", "no", "leaf", "line")
+    lines = _lines(docs, id_col, text_col, depth, min_tokens)
+    places = cut(lines.select("_id", "_text", "no", "leaf", "line"))
+    again = cut(recurring(lines, places, **limits))
     seen = cut(places.join(again, ["leaf", "line"]).select("_id", "_text", "no", "template"))
     first = seen.groupBy("template").agg(F.min(F.struct("_id", "no")).alias("first"))
     later = seen.join(first, "template").where(~F.struct("_id", "no").eqNullSafe(F.col("first")))
