@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,6 +29,9 @@ CACHE = 200_000
 RESULT = "struct<n_tokens:bigint,ids:array<int>,decoded:string>"
 DIGEST = "struct<n_tokens:bigint,ids_sha256:string,decoded_sha256:string>"
 
+#: White space past the first byte, other white space or an apostrophe at the start, or any byte of non-ASCII white space.
+_UNSAFE = re.compile(rb"^['\x00-\x1f]|.[\x00-\x20]|^ ?$|\xc2[\x85\xa0]|\xe1\x9a\x80|\xe2\x80|\xe2\x81\x9f|\xe3\x80\x80", re.S)
+
 _space_ends: dict[int, tuple[bytes, ...]] = {
     2: (b"\xc2\x85", b"\xc2\xa0"),
     3: (b"\xe1\x9a\x80", b"\xe2\x80\xa8", b"\xe2\x80\xa9", b"\xe2\x80\xaf", b"\xe2\x81\x9f", b"\xe3\x80\x80"),
@@ -66,8 +70,10 @@ class Codec:
         self.cuttable[:, 0x80:0xC0] = False  # inside a character
         self.cuttable[:0x21, :] = False  # after white space (and other control characters)
         self.cuttable = self.cuttable.reshape(-1)
-        self.known: dict[bytes, tuple[int, bytes, bytes]] = {}
-        self.ids: dict[bytes, list[int]] = {}
+        self.spelled = {i: b"%d" % i for i in self.bytes_of}
+        self.line_feed = self.library.encode("\n", add_special_tokens=False).ids[0]
+        self.fixed: dict[bytes | str, tuple[bytes, bytes, list[int]]] = {x: (self.spelled[i], self.bytes_of[i], [i]) for x, i in self.special.items()}
+        self.known, self.older = dict(self.fixed), {}
 
     def cuts(self, data: np.ndarray) -> np.ndarray:
         """Places k such that data[:k] and data[k:] may be encoded apart."""
@@ -89,20 +95,8 @@ class Codec:
 
     def fragments(self, text: str) -> list[bytes | str]:
         """Pieces of the text in order; a special token is a str, anything else UTF-8."""
-        pieces: list[bytes | str] = [text]
-        for content in self.special:
-            if content not in text:
-                continue
-            split: list[bytes | str] = []
-            for p in pieces:
-                if p in self.special:
-                    split.append(p)
-                    continue
-                for k, part in enumerate(p.split(content)):
-                    split += [content] * (k > 0) + [part] * bool(part)
-            pieces = split
         out: list[bytes | str] = []
-        for p in pieces:
+        for p in self._around_special(text):
             if p in self.special:
                 out.append(p)
                 continue
@@ -111,36 +105,66 @@ class Codec:
             out += [raw[a:b] for a, b in zip(edges, edges[1:], strict=False) if a < b]
         return out
 
-    def learn(self, fragments: set[bytes]) -> None:
-        """Encode fragments that aren't known yet, each on its own."""
-        if len(self.ids) + len(fragments) > CACHE:
-            self.ids, self.known = {}, {}
-        order = list(fragments)
-        for raw, e in zip(order, self.library.encode_batch_fast([x.decode() for x in order], add_special_tokens=False), strict=True):
-            ids = e.ids
-            self.ids[raw] = ids
-            self.known[raw] = (len(ids), b",".join(b"%d" % i for i in ids), b"".join(map(self.bytes_of.__getitem__, ids)))
+    def _around_special(self, text: str) -> list[str]:
+        pieces = [text] if text else []
+        for content in self.special:
+            if content in text:
+                split: list[str] = []
+                for p in pieces:
+                    for k, part in enumerate(p.split(content)) if p not in self.special else [(0, p)]:
+                        split += [content] * (k > 0) + [part] * bool(part)
+                pieces = split
+        return pieces
+
+    def _learn(self, fragments: list[bytes]) -> None:
+        """Encode fragments that aren't known yet, each on its own.
+
+        A fragment without white space but for one leading space is closed off by a line feed on either side, so that
+        many of them can go to the library in one call; the others go one by one.
+        """
+        plain = [x for x in fragments if not _UNSAFE.search(x)]
+        if plain:
+            ids = self.library.encode("\n" + b"\n".join(plain).decode() + "\n", add_special_tokens=False).ids
+            at = np.flatnonzero(np.array(ids) == self.line_feed).tolist()
+            if len(at) != len(plain) + 1:
+                raise AssertionError("a fragment was not closed off by its line feeds")
+            for raw, a, b in zip(plain, at, at[1:], strict=False):
+                self._keep(raw, ids[a + 1 : b])
+        rest = [x for x in fragments if _UNSAFE.search(x)]
+        for raw, e in zip(rest, self.library.encode_batch_fast([x.decode() for x in rest], add_special_tokens=False), strict=True):
+            self._keep(raw, e.ids)
+
+    def _keep(self, raw: bytes, ids: list[int]) -> None:
+        self.known[raw] = (b",".join([self.spelled[i] for i in ids]), b"".join([self.bytes_of[i] for i in ids]), ids)
+
+    def lookup(self, parts: list[bytes | str]) -> dict[bytes | str, tuple[bytes, bytes, list[int]]]:
+        """Table that holds all ``parts``: decimal ids, decoded bytes, ids."""
+        known = self.known
+        new = [p for p in set(parts) if p not in known]
+        if new:
+            older = self.older
+            unseen = []
+            for p in new:
+                if p in older:
+                    known[p] = older[p]
+                else:
+                    unseen.append(p)
+            if unseen:
+                self._learn(unseen)
+        return known
+
+    def _rest(self) -> None:
+        """When the table is full it becomes the older one; what recurs comes back from there."""
+        if len(self.known) > CACHE:
+            self.older, self.known = self.known, dict(self.fixed)
 
     def encode(self, text: str | None) -> list[int]:
         parts = self.fragments(text or "")
-        self._need(parts)
-        out: list[int] = []
-        for p in parts:
-            if isinstance(p, str):
-                out.append(self.special[p])
-            else:
-                out += self.ids[p]
+        known = self.lookup(parts)
+        out = [i for p in parts for i in known[p][2]]
+        self._rest()
         return out
 
-    def _need(self, parts: list[bytes | str]) -> None:
-        need = {p for p in parts if isinstance(p, bytes)}
-        ids = self.ids
-        new = {p for p in need if p not in ids}  # not a difference with the keys, which would walk the whole table
-        if new:
-            if len(self.ids) + len(new) > CACHE:  # the table starts anew with all that this text needs
-                new = need
-            self.learn(new)
-
     def decode(self, ids: list[int]) -> str:
         """Text of the ids, special tokens included; bytes that are no UTF-8 become U+FFFD."""
         return b"".join(map(self.bytes_of.__getitem__, ids)).decode("utf-8", "replace")
@@ -148,12 +172,12 @@ class Codec:
     def digest(self, text: str | None) -> tuple[int, str, str]:
         """Number of ids, hash of the ids and hash of the decoded text, fragment by fragment."""
         parts = self.fragments(text or "")
-        self._need(parts)
-        known = self.known
-        found = [known[p] if isinstance(p, bytes) else (1, b"%d" % self.special[p], p.encode()) for p in parts]
-        n = sum(x[0] for x in found)
-        decoded = b"".join([x[2] for x in found]).decode("utf-8", "replace")
-        return n, hashlib.sha256(b",".join([x[1] for x in found])).hexdigest(), hashlib.sha256(decoded.encode()).hexdigest()
+        known = self.lookup(parts)
+        found = [known[p] for p in parts]
+        ids = b",".join([x[0] for x in found])
+        decoded = b"".join([x[1] for x in found]).decode("utf-8", "replace").encode()
+        self._rest()
+        return ids.count(b",") + 1 if ids else 0, hashlib.sha256(ids).hexdigest(), hashlib.sha256(decoded).hexdigest()
 
 
 _codecs: dict[str, Codec] = {}
