@@ -51,7 +51,13 @@ class Index:
     replicas: int
 
     def search(self, x: np.ndarray, width: int, beam: int = 8) -> tuple[np.ndarray, np.ndarray]:
-        """Nearest ``width`` centroids of unit rows ``x`` by beam search over the graph: ids (-1: none) and distances."""
+        """Nearest ``width`` centroids of unit rows ``x`` by beam search over the graph: ids (-1: none) and distances.
+
+        Rows go in small blocks: a step of the beam gathers some 14,000 numbers for each row.
+        """
+        if len(x) > 256:
+            parts = [self.search(x[a : a + 256], width, beam) for a in range(0, len(x), 256)]
+            return np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
         n, lists = len(x), len(self.centroids)
         width = min(width, lists)
         sims = np.full((n, lists), -np.inf)
