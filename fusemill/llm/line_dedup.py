@@ -9,7 +9,7 @@ id, then line number) stays; all others are dropped.
 Documents of exactly the same text count once, so that copies alone make nothing recur; they lose lines as one.
 
 Scale: the tree is a grouping by hashes. Leaves that only one text reaches go first, on rows of five numbers; only lines of shared leaves have
-their tokens counted, and each distinct line once. No leaf, template or document group is gathered in one task: all steps are partial
+their tokens counted, each distinct line once, read from one document that holds it. No leaf, template or document group is gathered in one task: all steps are partial
 aggregates and joins that AQE may split; the list of a document's dropped lines is as long as the document at most.
 
 Defined results: null text stays null, and has no lines; lines with fewer than ``min_tokens`` tokens always stay; null ids order first; rows of the same
@@ -37,43 +37,68 @@ def _key(id_col: str, text_col: str) -> dict[str, Column]:
     return {"_id": F.col(id_col), "_text": F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))}
 
 
-def _lines(docs: DataFrame, id_col: str, text_col: str, depth: int, min_tokens: int) -> DataFrame:
-    """_id, _text (hash), no, toks, leaf, line (hash): the lines of enough tokens."""
+def _leaf(toks: Column, depth: int) -> Column:
+    return F.xxhash64(F.size(toks), *[F.get(toks, F.lit(k)) for k in range(depth)])
+
+
+def _line(toks: Column) -> Column:
+    return F.xxhash64(F.array_join(toks, " "))
+
+
+def _places(docs: DataFrame, id_col: str, text_col: str, depth: int, min_tokens: int) -> DataFrame:
+    """_id, _text (hash), no, leaf, line (hash): the lines of enough tokens."""
     made = docs.select(*[c.alias(k) for k, c in _key(id_col, text_col).items()], F.posexplode(F.split(F.col(text_col), "\n")).alias("no", "raw"))
     made = made.withColumn("toks", tokens_of(F.col("raw"))).where(F.size("toks") >= min_tokens)
-    leaf = F.xxhash64(F.size("toks"), *[F.get("toks", F.lit(k)) for k in range(depth)])
-    return made.select("_id", "_text", "no", "toks", leaf.alias("leaf"), F.xxhash64(F.array_join("toks", " ")).alias("line"))
+    return made.select("_id", "_text", "no", _leaf(F.col("toks"), depth).alias("leaf"), _line(F.col("toks")).alias("line"))
+
+
+def _spelled(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """leaf, line, docs, toks of the ``wanted`` lines, each read from the one document that ``wanted`` names.
+
+    The whole texts are shuffled once, by document; only wanted lines are parsed again.
+    """
+    need = wanted.groupBy("_id", "_text").agg(F.collect_list(F.struct("no", "leaf", "line", "docs")).alias("need"))
+    need = need.withColumnsRenamed({"_id": "_need_id", "_text": "_need_text"})
+    texts = docs.where(F.col(text_col).isNotNull()).select(*[c.alias(k) for k, c in _key(id_col, text_col).items()], F.col(text_col).alias("_whole"))
+    met = texts.join(need, F.col("_id").eqNullSafe(F.col("_need_id")) & (F.col("_text") == F.col("_need_text")))
+    # the split text passes the generator as a column, so that a text is split once
+    each = met.select(F.split("_whole", "\n").alias("all"), "need").select("all", F.explode("need").alias("n"))
+    read = each.select("n.leaf", "n.line", "n.docs", tokens_of(F.get("all", F.col("n.no"))).alias("toks"))
+    # rows of the same id and text bring a line more than once
+    return read.groupBy("leaf", "line").agg(F.first("docs").alias("docs"), F.first("toks").alias("toks"))
 
 
 def recurring(
-    lines: DataFrame, places: DataFrame, min_docs: int = 3, min_constant: float = 0.6
+    docs: DataFrame, places: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_docs: int = 3, min_constant: float = 0.6
 ) -> DataFrame:
     """leaf, line, template: the hashes of the distinct lines whose template recurs.
 
-    lines: what _lines gives; places: the same without the tokens, written once.
+    places: what _places gives, written once.
     """
     shared = cut(places.groupBy("leaf").agg(F.min("_text").alias("a"), F.max("_text").alias("b")).where("a < b").select("leaf"))
-    by_doc = places.join(shared, "leaf", "left_semi").groupBy("leaf", "line", "_text").agg(F.lit(1).alias("one"))
-    docs = cut(by_doc.groupBy("leaf", "line").agg(F.count(F.lit(1)).alias("docs")))
-    # tokens of the distinct lines of shared leaves only
-    toks = lines.select("leaf", "line", "toks").join(docs.select("leaf", "line"), ["leaf", "line"], "left_semi")
-    distinct = cut(toks.groupBy("leaf", "line").agg(F.first("toks").alias("toks")).join(docs, ["leaf", "line"]))
-    placed = distinct.select("leaf", "line", "docs", F.posexplode("toks").alias("at", "tok"))
-    often = placed.groupBy("leaf", "at", "tok").agg(F.sum("docs").alias("n")).where((F.col("n") >= min_docs) & (F.col("tok") != VARIABLE)).select("leaf", "at", "tok", F.lit(True).alias("fixed"))
-    marked = placed.join(often, ["leaf", "at", "tok"], "left")
-    field = F.struct("at", F.when(F.col("fixed"), F.col("tok")).otherwise(VARIABLE).alias("t"))
-    spelled = marked.groupBy("leaf", "line").agg(F.sort_array(F.collect_list(field)).alias("f"), F.first("docs").alias("docs"), F.avg(F.col("fixed").isNotNull().cast("int")).alias("constant"))
-    spelled = spelled.where(F.col("constant") >= min_constant).select("leaf", "line", "docs", F.xxhash64("leaf", F.array_join(F.transform("f", lambda x: x["t"]), " ")).alias("template"))
-    spelled = cut(spelled)
+    # documents of one text have a line at the same places, so the smallest of each belong together
+    by_text = places.join(shared, "leaf", "left_semi").groupBy("leaf", "line", "_text").agg(F.min("_id").alias("_id"), F.min("no").alias("no"))
+    one = [F.min_by(c, "_text").alias(c) for c in ("_id", "no")]
+    counted = cut(by_text.groupBy("leaf", "line").agg(F.count(F.lit(1)).alias("docs"), *one, F.min("_text").alias("_text")))
+    # a leaf with fewer lines than min_docs, each counted once a text, holds no template of so many documents
+    full = counted.groupBy("leaf").agg(F.sum("docs").alias("n")).where(F.col("n") >= min_docs).select("leaf")
+    distinct = cut(_spelled(docs, counted.join(full, "leaf", "left_semi"), id_col, text_col))
+    placed = distinct.select("leaf", "line", "docs", F.posexplode("toks").alias("at", "tok")).where(F.col("tok") != VARIABLE)
+    placed = placed.select("leaf", "line", "docs", "at", F.xxhash64("leaf", "at", "tok").alias("slot"))
+    often = placed.groupBy("slot").agg(F.sum("docs").alias("n")).where(F.col("n") >= min_docs).select("slot")
+    fixed = placed.select("leaf", "line", "at", "slot").join(often, "slot", "left_semi").groupBy("leaf", "line").agg(F.collect_set("at").alias("fixed"))
+    met = distinct.join(fixed, ["leaf", "line"], "left").withColumn("fixed", F.coalesce("fixed", F.array().cast("array<int>")))
+    met = met.where(F.size("fixed") / F.size("toks") >= min_constant)
+    marked = F.transform("toks", lambda t, i: F.when(F.array_contains("fixed", i), t).otherwise(VARIABLE))
+    spelled = cut(met.select("leaf", "line", "docs", F.xxhash64("leaf", F.array_join(marked, " ")).alias("template")))
     enough = spelled.groupBy("template").agg(F.sum("docs").alias("n")).where(F.col("n") >= min_docs).select("template")
     return spelled.join(enough, "template", "left_semi").select("leaf", "line", "template")
 
 
 def dropped_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", depth: int = 3, min_tokens: int = 4, **limits) -> DataFrame:
     """_id, _text, drop: the line numbers (from 0) that a document loses, for the documents that lose any."""
-    lines = _lines(docs, id_col, text_col, depth, min_tokens)
-    places = cut(lines.select("_id", "_text", "no", "leaf", "line"))
-    again = cut(recurring(lines, places, **limits))
+    places = cut(_places(docs, id_col, text_col, depth, min_tokens))
+    again = cut(recurring(docs, places, id_col, text_col, **limits))
     seen = cut(places.join(again, ["leaf", "line"]).select("_id", "_text", "no", "template"))
     first = seen.groupBy("template").agg(F.min(F.struct("_id", "no")).alias("first"))
     later = seen.join(first, "template").where(~F.struct("_id", "no").eqNullSafe(F.col("first")))
