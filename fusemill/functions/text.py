@@ -34,7 +34,7 @@ def contains_normalized(haystack: Column, needle: Column) -> Column:
 
 def answer_form(text: Column) -> Column:
     """Lower case; articles go before punctuation does; white space collapsed."""
-    out = F.regexp_replace(F.lower(text), r"\b(a|an|the)\b", " ")
+    out = F.regexp_replace(F.lower(text), r"(?<![\p{L}\p{N}_])(a|an|the)(?![\p{L}\p{N}_])", " ")
     return collapse(F.regexp_replace(out, r"[!-/:-@\[-`{-~]", ""))
 
 

@@ -33,15 +33,18 @@ def top_k(hits: DataFrame, k: int, *keys: str) -> DataFrame:
     return rank(hits, *keys).where(F.col("rank") < k)
 
 
+def checked_broadcast(queries: DataFrame) -> DataFrame:
+    """Broadcast ``queries`` while they are at most QUERY_LIMIT rows, which is counted; leave more to Spark's own choice."""
+    return F.broadcast(queries) if queries.limit(QUERY_LIMIT + 1).count() <= QUERY_LIMIT else queries
+
+
 def dense_search(queries: DataFrame, corpus: DataFrame, k: int, threshold: float | None = None) -> DataFrame:
     """Exact inner-product top k. queries: question_id, q_vec; corpus: chunk_id, vec.
 
     The stated queries go to every row of the corpus: they are broadcast while they are at most QUERY_LIMIT, which is checked; more are joined in
     blocks by Spark's own choice. Scores are rounded to 6 places before ranking, so that engines agree on ties.
     """
-    small = queries.limit(QUERY_LIMIT + 1).count() <= QUERY_LIMIT
-    side = F.broadcast(queries) if small else queries
-    scored = corpus.join(side, F.lit(True)).select("question_id", "chunk_id", F.round(dot(F.col("vec"), F.col("q_vec")), 6).alias("score"))
+    scored = corpus.join(checked_broadcast(queries), F.lit(True)).select("question_id", "chunk_id", F.round(dot(F.col("vec"), F.col("q_vec")), 6).alias("score"))
     if threshold is not None:
         scored = scored.where(F.col("score") >= threshold)
     return top_k(scored, k)

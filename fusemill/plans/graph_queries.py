@@ -1,5 +1,5 @@
 """Graph queries over ``lineitem``: parts are entities, orders chunks; a part is related to the suppliers' other parts through
-``supplied_with`` pairs of one order (line numbers next to each other)."""
+``next_to`` pairs of one order (line numbers next to each other). Searches start from every part whose key is divisible by 100, over the whole graph."""
 
 from __future__ import annotations
 
@@ -11,9 +11,9 @@ from fusemill.registry import register
 from fusemill.sources.tables import table
 
 _EDGES = """
-app AS (SELECT DISTINCT l_partkey AS entity, l_orderkey AS chunk_id FROM lineitem WHERE l_orderkey < 400),
+app AS (SELECT DISTINCT l_partkey AS entity, l_orderkey AS chunk_id FROM lineitem),
 rel AS (SELECT a.l_partkey AS subj, 'next_to' AS pred, b.l_partkey AS obj, count(*) AS support, count(DISTINCT a.l_orderkey) AS chunks
-        FROM lineitem a JOIN lineitem b ON a.l_orderkey = b.l_orderkey AND b.l_linenumber = a.l_linenumber + 1 WHERE a.l_orderkey < 400 AND b.l_orderkey < 400 GROUP BY 1, 2, 3)"""
+        FROM lineitem a JOIN lineitem b ON a.l_orderkey = b.l_orderkey AND b.l_linenumber = a.l_linenumber + 1 GROUP BY 1, 2, 3)"""
 _DEGREES = """
 ap AS (SELECT entity, count(*) AS appearances FROM app GROUP BY 1),
 rd AS (SELECT entity, count(*) AS rel_degree FROM (SELECT unnest([subj, obj]) AS entity FROM (SELECT DISTINCT subj, obj FROM rel)) GROUP BY 1),
@@ -33,7 +33,7 @@ def _step(k: int) -> str:
     return f"m{k} AS (SELECT node, sum(m) AS mass FROM (SELECT dst AS node, 0.85 * p * mass AS m FROM mv JOIN m{k - 1} ON src = node UNION ALL SELECT node, 0.15 * mass FROM m0) GROUP BY 1)"
 
 
-_SEED = "m0 AS (SELECT 'E:' || entity AS node, 1.0 / count(*) OVER () AS mass FROM (SELECT DISTINCT entity FROM app WHERE entity % 50 = 0))"
+_SEED = "m0 AS (SELECT 'E:' || entity AS node, 1.0 / count(*) OVER () AS mass FROM (SELECT DISTINCT entity FROM app WHERE entity % 100 = 0))"
 _RANK = [_SEED, _step(1), _step(2), _step(3)]
 
 
@@ -42,7 +42,7 @@ def _sql(*parts, select):
 
 
 def edges(spark, sf_dir):
-    li = table(spark, sf_dir, "lineitem").where("l_orderkey < 400").select("l_orderkey", "l_partkey", "l_linenumber")
+    li = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", "l_linenumber")
     chunks = li.groupBy(F.col("l_orderkey").alias("chunk_id")).agg(F.collect_list("l_partkey").alias("entities"))
     nxt = li.select(F.col("l_orderkey").alias("o2"), F.col("l_partkey").alias("obj"), (F.col("l_linenumber") - 1).alias("n2"))
     pairs = li.join(nxt, (F.col("l_orderkey") == F.col("o2")) & (F.col("l_linenumber") == F.col("n2")))
@@ -96,7 +96,7 @@ def transition_row_sums(spark, sf_dir):
 
 def _ranked(spark, sf_dir):
     appears, rel = edges(spark, sf_dir)
-    seeds = graph.normalise(appears.where("entity % 50 = 0").select(F.concat(F.lit("E:"), F.col("entity").cast("string")).alias("node")).distinct().withColumn("mass", F.lit(1.0)), "mass", F.lit(0))
+    seeds = graph.normalise(appears.where("entity % 100 = 0").select(F.concat(F.lit("E:"), F.col("entity").cast("string")).alias("node")).distinct().withColumn("mass", F.lit(1.0)), "mass", F.lit(0))
     return graph.pagerank(graph.transitions(appears, rel), seeds)
 
 
@@ -113,7 +113,7 @@ def ppr_rank_chunks(spark, sf_dir):
 
 _HOPS = """
 st AS (SELECT DISTINCT entity AS start FROM app WHERE entity % 100 = 0),
-fit AS (SELECT entity FROM dg WHERE rel_degree <= 30),
+fit AS (SELECT entity FROM dg WHERE rel_degree <= 250),
 nb AS (SELECT subj AS a, obj AS b, support FROM rel UNION ALL SELECT obj, subj, support FROM rel),
 h1 AS (SELECT start, b AS node, [start, b] AS path, support FROM st JOIN fit ON start = entity JOIN nb ON a = start WHERE b <> start),
 h2 AS (SELECT start, b AS node, list_append(path, b) AS path, nb.support FROM h1 JOIN fit ON node = entity JOIN nb ON a = node WHERE NOT list_contains(path, b))"""
@@ -127,15 +127,15 @@ def _start(appears):
 @register("paths_1hop", _sql(_EDGES, _DEGREES, _HOPS, select="SELECT start, node, support FROM h1"))
 def paths_1hop(spark, sf_dir):
     appears, rel = edges(spark, sf_dir)
-    return graph.hop(_start(appears), rel, graph.degrees(appears, rel), 30).select("start", "node", "support")
+    return graph.hop(_start(appears), rel, graph.degrees(appears, rel)).select("start", "node", "support")
 
 
 @register("paths_2hop", _sql(_EDGES, _DEGREES, _HOPS, select="SELECT start, path[2] AS via, node, support FROM h2"))
 def paths_2hop(spark, sf_dir):
     appears, rel = edges(spark, sf_dir)
     d = graph.degrees(appears, rel)
-    one = graph.hop(_start(appears), rel, d, 30).drop("support")
-    return graph.hop(one, rel, d, 30).select("start", F.get("path", F.lit(1)).alias("via"), "node", "support")
+    one = graph.hop(_start(appears), rel, d).drop("support")
+    return graph.hop(one, rel, d).select("start", F.get("path", F.lit(1)).alias("via"), "node", "support")
 
 
 @register("scope_cap", _sql(_EDGES, _DEGREES, select="SELECT entity, rel_degree FROM dg QUALIFY row_number() OVER (ORDER BY rel_degree DESC, entity) <= 256"))

@@ -1,4 +1,4 @@
-"""Search, fusion, sweep, metric and curve queries over ``embeddings``: vectors of id below 20 ask, the others are the corpus.
+"""Search, fusion, sweep, metric and curve queries over ``embeddings``: vectors whose id is divisible by 100 ask, all vectors are the corpus.
 
 The second branch ranks by the cosine to the centroid of the question's label; a chunk is relevant if it has the question's label.
 """
@@ -16,8 +16,8 @@ K = 20
 
 # The same branches in SQL, for the oracles.
 _BRANCHES = """
-q AS (SELECT vec_id AS question_id, embedding::DOUBLE[] AS v, label AS q_label FROM embeddings WHERE vec_id < 20),
-c AS (SELECT vec_id AS chunk_id, embedding::DOUBLE[] AS v, label FROM embeddings WHERE vec_id >= 20),
+q AS (SELECT vec_id AS question_id, embedding::DOUBLE[] AS v, label AS q_label FROM embeddings WHERE vec_id % 100 = 0),
+c AS (SELECT vec_id AS chunk_id, embedding::DOUBLE[] AS v, label FROM embeddings),
 d0 AS (SELECT question_id, chunk_id, round(list_inner_product(c.v, q.v), 6) AS score FROM q, c),
 dense AS (SELECT question_id, chunk_id, score FROM d0 QUALIFY row_number() OVER (PARTITION BY question_id ORDER BY score DESC, chunk_id) <= 20),
 ctr AS (SELECT label, list(m ORDER BY pos) AS v FROM (SELECT label, pos, avg(x) AS m FROM (SELECT label, unnest(v) AS x, generate_subscripts(v, 1) AS pos FROM c) GROUP BY 1, 2) GROUP BY 1),
@@ -49,8 +49,8 @@ def _sql(*parts: str, select: str) -> str:
 
 def _sides(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     e = table(spark, sf_dir, "embeddings")
-    q = e.where("vec_id < 20").select(F.col("vec_id").alias("question_id"), F.col("embedding").alias("q_vec"), F.col("label").alias("q_label"))
-    return q, e.where("vec_id >= 20").select(F.col("vec_id").alias("chunk_id"), F.col("embedding").alias("vec"), "label")
+    q = e.where("vec_id % 100 = 0").select(F.col("vec_id").alias("question_id"), F.col("embedding").alias("q_vec"), F.col("label").alias("q_label"))
+    return q, e.select(F.col("vec_id").alias("chunk_id"), F.col("embedding").alias("vec"), "label")
 
 
 def branches(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
@@ -59,7 +59,7 @@ def branches(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, Da
     dense = ranking.dense_search(q.drop("q_label"), c.drop("label"), K).drop("rank")
     parts = c.select("label", F.posexplode("vec").alias("pos", "x")).groupBy("label", "pos").agg(F.avg(F.col("x").cast("double")).alias("m"))
     centers = parts.groupBy(F.col("label").alias("q_label")).agg(F.transform(F.sort_array(F.collect_list(F.struct("pos", "m"))), lambda p: p["m"]).alias("center"))
-    asked = F.broadcast(q.join(centers, "q_label").select("question_id", "center"))
+    asked = ranking.checked_broadcast(q.join(centers, "q_label").select("question_id", "center"))
     scored = c.join(asked, F.lit(True)).select("question_id", "chunk_id", F.round(ranking.cosine(F.col("vec"), F.col("center")), 6).alias("score"))
     return q, c, dense, ranking.top_k(scored, K).drop("rank")
 
@@ -68,7 +68,7 @@ def _scored(spark: SparkSession, sf_dir: str) -> DataFrame:
     """question_id, bin, w, objective: NDCG@10 of the fused list at each weight."""
     q, c, dense, graph = branches(spark, sf_dir)
     fused = ranking.sweep(dense, graph, K)
-    rel = fused.join(F.broadcast(q.select("question_id", "q_label")), "question_id").join(c.select("chunk_id", "label"), "chunk_id")
+    rel = fused.join(q.select("question_id", "q_label"), "question_id").join(c.select("chunk_id", "label"), "chunk_id")
     rel = rel.withColumn("rel", (F.col("label") == F.col("q_label")).cast("int"))
     out = ranking.suite(rel, F.lit(K), (10,), ("question_id", "bin", "w"))
     return out.select("question_id", "bin", "w", F.col("ndcg_10").alias("objective"))
@@ -140,7 +140,7 @@ cr AS (SELECT *, CASE WHEN hit = 1 AND coalesce(max(hit) OVER (PARTITION BY ques
 def ndcg_suite(spark, sf_dir):
     q, c = _sides(spark, sf_dir)
     hits = ranking.dense_search(q.drop("q_label"), c.drop("label"), K)
-    rel = hits.join(F.broadcast(q.drop("q_vec")), "question_id").join(c.drop("vec"), "chunk_id").withColumn("hit", F.col("label") == F.col("q_label"))
+    rel = hits.join(q.drop("q_vec"), "question_id").join(c.drop("vec"), "chunk_id").withColumn("hit", F.col("label") == F.col("q_label"))
     return ranking.suite(ranking.credit_first(rel), F.lit(1))
 
 

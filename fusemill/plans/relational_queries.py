@@ -64,7 +64,7 @@ SELECT doc_id, source, CASE WHEN k <= floor(n * 0.7) THEN 'train' WHEN k <= floo
 shared("split_stratified", "WITH " + _RANKS.format(h="sha256(CAST(doc_id AS VARCHAR) || ':7')"), "WITH " + _RANKS.format(h="sha2(CAST(doc_id AS STRING) || ':7', 256)"))
 shared(
     "zscore_train",
-    """WITH s AS (SELECT avg(CAST(n_chars AS DOUBLE)) AS m, stddev_samp(CAST(n_chars AS DOUBLE)) AS sd FROM documents WHERE doc_id % 10 < 7)
+    """WITH s AS (SELECT avg(CAST(n_chars AS DOUBLE)) AS m, stddev_samp(CAST(n_chars AS DOUBLE)) AS sd FROM documents WHERE doc_id IN (SELECT doc_id FROM labels))
 SELECT doc_id, round((n_chars - m) / CASE WHEN sd < 1e-8 THEN 1.0 ELSE sd END, 6) AS z FROM documents, s""",
 )
 # sweeps (X02, X03, X04, W24, A22, A24)

@@ -9,7 +9,9 @@ from fusemill.registry import register
 from fusemill.sources.tables import table
 
 _MATCH = r"trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(lower({x}), '\|', ' ', 'g'), '\s+([,.;:!?%])', '\1', 'g'), '([(\[{{])\s+', '\1', 'g'), '\s+([)\]}}])', '\1', 'g'), '\s+', ' ', 'g'))"
-_ANSWER = r"trim(regexp_replace(regexp_replace(regexp_replace(lower({x}), '\b(a|an|the)\b', ' ', 'g'), '[!-/:-@\[-`{{-~]', '', 'g'), '\s+', ' ', 'g'))"
+_LETTER = r"\p{{L}}\p{{N}}_"
+_ARTICLE = rf"'(^|[^{_LETTER}])(a|an|the)($|[^{_LETTER}])', '\1 \3', 'g'"  # twice: articles next to each other share a separator
+_ANSWER = r"trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(lower({x}), " + _ARTICLE + "), " + _ARTICLE + r"), '[!-/:-@\[-`{{-~]', '', 'g'), '\s+', ' ', 'g'))"
 
 
 @register("norm_matching", f"SELECT item_id, {_MATCH.format(x='text')} AS norm FROM benchmark")
@@ -17,9 +19,9 @@ def norm_matching(spark, sf_dir):
     return table(spark, sf_dir, "benchmark").select("item_id", text.matching_form(F.col("text")).alias("norm"))
 
 
-@register("norm_answer", f"SELECT item_id, {_ANSWER.format(x='text')} AS norm FROM benchmark WHERE regexp_matches(text, '^[\\x00-\\x7F]*$')")
+@register("norm_answer", f"SELECT item_id, {_ANSWER.format(x='text')} AS norm FROM benchmark")
 def norm_answer(spark, sf_dir):
-    return table(spark, sf_dir, "benchmark").where(F.col("text").rlike(r"^[\x00-\x7F]*$")).select("item_id", text.answer_form(F.col("text")).alias("norm"))
+    return table(spark, sf_dir, "benchmark").select("item_id", text.answer_form(F.col("text")).alias("norm"))
 
 
 @register("question_hash", r"SELECT item_id, sha256(regexp_replace(text, '^\s+|\s+$', '', 'g')) AS question_id, sha256(trim(regexp_replace(lower(text), '\s+', ' ', 'g'))) AS text_hash FROM benchmark")
@@ -28,14 +30,14 @@ def question_hash(spark, sf_dir):
     return table(spark, sf_dir, "benchmark").select("item_id", text.question_id(t).alias("question_id"), text.question_text_hash(t).alias("text_hash"))
 
 
-_QA = f"""WITH t AS (SELECT conv_id, turn, role, text FROM conversations WHERE regexp_matches(text, '^[\\x00-\\x7F]*$')),
+_QA = f"""WITH t AS (SELECT conv_id, turn, role, text FROM conversations),
 p AS (SELECT a.conv_id, a.turn, {_ANSWER.format(x='a.text')} AS p, {_ANSWER.format(x='b.text')} AS g FROM t a JOIN t b ON a.conv_id = b.conv_id AND b.turn = a.turn - 1 WHERE a.role = 'assistant'),
 k AS (SELECT *, list_filter(string_split(p, ' '), lambda x: x <> '') AS pt, list_filter(string_split(g, ' '), lambda x: x <> '') AS gt FROM p)
 """
 
 
 def _qa(spark, sf_dir):
-    t = table(spark, sf_dir, "conversations").where(F.col("text").rlike(r"^[\x00-\x7F]*$"))
+    t = table(spark, sf_dir, "conversations")
     a = t.where("role = 'assistant'").select("conv_id", "turn", F.col("text").alias("p"))
     b = t.select("conv_id", (F.col("turn") + 1).alias("turn"), F.col("text").alias("g"))
     return a.join(b, ["conv_id", "turn"])
