@@ -1 +1 @@
-"""See README: streaming."""
+"""Structured Streaming over event tables."""
