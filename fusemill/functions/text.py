@@ -97,10 +97,12 @@ def entity_key(text: Column) -> Column:
     return F.regexp_replace(out, r"^((the|a|an)\s+)+", "")
 
 
-def f1_tokens(prediction: Column, gold: Column) -> Column:
-    """Token F1 of normalised answers, repeats counted."""
-    p = F.filter(F.split(answer_form(prediction), " "), lambda t: t != "")
-    g = F.filter(F.split(answer_form(gold), " "), lambda t: t != "")
+def answer_tokens(text: Column) -> Column:
+    return F.filter(F.split(answer_form(text), " "), lambda t: t != "")
+
+
+def f1_tokens(p: Column, g: Column) -> Column:
+    """Token F1 of two arrays of answer_tokens, repeats counted. The arrays should be columns of their own: each is read once a token."""
     count = lambda a, t: F.size(F.filter(a, lambda x: x == t))
     common = F.aggregate(F.array_distinct(p), F.lit(0), lambda s, t: s + F.least(count(p, t), count(g, t)))
     same = (F.size(p) == 0) & (F.size(g) == 0)

@@ -55,7 +55,8 @@ def exact_match(spark, sf_dir):
     + "SELECT conv_id, turn, round(CASE WHEN len(pt) = 0 AND len(gt) = 0 THEN 1.0 ELSE 2.0 * list_sum(list_transform(list_distinct(pt), lambda x: least(len(list_filter(pt, lambda y: y = x)), len(list_filter(gt, lambda y: y = x))))) / (len(pt) + len(gt)) END, 6) AS f1 FROM k",
 )
 def token_f1(spark, sf_dir):
-    return _qa(spark, sf_dir).select("conv_id", "turn", F.round(text.f1_tokens(F.col("p"), F.col("g")), 6).alias("f1"))
+    t = _qa(spark, sf_dir).select("conv_id", "turn", text.answer_tokens(F.col("p")).alias("p"), text.answer_tokens(F.col("g")).alias("g"))
+    return t.select("conv_id", "turn", F.round(text.f1_tokens(F.col("p"), F.col("g")), 6).alias("f1"))
 
 
 @register("sentences", r"SELECT item_id, count(*) AS n, max(length(s)) AS longest FROM (SELECT item_id, trim(unnest(string_split(regexp_replace(text, '([.!?])\s+', '\1' || chr(1), 'g'), chr(1)))) AS s FROM benchmark) WHERE s <> '' GROUP BY 1")
