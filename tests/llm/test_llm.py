@@ -11,7 +11,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from fusemill.llm import ann, bpe, chat, html_text, license_scan, line_dedup, mixing, quality_rules, queries, simhash, weak_quality
+from fusemill.llm import ann, bpe, chat, html_text, license_scan, line_dedup, mixing, near_sets, quality_rules, queries, simhash, weak_quality
 
 SPACE = r"[\x20\x09-\x0D]+"
 DOCS = "doc_id bigint, text string, lang string, source string, n_chars bigint"
@@ -145,6 +145,58 @@ def test_simhash_near_duplicates(spark):
     assert simhash.near_duplicates(docs_of(spark, [])).count() == 0
 
 
+def shingles_plain(text):
+    w = (text or "").encode().lower().split()
+    return {b" ".join(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
+
+
+def near_groups_plain(texts):
+    """The smallest place that each text reaches over links of five-word similarity 0.8 or more."""
+    sets = [shingles_plain(t) for t in texts]
+    label = list(range(len(texts)))
+    for a, b in itertools.combinations(range(len(texts)), 2):
+        if 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b]) and label[a] != label[b]:
+            low, high = sorted((label[a], label[b]))
+            label = [low if x == high else x for x in label]
+    return label
+
+
+def edited(words, rng, n):
+    out = list(words)
+    for k in rng.sample(range(len(out)), n):
+        out[k] = f"new{rng.random()}"
+    return " ".join(out)
+
+
+def test_near_sets_keep_one(spark):
+    rng = random.Random(6)
+    rows = []
+    for g in range(25):  # 0 to 5 edits of 150 words: some copies are below 0.8, to each other or to the first
+        words = [f"w{rng.randrange(10**6)}" for _ in range(150)]
+        rows += [(len(rows) + k, edited(words, rng, k % 6)) for k in range(g % 7 + 1)]
+    hub = [f"h{k}" for k in range(400)]  # one large group: more members than a block
+    rows += [(1000 + k, edited(hub, rng, k % 12)) for k in range(80)]
+    rows += [(2000, None), (2001, " "), (2002, "one two"), (2003, "One  two"), (None, rows[0][1]), (0, rows[0][1])]
+    label = near_groups_plain([t for _, t in rows])
+    best = {}
+    for (i, _), g in zip(rows, label, strict=True):
+        best[g] = min(best.get(g, (True, 0)), (i is None, i or 0))
+    docs = docs_of(spark, rows)
+    assert sorted(r.doc_id for r in near_sets.keep_one(docs).collect()) == sorted(i for _, i in best.values())
+    assert near_sets.keep_one(docs).columns == docs.columns and near_sets.keep_one(docs_of(spark, [])).count() == 0
+
+
+def test_pipeline_links_near_copies(spark):
+    import corpus_pipeline
+
+    rng = random.Random(9)
+    words = [f"w{k}" for k in range(200)]
+    near, far = edited(words, rng, 3), edited(words, rng, 20)
+    assert (fingerprint_plain(near) ^ fingerprint_plain(" ".join(words))).bit_count() > 2
+    kept = corpus_pipeline.near_duplicates(spark, docs_of(spark, [(1, " ".join(words)), (2, near), (3, far)]), "").collect()
+    assert sorted(r.doc_id for r in kept) == [1, 3]
+
+
 def test_license_scan(spark):
     out = license_scan.scan(docs_of(spark, ODD).withColumn("labels", F.lit(1))).collect()
     assert len(out) == len(ODD)
