@@ -9,7 +9,8 @@ id, then line number) stays; all others are dropped.
 Documents of exactly the same text count once, so that copies alone make nothing recur; they lose lines as one.
 
 Scale: the tree is a grouping by hashes. Leaves that only one text reaches go first, on rows of five numbers; only lines of shared leaves have
-their tokens counted, each distinct line once, read from one document that holds it. No leaf, template or document group is gathered in one task: all steps are partial
+their tokens counted, each distinct line once, read from one document that holds it.
+Documents are counted as distinct texts; a line's least and greatest text stand for all of its texts where it has two at most. No leaf, template or document group is gathered in one task: all steps are partial
 aggregates and joins that AQE may split; the list of a document's dropped lines is as long as the document at most.
 
 Defined results: null text stays null, and has no lines; lines with fewer than ``min_tokens`` tokens always stay; null ids order first; rows of the same
@@ -49,23 +50,54 @@ def _places(docs: DataFrame, id_col: str, text_col: str, depth: int, min_tokens:
     """_id, _text (hash), no, leaf, line (hash): the lines of enough tokens."""
     made = docs.select(*[c.alias(k) for k, c in _key(id_col, text_col).items()], F.posexplode(F.split(F.col(text_col), "\n")).alias("no", "raw"))
     made = made.withColumn("toks", tokens_of(F.col("raw"))).where(F.size("toks") >= min_tokens)
-    return made.select("_id", "_text", "no", _leaf(F.col("toks"), depth).alias("leaf"), _line(F.col("toks")).alias("line"))
+    hashes = _leaf(F.col("toks"), depth).alias("leaf"), _line(F.col("toks")).alias("line")
+    return made.select("_id", "_text", "no", *hashes)
 
 
 def _spelled(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """leaf, line, docs, toks of the ``wanted`` lines, each read from the one document that ``wanted`` names.
+    """leaf, line, docs, low, high, toks of the ``wanted`` lines, each read from the one document that ``wanted`` names.
 
     The whole texts are shuffled once, by document; only wanted lines are parsed again.
     """
-    need = wanted.groupBy("_id", "_text").agg(F.collect_list(F.struct("no", "leaf", "line", "docs")).alias("need"))
+    need = wanted.groupBy("_id", "_text").agg(F.collect_list(F.struct("no", "leaf", "line", "docs", "low", "high")).alias("need"))
     need = need.withColumnsRenamed({"_id": "_need_id", "_text": "_need_text"})
     texts = docs.where(F.col(text_col).isNotNull()).select(*[c.alias(k) for k, c in _key(id_col, text_col).items()], F.col(text_col).alias("_whole"))
     met = texts.join(need, F.col("_id").eqNullSafe(F.col("_need_id")) & (F.col("_text") == F.col("_need_text")))
     # the split text passes the generator as a column, so that a text is split once
     each = met.select(F.split("_whole", "\n").alias("all"), "need").select("all", F.explode("need").alias("n"))
-    read = each.select("n.leaf", "n.line", "n.docs", tokens_of(F.get("all", F.col("n.no"))).alias("toks"))
+    read = each.select("n.leaf", "n.line", "n.docs", "n.low", "n.high", tokens_of(F.get("all", F.col("n.no"))).alias("toks"))
     # rows of the same id and text bring a line more than once
-    return read.groupBy("leaf", "line").agg(F.first("docs").alias("docs"), F.first("toks").alias("toks"))
+    return read.groupBy("leaf", "line").agg(*[F.first(c).alias(c) for c in ("docs", "low", "high", "toks")])
+
+
+def _in_texts(lines: DataFrame, key: str, by_text: DataFrame, need: int) -> DataFrame:
+    """The values of ``key`` that lines of at least ``need`` different texts have. lines: key, leaf, line, docs, low, high."""
+    sums = lines.groupBy(key).agg(F.sum("docs").alias("n"), F.max("docs").alias("most"), F.min("low").alias("a"), F.max("high").alias("b"))
+    sums = sums.where((F.col("n") >= need) & ((F.col("a") < F.col("b")) | (F.lit(need) < 2)))
+    if need <= 2:
+        return sums.select(key)
+    # no single line settles it: one text may have several of the lines
+    left = lines.join(sums.where(F.col("most") < need).select(key), key, "left_semi")
+    if need == 3:
+        texts = left.select(key, F.explode(F.array("low", "high")).alias("_text"))
+    else:
+        texts = left.select(key, "leaf", "line").join(by_text.select("leaf", "line", "_text"), ["leaf", "line"]).select(key, "_text")
+    counted = texts.distinct().groupBy(key).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= need)
+    return sums.where(F.col("most") >= need).select(key).union(counted.select(key))
+
+
+def _templates(distinct: DataFrame, by_text: DataFrame, need: int, min_constant: float) -> DataFrame:
+    """leaf, line, template of the distinct lines whose template has ``need`` texts."""
+    counts = ["leaf", "line", "docs", "low", "high"]
+    placed = distinct.select(*counts, F.posexplode("toks").alias("at", "tok")).where(F.col("tok") != VARIABLE)
+    placed = placed.select(*counts, "at", F.xxhash64("leaf", "at", "tok").alias("slot"))
+    often = _in_texts(placed, "slot", by_text, need)
+    fixed = placed.select("leaf", "line", "at", "slot").join(often, "slot", "left_semi").groupBy("leaf", "line").agg(F.collect_set("at").alias("fixed"))
+    met = distinct.join(fixed, ["leaf", "line"], "left").withColumn("fixed", F.coalesce("fixed", F.array().cast("array<int>")))
+    met = met.where(F.size("fixed") / F.size("toks") >= min_constant)
+    marked = F.transform("toks", lambda t, i: F.when(F.array_contains("fixed", i), t).otherwise(VARIABLE))
+    spelled = cut(met.select(*counts, F.xxhash64("leaf", F.lit(need), F.array_join(marked, " ")).alias("template")))
+    return spelled.join(_in_texts(spelled, "template", by_text, need), "template", "left_semi").select("leaf", "line", "template")
 
 
 def recurring(
@@ -79,20 +111,12 @@ def recurring(
     # documents of one text have a line at the same places, so the smallest of each belong together
     by_text = places.join(shared, "leaf", "left_semi").groupBy("leaf", "line", "_text").agg(F.min("_id").alias("_id"), F.min("no").alias("no"))
     one = [F.min_by(c, "_text").alias(c) for c in ("_id", "no")]
-    counted = cut(by_text.groupBy("leaf", "line").agg(F.count(F.lit(1)).alias("docs"), *one, F.min("_text").alias("_text")))
+    texts = F.min("_text").alias("_text"), F.min("_text").alias("low"), F.max("_text").alias("high")
+    counted = cut(by_text.groupBy("leaf", "line").agg(F.count(F.lit(1)).alias("docs"), *one, *texts))
     # a leaf with fewer lines than min_docs, each counted once a text, holds no template of so many documents
     full = counted.groupBy("leaf").agg(F.sum("docs").alias("n")).where(F.col("n") >= min_docs).select("leaf")
     distinct = cut(_spelled(docs, counted.join(full, "leaf", "left_semi"), id_col, text_col))
-    placed = distinct.select("leaf", "line", "docs", F.posexplode("toks").alias("at", "tok")).where(F.col("tok") != VARIABLE)
-    placed = placed.select("leaf", "line", "docs", "at", F.xxhash64("leaf", "at", "tok").alias("slot"))
-    often = placed.groupBy("slot").agg(F.sum("docs").alias("n")).where(F.col("n") >= min_docs).select("slot")
-    fixed = placed.select("leaf", "line", "at", "slot").join(often, "slot", "left_semi").groupBy("leaf", "line").agg(F.collect_set("at").alias("fixed"))
-    met = distinct.join(fixed, ["leaf", "line"], "left").withColumn("fixed", F.coalesce("fixed", F.array().cast("array<int>")))
-    met = met.where(F.size("fixed") / F.size("toks") >= min_constant)
-    marked = F.transform("toks", lambda t, i: F.when(F.array_contains("fixed", i), t).otherwise(VARIABLE))
-    spelled = cut(met.select("leaf", "line", "docs", F.xxhash64("leaf", F.array_join(marked, " ")).alias("template")))
-    enough = spelled.groupBy("template").agg(F.sum("docs").alias("n")).where(F.col("n") >= min_docs).select("template")
-    return spelled.join(enough, "template", "left_semi").select("leaf", "line", "template")
+    return _templates(distinct, by_text, min_docs, min_constant)
 
 
 def dropped_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", depth: int = 3, min_tokens: int = 4, **limits) -> DataFrame:

@@ -344,6 +344,18 @@ def test_line_dedup(spark):
     assert line_dedup.dedup(docs_of(spark, [])).count() == 0
 
 
+def test_line_dedup_counts_texts_not_lines(spark):
+    sales = lambda *names: "\n".join(f"Total sales in {x} were strong." for x in names)
+    two = [(1, sales("Germany", "France")), (2, sales("Spain"))]
+    assert {r.doc_id: r.text for r in line_dedup.dedup(docs_of(spark, two)).collect()} == dict(two)
+    three = [*two, (3, sales("Italy", "Malta"))]
+    for n in (3, 4):  # by the least and greatest text, and by all texts
+        rows = three if n == 3 else [*three, (4, sales("Peru"))]
+        out = {r.doc_id: r.text for r in line_dedup.dedup(docs_of(spark, rows), min_docs=n).collect()}
+        assert out == {1: sales("Germany"), **{i: "" for i, _ in rows[1:]}}
+    assert {r.doc_id: r.text for r in line_dedup.dedup(docs_of(spark, three), min_docs=4).collect()} == dict(three)
+
+
 PAGE = """<!DOCTYPE html><html><head><title>t</title><style>p{{}}</style><script>var t="</p>";</script></head><body><nav><ul><li><a href="/x">Menu</a></ul></nav>
 <div class="cookie-notice">We use cookies</div><header>Site</header><div class="post post-{n}"><h2>Head &amp; more</h2><p>First   <b>bold</b>
 text &eacute;<br>line.<p>Second paragraph that is long enough to count as running text.<ul><li>one<li>two</ul><!-- hidden --></div>
