@@ -6,6 +6,9 @@ line with its variable fields marked is its template. A template recurs if lines
 text have it and at least ``min_constant`` of its tokens are constant. Of a recurring template only the first line (smallest document
 id, then line number) stays; all others are dropped.
 
+Lines of ``long_tokens`` tokens or more are held to ``long_docs`` documents as well, in place of ``min_docs``: a long passage recurs from its
+second text on. Such a line goes if it is a later line by either rule. What it is later than comes before it, so one line of each group stays.
+
 Documents of exactly the same text count once, so that copies alone make nothing recur; they lose lines as one.
 
 Scale: the tree is a grouping by hashes. Leaves that only one text reaches go first, on rows of five numbers; only lines of shared leaves have
@@ -46,28 +49,28 @@ def _line(toks: Column) -> Column:
     return F.xxhash64(F.array_join(toks, " "))
 
 
-def _places(docs: DataFrame, id_col: str, text_col: str, depth: int, min_tokens: int) -> DataFrame:
-    """_id, _text (hash), no, leaf, line (hash): the lines of enough tokens."""
+def _places(docs: DataFrame, id_col: str, text_col: str, depth: int, min_tokens: int, long_tokens: int) -> DataFrame:
+    """_id, _text (hash), no, leaf, line (hash), long: the lines of enough tokens."""
     made = docs.select(*[c.alias(k) for k, c in _key(id_col, text_col).items()], F.posexplode(F.split(F.col(text_col), "\n")).alias("no", "raw"))
     made = made.withColumn("toks", tokens_of(F.col("raw"))).where(F.size("toks") >= min_tokens)
     hashes = _leaf(F.col("toks"), depth).alias("leaf"), _line(F.col("toks")).alias("line")
-    return made.select("_id", "_text", "no", *hashes)
+    return made.select("_id", "_text", "no", *hashes, (F.size("toks") >= long_tokens).alias("long"))
 
 
 def _spelled(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """leaf, line, docs, low, high, toks of the ``wanted`` lines, each read from the one document that ``wanted`` names.
+    """leaf, line, docs, low, high, long, toks of the ``wanted`` lines, each read from the one document that ``wanted`` names.
 
     The whole texts are shuffled once, by document; only wanted lines are parsed again.
     """
-    need = wanted.groupBy("_id", "_text").agg(F.collect_list(F.struct("no", "leaf", "line", "docs", "low", "high")).alias("need"))
+    need = wanted.groupBy("_id", "_text").agg(F.collect_list(F.struct("no", "leaf", "line", "docs", "low", "high", "long")).alias("need"))
     need = need.withColumnsRenamed({"_id": "_need_id", "_text": "_need_text"})
     texts = docs.where(F.col(text_col).isNotNull()).select(*[c.alias(k) for k, c in _key(id_col, text_col).items()], F.col(text_col).alias("_whole"))
     met = texts.join(need, F.col("_id").eqNullSafe(F.col("_need_id")) & (F.col("_text") == F.col("_need_text")))
     # the split text passes the generator as a column, so that a text is split once
     each = met.select(F.split("_whole", "\n").alias("all"), "need").select("all", F.explode("need").alias("n"))
-    read = each.select("n.leaf", "n.line", "n.docs", "n.low", "n.high", tokens_of(F.get("all", F.col("n.no"))).alias("toks"))
+    read = each.select("n.leaf", "n.line", "n.docs", "n.low", "n.high", "n.long", tokens_of(F.get("all", F.col("n.no"))).alias("toks"))
     # rows of the same id and text bring a line more than once
-    return read.groupBy("leaf", "line").agg(*[F.first(c).alias(c) for c in ("docs", "low", "high", "toks")])
+    return read.groupBy("leaf", "line").agg(*[F.first(c).alias(c) for c in ("docs", "low", "high", "long", "toks")])
 
 
 def _in_texts(lines: DataFrame, key: str, by_text: DataFrame, need: int) -> DataFrame:
@@ -101,27 +104,31 @@ def _templates(distinct: DataFrame, by_text: DataFrame, need: int, min_constant:
 
 
 def recurring(
-    docs: DataFrame, places: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_docs: int = 3, min_constant: float = 0.6
+    docs: DataFrame, places: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_docs: int = 3, min_constant: float = 0.6, long_docs: int = 2
 ) -> DataFrame:
-    """leaf, line, template: the hashes of the distinct lines whose template recurs.
+    """leaf, line, template: the hashes of the distinct lines whose template recurs; a long line may have one template of each rule.
 
     places: what _places gives, written once.
     """
     shared = cut(places.groupBy("leaf").agg(F.min("_text").alias("a"), F.max("_text").alias("b")).where("a < b").select("leaf"))
     # documents of one text have a line at the same places, so the smallest of each belong together
-    by_text = places.join(shared, "leaf", "left_semi").groupBy("leaf", "line", "_text").agg(F.min("_id").alias("_id"), F.min("no").alias("no"))
+    by_text = places.join(shared, "leaf", "left_semi").groupBy("leaf", "line", "_text", "long").agg(F.min("_id").alias("_id"), F.min("no").alias("no"))
     one = [F.min_by(c, "_text").alias(c) for c in ("_id", "no")]
     texts = F.min("_text").alias("_text"), F.min("_text").alias("low"), F.max("_text").alias("high")
-    counted = cut(by_text.groupBy("leaf", "line").agg(F.count(F.lit(1)).alias("docs"), *one, *texts))
-    # a leaf with fewer lines than min_docs, each counted once a text, holds no template of so many documents
-    full = counted.groupBy("leaf").agg(F.sum("docs").alias("n")).where(F.col("n") >= min_docs).select("leaf")
+    counted = cut(by_text.groupBy("leaf", "line", "long").agg(F.count(F.lit(1)).alias("docs"), *one, *texts))
+    # a leaf with fewer lines than min_docs, each counted once a text, holds no template of so many documents; the lines of a leaf are equally long
+    full = counted.groupBy("leaf").agg(F.sum("docs").alias("n"), F.max("long").alias("long"))
+    full = full.where((F.col("n") >= min_docs) | (F.col("long") & (F.col("n") >= long_docs))).select("leaf")
     distinct = cut(_spelled(docs, counted.join(full, "leaf", "left_semi"), id_col, text_col))
-    return _templates(distinct, by_text, min_docs, min_constant)
+    found = _templates(distinct, by_text, min_docs, min_constant)
+    return found.union(_templates(distinct.where("long"), by_text, long_docs, min_constant)) if long_docs < min_docs else found
 
 
-def dropped_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", depth: int = 3, min_tokens: int = 4, **limits) -> DataFrame:
+def dropped_lines(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", depth: int = 3, min_tokens: int = 4, long_tokens: int = 50, **limits
+) -> DataFrame:
     """_id, _text, drop: the line numbers (from 0) that a document loses, for the documents that lose any."""
-    places = cut(_places(docs, id_col, text_col, depth, min_tokens))
+    places = cut(_places(docs, id_col, text_col, depth, min_tokens, long_tokens))
     again = cut(recurring(docs, places, id_col, text_col, **limits))
     seen = cut(places.join(again, ["leaf", "line"]).select("_id", "_text", "no", "template"))
     first = seen.groupBy("template").agg(F.min(F.struct("_id", "no")).alias("first"))

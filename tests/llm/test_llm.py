@@ -344,6 +344,15 @@ def test_line_dedup(spark):
     assert line_dedup.dedup(docs_of(spark, [])).count() == 0
 
 
+def test_line_dedup_long_passage_of_two_texts(spark):
+    passage, brief = " ".join(f"w{chr(97 + k // 26)}{chr(97 + k % 26)}" for k in range(60)), "a brief line of two texts"
+    rows = [(1, f"first text here\n{passage}\n{brief}"), (2, f"second text here\n{passage}\n{brief}"), (3, f"{passage} once more\nthird")]
+    out = {r.doc_id: r.text for r in line_dedup.dedup(docs_of(spark, rows)).collect()}
+    assert out == {1: rows[0][1], 2: f"second text here\n{brief}", 3: rows[2][1]}
+    copies = [(1, f"one\n{passage}"), (2, f"one\n{passage}")]  # copies of one text alone make nothing recur
+    assert {r.text for r in line_dedup.dedup(docs_of(spark, copies)).collect()} == {copies[0][1]}
+
+
 def test_line_dedup_counts_texts_not_lines(spark):
     sales = lambda *names: "\n".join(f"Total sales in {x} were strong." for x in names)
     two = [(1, sales("Germany", "France")), (2, sales("Spain"))]
