@@ -23,6 +23,7 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+BLOCK_ROWS = 100
 #: The plan has at most (sources) ** 2 rows; beyond this many it is not broadcast.
 BROADCAST_ROWS = 20_000
 
@@ -86,7 +87,7 @@ def mix(
     weights: Mapping[str | None, float] | None = None,
     source_col: str = "source",
     id_col: str = "doc_id",
-    block_rows: int = 100,
+    block_rows: int = BLOCK_ROWS,
     period: int = 1000,
     bucket_rows: int = 20_000,
     seed: int = 17,
@@ -120,6 +121,11 @@ def mix(
     return out.drop("_h", "_b", "_r", "_start", "_seq", "_s", "_from", "_until", "_base", "_share", "_period", "_slots")
 
 
-def in_order(mixed: DataFrame, slots_per_file: int = 200, **_: int) -> DataFrame:
-    """Rows laid out so that each file holds runs of consecutive slots, in order."""
-    return mixed.repartition(F.floor(F.col("slot") / slots_per_file)).sortWithinPartitions("slot", "place")
+def position(block_rows: int = BLOCK_ROWS) -> Column:
+    """A mixed row's place in the whole order, ascending by slot and place, without two rows alike; the last block of a source may leave gaps."""
+    return F.col("slot") * block_rows + F.col("place")
+
+
+def in_order(mixed: DataFrame) -> DataFrame:
+    """Rows in order of slot and place, over partitions that each hold a run of it."""
+    return mixed.repartitionByRange("slot", "place").sortWithinPartitions("slot", "place")

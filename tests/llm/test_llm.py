@@ -398,6 +398,27 @@ def test_mixing_is_fair_and_whole(spark):
     assert mixing.in_order(mixing.mix(docs_of(spark, ODD))).count() == len(ODD)
 
 
+def test_mixing_order_is_laid_out_and_kept(spark, tmp_path, monkeypatch):
+    import corpus_pipeline
+
+    rows = [(k, f"text {k}", None, f"s{k % 7 % 3}", 6) for k in range(3000)]
+    docs = spark.createDataFrame(rows, DOCS)
+    mixed = mixing.mix(docs, block_rows=1)
+    want = [r.doc_id for r in sorted(mixed.collect(), key=lambda r: (r.slot, r.place))]
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    laid = mixing.in_order(mixed).withColumn("part", F.spark_partition_id()).collect()
+    spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert len({r.part for r in laid}) > 1 and [r.doc_id for r in laid] == want
+    want = [r.doc_id for r in sorted(mixing.mix(docs).collect(), key=lambda r: (r.slot, r.place))]
+    out = corpus_pipeline.tokens(spark, corpus_pipeline.mixture(spark, docs, "").repartition(5), "").collect()
+    places = [r.mix_position for r in out]
+    assert len(set(places)) == len(rows) and [r.doc_id for r in sorted(out, key=lambda r: r.mix_position)] == want
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    stages = [("shuffled", lambda s, d, _: corpus_pipeline.mixture(s, d, "").repartition(5)), ("bpe", corpus_pipeline.tokens)]
+    monkeypatch.setattr(corpus_pipeline, "STAGES", stages)
+    assert [r.doc_id for r in corpus_pipeline.run(spark, str(tmp_path)).collect()] == want
+
+
 @pytest.mark.parametrize("seed", range(6))
 def test_schedule_bound(seed):
     rng = random.Random(seed)
