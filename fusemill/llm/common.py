@@ -1,4 +1,4 @@
-"""What the operators of this subpackage share: reading tables and cutting lineage."""
+"""What the operators of this subpackage share: reading tables, carrying rows whole and cutting lineage."""
 
 from __future__ import annotations
 
@@ -9,17 +9,29 @@ from pyspark.sql import functions as F
 
 #: White space as the contracts define it, for use inside a character class.
 ASCII_SPACE = r"\x20\x09-\x0D"
+#: The column that carries an input row whole, so that no working column can clash with the row's own.
+ROW = "row"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share: spark.checkpoint.dir. Only a local session may go without and gets a temporary one."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if base is None:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        base = tempfile.mkdtemp(prefix="fusemill-")
+    return base.rstrip("/")
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the cluster's shared folder; make one of our own only where none is set (tests)."""
+    """Use the cluster's shared folder; make one of our own only in a local session where none is set (tests)."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="fusemill-ckpt-"))
+        sc.setCheckpointDir(shared_folder(spark))
 
 
 def cut(df: DataFrame) -> DataFrame:
@@ -28,14 +40,24 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def fresh(base: str, taken: list[str]) -> str:
-    """``base``, or ``base`` with a suffix where a column of that name exists already."""
-    lower = {c.lower() for c in taken}
-    name, k = base, 0
-    while name.lower() in lower:
-        k += 1
-        name = f"{base}_{k}"
-    return name
+def named(column: str) -> Column:
+    """The column of exactly this name, dots and all."""
+    return F.col("`" + column.replace("`", "``") + "`")
+
+
+def boxed(docs: DataFrame) -> Column:
+    """A row's columns as one struct under the name ROW."""
+    return F.struct(*[named(c).alias(c) for c in docs.columns]).alias(ROW)
+
+
+def unboxed(df: DataFrame, columns: list[str], **made: Column) -> DataFrame:
+    """The boxed ``columns`` and the ``made`` ones; a made column stands in the place of one of its name, any case."""
+    left = {k.lower(): (k, c) for k, c in made.items()}
+    out = []
+    for c in columns:
+        key, new = left.pop(c.lower(), (c, F.col(ROW).getField(c)))
+        out.append(new.alias(key))
+    return df.select(*out, *[c.alias(k) for k, c in left.values()])
 
 
 def words_of(text: Column, separators: str) -> Column:
