@@ -4,7 +4,7 @@ A pair of neighbouring bytes that occurs inside no vocabulary token can't be joi
 them is a certain cut: the text splits there into fragments that are encoded on their own, and the ids are put
 together again. Cuts are found for a whole Arrow batch at once. Three places are left uncut although their pair never occurs,
 since the pre-tokenizer looks across them: inside a character, after white space, and before an apostrophe.
-Fragments recur, so each worker keeps a bounded table of their ids.
+Fragments recur, so each worker keeps a table of their ids, bounded in bytes (``TABLE_BYTES``) whatever the input.
 
 Special tokens standing in a text become their id, as the tokenizers library does by default.
 
@@ -24,8 +24,10 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Fragments a worker keeps; beyond that the table starts anew.
-CACHE = 200_000
+#: Bytes of a worker's table of fragments, both generations together; a full generation becomes the older one.
+TABLE_BYTES = 24_000_000
+#: What an entry takes besides its letters: two bytes objects, and its place in a dict that is half full.
+_ENTRY = 190
 RESULT = "struct<n_tokens:bigint,ids:array<int>,decoded:string>"
 DIGEST = "struct<n_tokens:bigint,ids_sha256:string,decoded_sha256:string>"
 
@@ -72,8 +74,11 @@ class Codec:
         self.cuttable = self.cuttable.reshape(-1)
         self.spelled = {i: b"%d" % i for i in self.bytes_of}
         self.line_feed = self.library.encode("\n", add_special_tokens=False).ids[0]
-        self.fixed: dict[bytes | str, tuple[bytes, bytes, list[int]]] = {x: (self.spelled[i], self.bytes_of[i], [i]) for x, i in self.special.items()}
+        # fragment (a special token is a str) -> its ids in decimal; what a fragment decodes to is kept only where it isn't the fragment
+        self.fixed: dict[bytes | str, bytes] = {x: self.spelled[i] for x, i in self.special.items()}
         self.known, self.older = dict(self.fixed), {}
+        self.decoded: dict[bytes | str, bytes] = {x: x.encode() for x in self.special}
+        self.taken = 0
 
     def cuts(self, data: np.ndarray) -> np.ndarray:
         """Places k such that data[:k] and data[k:] may be encoded apart."""
@@ -135,10 +140,18 @@ class Codec:
             self._keep(raw, e.ids)
 
     def _keep(self, raw: bytes, ids: list[int]) -> None:
-        self.known[raw] = (b",".join([self.spelled[i] for i in ids]), b"".join([self.bytes_of[i] for i in ids]), ids)
-
-    def lookup(self, parts: list[bytes | str]) -> dict[bytes | str, tuple[bytes, bytes, list[int]]]:
-        """Table that holds all ``parts``: decimal ids, decoded bytes, ids."""
+        spelled = b",".join([self.spelled[i] for i in ids])
+        self._enter(raw, spelled)
+        back = b"".join([self.bytes_of[i] for i in ids])
+        if back != raw:
+            self.decoded[raw] = back
+
+    def _enter(self, raw: bytes, spelled: bytes) -> None:
+        self.known[raw] = spelled
+        self.taken += len(raw) + len(spelled) + _ENTRY
+
+    def lookup(self, parts: list[bytes | str]) -> dict[bytes | str, bytes]:
+        """Table that holds all ``parts``: decimal ids, joined by commas."""
         known = self.known
         new = [p for p in set(parts) if p not in known]
         if new:
@@ -146,7 +159,7 @@ class Codec:
             unseen = []
             for p in new:
                 if p in older:
-                    known[p] = older[p]
+                    self._enter(p, older[p])
                 else:
                     unseen.append(p)
             if unseen:
@@ -154,28 +167,29 @@ class Codec:
         return known
 
     def _rest(self) -> None:
-        """When the table is full it becomes the older one; what recurs comes back from there."""
-        if len(self.known) > CACHE:
-            self.older, self.known = self.known, dict(self.fixed)
+        """When a generation is full it becomes the older one; what recurs comes back from there."""
+        if self.taken > TABLE_BYTES // 2:
+            self.older, self.known, self.taken = self.known, dict(self.fixed), 0
+            self.decoded = {p: x for p, x in self.decoded.items() if p in self.older or p in self.fixed}
 
     def encode(self, text: str | None) -> list[int]:
         parts = self.fragments(text or "")
         known = self.lookup(parts)
-        out = [i for p in parts for i in known[p][2]]
+        ids = b",".join([known[p] for p in parts])
         self._rest()
-        return out
+        return [int(i) for i in ids.split(b",")] if ids else []
 
     def decode(self, ids: list[int]) -> str:
         """Text of the ids, special tokens included; bytes that are no UTF-8 become U+FFFD."""
         return b"".join(map(self.bytes_of.__getitem__, ids)).decode("utf-8", "replace")
 
     def digest(self, text: str | None) -> tuple[int, str, str]:
-        """Number of ids, hash of the ids and hash of the decoded text, fragment by fragment."""
+        """Number of ids, hash of the ids and hash of the decoded text, fragment by fragment: no list of ids is made."""
         parts = self.fragments(text or "")
         known = self.lookup(parts)
-        found = [known[p] for p in parts]
-        ids = b",".join([x[0] for x in found])
-        decoded = b"".join([x[1] for x in found]).decode("utf-8", "replace").encode()
+        ids = b",".join([known[p] for p in parts])
+        other = self.decoded
+        decoded = b"".join([other[p] if p in other else p for p in parts]).decode("utf-8", "replace").encode()
         self._rest()
         return ids.count(b",") + 1 if ids else 0, hashlib.sha256(ids).hexdigest(), hashlib.sha256(decoded).hexdigest()
 
