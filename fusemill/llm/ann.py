@@ -1,24 +1,26 @@
 """Approximate nearest neighbours by balanced posting lists.
 
-Fit: k-means on a bounded sample (``sample_rows``, the rows of the smallest id hashes), clusters of over twice the mean size
-are split until none is left, so that lists are balanced; a neighbour graph over the centroids stays in memory and is searched by
-a best-first beam. Every vector is put on the lists of its nearest centroid and of up to ``replicas`` - 1 further ones within
+Fit: k-means on a bounded sample (``sample_rows``, rows of small id hashes) makes one list for each ``list_rows`` rows of the table, a fourth of the
+sample's rows at most; clusters of over twice the mean size are split until none is left, so that lists are balanced. A neighbour graph over the centroids
+stays in memory and is searched best first. Every vector is put on the lists of its nearest centroid and of up to ``replicas`` - 1 further ones within
 ``closure`` times that distance (boundary vectors). A query visits the lists whose centroid is within a ratio of the nearest one's
-distance; the ratio is the smallest of a grid that reaches ``target_recall`` on pairs within the sample.
+distance: its walk over the graph ends when no centroid within that ratio is left unexpanded. The ratio is the smallest that reaches ``target_recall`` on
+queries within the sample; if none does, all lists are visited.
 
-Scale: the index (centroids and graph) has at most ``max_lists`` rows by parameter and travels with the tasks. Lists and the queries
-that visit them are cut into blocks of about ``block_rows``, and one task group is one block of vectors against one block of queries, so that
-a hot list is spread. Equal vectors are searched once: of a vector's ids only the k + 1 smallest can be among anyone's k nearest
-(ties go to smaller ids, and the query's own id is the one that may drop out), which bounds groups of copies exactly.
+Scale: the index (centroids and graph) is bounded by parameter and travels with the tasks. Lists grow in number with the table up to that bound, so that a
+query reads about as many rows at any size below it; beyond, raise ``sample_rows``. Lists and the queries that visit them are cut into blocks of about
+``block_rows``, and one task group is one block of vectors against one block of queries, so that a hot list is spread. Equal vectors are searched once: of a
+vector's ids only the k + 1 smallest can be among anyone's k nearest (ties go to smaller ids, and the query's own id is the one that may drop
+out), which bounds groups of copies exactly.
 
 Defined results: vectors that are null, empty, zero, or hold null or non-finite components take no part, nor do those whose length
 differs from the commonest length of the sample; null ids neither; a repeated (id, vector) row counts once; no vectors give no rows; fewer than k
-candidates give all. Further columns don't matter.
+candidates give all. Scores are computed pair by pair, in one order of summation, so they don't depend on blocks; equal scores go to smaller ids. Further
+columns don't matter, whatever their names.
 """
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -27,9 +29,10 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from fusemill.llm.common import cut
+from fusemill.llm.common import cut, named
 
-RATIOS = (1.02, 1.04, 1.06, 1.08, 1.1, 1.12, 1.14, 1.17, 1.2, 1.25, 1.3, 1.4, 1.5, 2.0)
+#: Ratios beyond this one visit every list: two unit vectors are at a distance of 2 at most.
+_ALL = 1e6
 
 
 def usable(vector: Column) -> Column:
@@ -49,51 +52,77 @@ class Index:
     ratio: float  # query pruning
     closure: float
     replicas: int
+    least: float  # a distance to the nearest centroid below this counts as this
 
-    def search(self, x: np.ndarray, width: int, beam: int = 8) -> tuple[np.ndarray, np.ndarray]:
-        """Nearest ``width`` centroids of unit rows ``x`` by beam search over the graph: ids (-1: none) and distances.
+    def walk(self, x: np.ndarray, width: int, ratio: float = 0.0, step: int = 4) -> tuple[np.ndarray, np.ndarray]:
+        """Nearest centroids of unit rows ``x`` that a best-first walk over the graph meets: ids (-1: none) and distances, nearest first.
 
-        Rows go in small blocks: a step of the beam gathers some 14,000 numbers for each row.
+        A row's walk ends when its ``width`` nearest so far are expanded, or, with a ratio, those of them within it are.
         """
-        if len(x) > 256:
-            parts = [self.search(x[a : a + 256], width, beam) for a in range(0, len(x), 256)]
-            return np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
         n, lists = len(x), len(self.centroids)
         width = min(width, lists)
-        sims = np.full((n, lists), -np.inf)
-        done = np.zeros((n, lists), dtype=bool)
-        rows = np.arange(n)[:, None]
-        entry = np.unique(np.linspace(0, lists - 1, min(lists, 16)).astype(int))
-        sims[:, entry] = x @ self.centroids[entry].T
-        beam = min(beam, lists)
-        active = np.arange(n)
-        while len(active):
-            sub = np.where(done[active], -np.inf, sims[active])
-            nodes = np.argpartition(-sub, beam - 1, axis=1)[:, :beam]
-            value = np.take_along_axis(sub, nodes, 1)
-            kth = -np.partition(-sims[active], width - 1, axis=1)[:, width - 1]
-            go = np.isfinite(value).any(1) & (value.max(1) >= kth)
-            active, nodes = active[go], nodes[go]
-            if not len(active):
+        entry = np.unique(np.linspace(0, lists - 1, min(lists, max(16, width))).astype(int))
+        met = np.zeros((n, lists), dtype=bool)
+        met[:, entry] = True
+        ids = np.broadcast_to(entry, (n, len(entry))).copy()
+        sims = x @ self.centroids[entry].T
+        open_ = np.ones_like(ids, dtype=bool)
+        out = np.full((n, width), -1), np.full((n, width), -np.inf)
+        rows = np.arange(n)
+        while True:
+            top = np.argsort(-sims, axis=1, kind="stable")[:, :width]
+            ids, sims, open_ = (np.take_along_axis(v, top, 1) for v in (ids, sims, open_))
+            near = open_ & np.isfinite(sims)
+            if ratio:
+                near &= sims >= 1 - (ratio * np.maximum(np.sqrt(np.maximum(2 - 2 * sims[:, :1], 0)), self.least)) ** 2 / 2 - 1e-12
+            go = near.any(1)
+            out[0][rows[~go]], out[1][rows[~go]] = ids[~go], sims[~go]
+            if not go.any():
                 break
-            done[active[:, None], nodes] = True
-            near = self.graph[nodes].reshape(len(active), -1)
-            sims[active[:, None], near] = np.einsum("nmd,nd->nm", self.centroids[near], x[active])
-        top = np.argsort(-sims, axis=1, kind="stable")[:, :width]
-        best = sims[rows, top]
-        return np.where(np.isfinite(best), top, -1), np.sqrt(np.maximum(0.0, 2 - 2 * np.where(np.isfinite(best), best, -1)))
+            rows, ids, sims, open_, near = rows[go], ids[go], sims[go], open_[go], near[go]
+            at = np.arange(len(rows))[:, None]
+            first = np.argsort(~near, axis=1, kind="stable")[:, :step]  # the nearest that are open
+            node = np.take_along_axis(ids, first, 1)
+            taken = np.take_along_axis(near, first, 1)
+            np.put_along_axis(open_, first, ~taken & np.take_along_axis(open_, first, 1), 1)
+            next_ = np.sort(self.graph[np.where(taken, node, node[:, :1])].reshape(len(rows), -1), axis=1)
+            new = ~met[rows[:, None], next_]
+            new[:, 1:] &= next_[:, 1:] != next_[:, :-1]
+            met[rows[:, None], next_] = True
+            value = np.where(new, np.einsum("nmd,nd->nm", self.centroids[next_], x[rows]), -np.inf)
+            most = min(value.shape[1], width)
+            best = np.argpartition(-value, most - 1, axis=1)[:, :most]
+            ids, sims = np.hstack([ids, next_[at, best]]), np.hstack([sims, value[at, best]])
+            open_ = np.hstack([open_, np.ones_like(best, dtype=bool)])
+        return out[0], np.where(np.isfinite(out[1]), np.sqrt(np.maximum(0.0, 2 - 2 * np.where(np.isfinite(out[1]), out[1], 0))), np.inf)
 
     def lists_of(self, x: np.ndarray) -> list[np.ndarray]:
         """Lists of each stored vector: the nearest and, at a boundary, further ones."""
-        ids, d = self.search(x, self.replicas)
-        ok = (ids >= 0) & (d <= self.closure * np.maximum(d[:, :1], 1e-12))
-        return [i[o] for i, o in zip(ids, ok, strict=True)]
-
-    def visits(self, x: np.ndarray, ratio: float | None = None, least: int = 8) -> list[np.ndarray]:
-        """Lists that each query visits: the ``least`` nearest, and all within the ratio."""
-        ids, d = self.search(x, len(self.centroids))
-        ok = (ids >= 0) & ((d <= (ratio or self.ratio) * np.maximum(d[:, :1], 1e-12)) | (np.arange(ids.shape[1]) < least))
-        return [i[o] for i, o in zip(ids, ok, strict=True)]
+        out = []
+        for a in range(0, len(x), 256):
+            ids, d = self.walk(x[a : a + 256], self.replicas)
+            ok = np.isfinite(d) & (d <= self.closure * np.maximum(d[:, :1], self.least))
+            out += [i[o] for i, o in zip(ids, ok, strict=True)]
+        return out
+
+    def visits(self, x: np.ndarray, ratio: float | None = None) -> list[np.ndarray]:
+        """Lists that each query visits: all whose centroid is within the ratio, as the walk meets them."""
+        ratio, lists = ratio or self.ratio, len(self.centroids)
+        if ratio >= _ALL:
+            return [np.arange(lists)] * len(x)
+        out = []
+        for a in range(0, len(x), 64):
+            part, width, found = x[a : a + 64], 128, [None] * len(x[a : a + 64])
+            left = np.arange(len(part))
+            while len(left):  # a walk whose width is full of lists within the ratio goes on with a greater one
+                ids, d = self.walk(part[left], width, ratio, 16)
+                ok = d <= ratio * np.maximum(d[:, :1], self.least) + 1e-12
+                whole = ~ok.all(1) | (width >= lists)
+                for r in np.flatnonzero(whole):
+                    found[left[r]] = ids[r][ok[r]]
+                left, width = left[~whole], width * 4
+            out += found
+        return out
 
 
 def _kmeans(x: np.ndarray, k: int, rng: np.random.Generator, rounds: int = 8) -> tuple[np.ndarray, np.ndarray]:
@@ -107,17 +136,27 @@ def _kmeans(x: np.ndarray, k: int, rng: np.random.Generator, rounds: int = 8) ->
     return c, (x @ c.T).argmax(1)
 
 
-def fit(sample: np.ndarray, max_lists: int = 1024, replicas: int = 4, closure: float = 1.25, target_recall: float = 0.97, seed: int = 7) -> Index:
-    """Index over the unit rows of ``sample``."""
+def fit(
+    sample: np.ndarray,
+    rows: int | None = None,
+    list_rows: int = 4,
+    replicas: int = 8,
+    closure: float = 1.5,
+    target_recall: float = 0.97,
+    seed: int = 7,
+) -> Index:
+    """Index over the unit rows of ``sample``, for a table of ``rows`` rows."""
     rng = np.random.default_rng(seed)
     x = _unit(sample.astype(np.float64))
-    k = max(1, min(max_lists // 2, int(2 * math.sqrt(len(x))) if len(x) >= 200 else 1))
+    most = max(1, len(x) // 4)
+    k = max(1, min(most, (rows or len(x)) // list_rows))
     c, own = _kmeans(x, k, rng)
-    pending, out = [x[own == j] for j in range(k) if (own == j).any()], []
-    limit = max(8, 2 * len(x) // k)
+    order = np.argsort(own, kind="stable")
+    pending = [x[part] for part in np.split(order, np.flatnonzero(np.diff(own[order])) + 1)]
+    out, limit = [], max(8, 2 * len(x) // k)
     while pending:
         part = pending.pop()
-        if len(part) > limit and len(out) + len(pending) + 2 <= max_lists and np.ptp(part, axis=0).max() > 1e-12:
+        if len(part) > limit and len(out) + len(pending) + 2 <= 2 * most and np.ptp(part, axis=0).max() > 1e-12:
             _, half = _kmeans(part, 2, rng)
             if half.any() and not half.all():
                 pending += [part[half == 0], part[half == 1]]
@@ -125,22 +164,23 @@ def fit(sample: np.ndarray, max_lists: int = 1024, replicas: int = 4, closure: f
         out.append(_unit(part.mean(0, keepdims=True))[0] if np.linalg.norm(part.mean(0)) > 1e-12 else part[0])
     c = np.array(out)
     degree = min(len(c), 24)
-    near = np.argsort(-(c @ c.T), axis=1)[:, :degree]
+    near = np.concatenate([np.argpartition(-(c[a : a + 1024] @ c.T), degree - 1, axis=1)[:, :degree] for a in range(0, len(c), 1024)])
     far = rng.integers(0, len(c), (len(c), 4))  # long links keep the graph connected
-    index = Index(c, np.concatenate([near, far], axis=1), RATIOS[-1], closure, replicas)
-    if len(x) >= 200:
-        at = rng.choice(len(x), min(200, len(x)), replace=False)
-        sims = x[at] @ x.T
-        sims[np.arange(len(at)), at] = -9
-        truth = np.argsort(-sims, axis=1)[:, :5]
-        homes = np.zeros((len(x), len(c)), dtype=bool)
-        for row, lists in enumerate(index.lists_of(x)):
-            homes[row, lists] = True
-        for ratio in RATIOS:
-            index.ratio = ratio
-            hit = [homes[t][:, v].any(1).mean() for t, v in zip(truth, index.visits(x[at]), strict=True)]
-            if np.mean(hit) >= target_recall:
-                break
+    at = rng.choice(len(x), min(200, len(x)), replace=False)
+    # a vector of the sample may be a list of its own: the second nearest centroid tells what is near
+    second = np.sort(x[at] @ c.T, axis=1)[:, -2:][:, 0]
+    index = Index(c, np.concatenate([near, far], axis=1), _ALL, closure, replicas, max(1e-12, float(np.median(np.sqrt(np.maximum(0, 2 - 2 * second))))))
+    sims = x[at] @ x.T
+    sims[np.arange(len(at)), at] = -9
+    truth = np.argsort(-sims, axis=1)[:, : min(5, len(x) - 1)]
+    if truth.size:
+        wanted, back = np.unique(truth, return_inverse=True)
+        homes = index.lists_of(x[wanted])
+        own = np.sqrt(np.maximum(0.0, 2 - 2 * (x[at] @ c.T)))
+        own /= np.maximum(own.min(1, keepdims=True), index.least)
+        # the ratio at which each true neighbour's nearest list is visited
+        asked = np.array([[own[q, homes[t]].min() for t in back.reshape(truth.shape)[q]] for q in range(len(at))])
+        index.ratio = float(np.quantile(asked, target_recall, method="higher")) + 1e-9
     return index
 
 
@@ -166,18 +206,17 @@ def _blocks(counts: dict[int, int], block_rows: int, n_lists: int) -> Column:
 
 
 def build(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", sample_rows: int = 20_000, **options) -> Index | None:
-    """Fit the index on at most ``sample_rows`` rows, those of the smallest id hashes; None without a usable vector."""
-    rows = (
-        vectors.where(F.col(id_col).isNotNull() & usable(F.col(vector_col)))
-        .select(F.xxhash64(id_col).alias("h"), F.col(id_col).alias("i"), F.col(vector_col).alias("v"))
-        .orderBy("h", "i")
-        .limit(sample_rows)
-        .collect()
-    )
+    """Fit the index on about ``sample_rows`` rows, those whose id hash is below a threshold; None without a usable vector."""
+    fine = vectors.where(named(id_col).isNotNull() & usable(named(vector_col))).select(F.xxhash64(named(id_col)).alias("h"), named(id_col).alias("i"), named(vector_col).alias("v"))
+    total = fine.count()
+    # a threshold needs no sort: each row decides for itself, and the driver gets a bounded number
+    share = min(1.0, 1.05 * sample_rows / max(1, total))
+    rows = fine.where(F.pmod("h", F.lit(1 << 32)) <= int(share * (1 << 32))).collect()
+    rows = sorted(rows, key=lambda r: (r["h"] % (1 << 32), r["i"], r["v"]))[:sample_rows]
     if not rows:
         return None
     lengths = pd.Series([len(r["v"]) for r in rows]).mode()
-    return fit(np.array([r["v"] for r in rows if len(r["v"]) == lengths[0]], dtype=np.float64), **options)
+    return fit(np.array([r["v"] for r in rows if len(r["v"]) == lengths[0]], dtype=np.float64), total, **options)
 
 
 def search(
@@ -193,8 +232,8 @@ def search(
     dim, n_lists = index.centroids.shape[1], len(index.centroids)
 
     def valid(df: DataFrame) -> DataFrame:
-        v = F.col(vector_col)
-        return df.where(F.col(id_col).isNotNull() & usable(v) & (F.size(v) == dim)).select(F.col(id_col).cast("long").alias("id"), v.alias("v"))
+        v = named(vector_col)
+        return df.where(named(id_col).isNotNull() & usable(v) & (F.size(v) == dim)).select(named(id_col).cast("long").alias("id"), v.alias("v"))
 
     w = Window.partitionBy("v").orderBy("id")
     stored = valid(vectors).distinct().withColumn("r", F.row_number().over(w)).where(F.col("r") <= k + 1)
@@ -221,15 +260,18 @@ def search(
             nx = np.sqrt((x * x).sum(1))
             for s in range(0, len(y), 512):
                 z = y[s : s + 512]
-                sims = (z @ x.T) / (np.sqrt((z * z).sum(1))[:, None] * nx[None, :])
+                nz = np.sqrt((z * z).sum(1))
+                sims = (z @ x.T) / (nz[:, None] * nx[None, :])
                 m = min(k + 1, len(x))
                 kth = -np.partition(-sims, m - 1, axis=1)[:, m - 1]
                 for r in range(len(z)):
-                    c = np.flatnonzero(sims[r] >= kth[r])
-                    c = c[np.lexsort((first[c], -sims[r][c]))][:m]
-                    heads_ += [b["head"].iat[s + r]] * len(c)
-                    ids_ += [a["ids"].iat[j] for j in c]
-                    scores += sims[r][c].tolist()
+                    c = np.flatnonzero(sims[r] >= kth[r] - 1e-9)
+                    # a product of blocks may round as the block is cut; a row's own sum doesn't
+                    score = (x[c] * z[r]).sum(1) / (nx[c] * nz[r])
+                    order = np.lexsort((first[c], -score))[:m]
+                    heads_ += [b["head"].iat[s + r]] * len(order)
+                    ids_ += [a["ids"].iat[j] for j in c[order]]
+                    scores += score[order].tolist()
         return pd.DataFrame({"head": pd.Series(heads_, dtype="int64"), "ids": pd.Series(ids_, dtype=object), "score": pd.Series(scores, dtype="float64")})
 
     key = ["l", "b", "q"]

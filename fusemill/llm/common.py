@@ -63,3 +63,9 @@ def unboxed(df: DataFrame, columns: list[str], **made: Column) -> DataFrame:
 def words_of(text: Column, separators: str) -> Column:
     """Non-empty pieces of ``text`` between runs of ``separators`` (the inside of a character class)."""
     return F.array_remove(F.split(F.coalesce(text, F.lit("")), f"[{separators}]+"), "")
+
+
+def row_hash(docs: DataFrame) -> Column:
+    """A hash of everything a row holds: tells rows of one id apart, whatever their columns are."""
+    hashable = lambda c: "map<" not in docs.schema[c].dataType.simpleString() and "variant" not in docs.schema[c].dataType.simpleString()
+    return F.xxhash64(*[named(c) if hashable(c) else F.to_json(F.struct(named(c))) for c in docs.columns])

@@ -166,8 +166,8 @@ def dropped_lines(
     return seen.groupBy("id", "text").agg(F.collect_set("no").alias("drop"))
 
 
-def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """Input columns with the text freed from recurring lines (n_chars, where there is one, is renewed), plus n_lines and n_dropped."""
+def _freed(docs: DataFrame, id_col: str, text_col: str, **options) -> DataFrame:
+    """The boxed rows with drop, text (without the dropped lines), n_lines and n_dropped."""
     drop = dropped_lines(docs, id_col, text_col, **options).withColumnsRenamed({"id": "drop_id", "text": "drop_text"})
     keyed = docs.select(boxed(docs), named(id_col).alias("id"), _text_key(named(text_col)).alias("key"))
     joined = keyed.join(drop, F.col("id").eqNullSafe(F.col("drop_id")) & (F.col("key") == F.col("drop_text")), "left")
@@ -177,9 +177,23 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **opt
     n_dropped = F.when(F.col("drop").isNull(), 0).otherwise(F.size("drop"))
     left = F.array_except(F.sequence(F.lit(0), F.size("all") - 1), "drop")
     text = F.when(F.col("drop").isNull(), whole).otherwise(F.array_join(F.transform(left, lambda i: F.get("all", i)), "\n"))
-    done = joined.select(ROW, "drop", text.alias("text"), n_lines.cast("long").alias("n_lines"), n_dropped.cast("long").alias("n_dropped"))
-    made = {text_col: F.col("text"), "n_lines": F.col("n_lines"), "n_dropped": F.col("n_dropped")}
+    return joined.select(ROW, "drop", text.alias("text"), n_lines.cast("long").alias("n_lines"), n_dropped.cast("long").alias("n_dropped"))
+
+
+def _renewed(docs: DataFrame, text_col: str) -> dict[str, Column]:
+    made = {text_col: F.col("text")}
     for c in docs.columns:
-        if c.lower() == "n_chars" and c not in (id_col, text_col):
+        if c.lower() == "n_chars" and c != text_col:
             made[c] = F.when(F.col("drop").isNull(), F.col(ROW).getField(c)).otherwise(F.length("text")).cast(docs.schema[c].dataType)
-    return unboxed(done, docs.columns, **made)
+    return made
+
+
+def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """Input columns with the text freed from recurring lines (n_chars, where there is one, is renewed), plus n_lines and n_dropped."""
+    counts = {"n_lines": F.col("n_lines"), "n_dropped": F.col("n_dropped")}
+    return unboxed(_freed(docs, id_col, text_col, **options), docs.columns, **_renewed(docs, text_col), **counts)
+
+
+def freed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """The input columns alone, with the text freed from recurring lines and n_chars, where there is one, renewed."""
+    return unboxed(_freed(docs, id_col, text_col, **options), docs.columns, **_renewed(docs, text_col))

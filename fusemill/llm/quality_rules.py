@@ -15,13 +15,21 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fusemill.llm.common import ASCII_SPACE, words_of
-
-#: Lines with one of these are site furniture, not prose.
-BOILERPLATE = (
-    r"(?i)\b(cookies?|privacy policy|terms of (use|service)|javascript|sign (in|up)|log ?in|subscribe|newsletter"
-    r"|click here|read more|share (this|on)|follow us|skip to|back to top|lorem ipsum|all rights reserved)\b"
-)
+from fusemill.llm.common import ASCII_SPACE, boxed, named, unboxed, words_of
+
+# Phrases of site furniture, not prose, in English, German, French and Spanish; a dot stands for an accented letter.
+PHRASES = {
+    "en": "cookies?|privacy policy|terms of (use|service)|javascript|sign (in|up)|log ?in|subscribe|newsletter|click here|read more|share (this|on)|follow us|skip to|back to top|lorem ipsum"
+    "|all rights reserved",
+    "de": "datenschutz(erkl.rung|hinweise)?|nutzungsbedingungen|impressum|alle rechte vorbehalten|hier klicken|weiterlesen|mehr lesen|jetzt (anmelden|registrieren)|folgen sie uns|folge uns"
+    "|nach oben|zum (haupt)?inhalt springen|seite teilen",
+    "fr": "politique de confidentialit.|mentions l.gales|tous droits r.serv.s|conditions (g.n.rales|d.utilisation)|cliquez ici|lire la suite|se connecter|s.inscrire|abonnez-vous|suivez-nous|haut de page"
+    "|aller au contenu|partager sur",
+    "es": "pol.tica de privacidad|aviso legal|todos los derechos reservados|(t.rminos|condiciones) de uso|haga clic|haz clic|leer m.s|iniciar sesi.n|reg.strate|suscr.bete|suscribirse|s.guenos|volver arriba"
+    "|saltar al contenido|compartir en",
+}
+#: Lines with one of these are site furniture.
+BOILERPLATE = r"(?i)\b(" + "|".join(PHRASES.values()) + r")(?:[^\p{L}\p{N}_]|$)"
 #: A separator between menu entries.
 NAV_SEPARATOR = r"(?:^|\s)[|»›•·](?=\s|$)"
 TERMINAL = r"[.!?…:;。！？][\"'”’»)\]*]*\s*$"
@@ -59,15 +67,23 @@ def _twins(values: Column, same) -> Column:
     )
 
 
+COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed")
+
+
 def with_counts(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """Add n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words and base_failed.
+    """Add n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words and base_failed."""
+    return unboxed(_counted(docs, text_col), docs.columns, **{c: F.col(c) for c in COUNTS})
+
+
+def _counted(docs: DataFrame, text_col: str) -> DataFrame:
+    """The boxed rows with their text and the counts.
 
     n_repeat_words: windows of three words are hashed and packed with their place into one long, so that a
     primitive sort brings equal windows together; equal hash parts of unequal words are detected, and such a
     text is counted by sorting the windows themselves. A text of over 2**24 words goes that way, too.
     """
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    df = docs.withColumn("_words", words_of(text, ASCII_SPACE))
+    text = F.col("whole")
+    df = docs.select(boxed(docs), F.coalesce(named(text_col), F.lit("")).alias("whole")).withColumn("_words", words_of(text, ASCII_SPACE))
     w, n = F.col("_words"), F.size("_words")
     window = lambda i: (F.get(w, i), F.get(w, i + 1), F.get(w, i + 2))
     none = F.array().cast("array<bigint>")
@@ -142,9 +158,14 @@ def clean(docs: DataFrame, text_col: str = "text", max_loss: float = 0.4) -> Dat
     of the characters of the text. clean_text is the text without the failing lines (repeats stay: dropping
     them is the work of a deduplicating stage).
     """
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    df = with_counts(docs, text_col)
-    lines = F.split(text, "\n")
+    made = {c: F.col(c) for c in (*COUNTS, "clean_text", "lost_chars", "loss", "kept")}
+    return unboxed(_cleaned(docs, text_col, max_loss), docs.columns, **made)
+
+
+def _cleaned(docs: DataFrame, text_col: str, max_loss: float = 0.4) -> DataFrame:
+    """The boxed rows with all that ``clean`` adds."""
+    df = _counted(docs, text_col)
+    lines = F.split("whole", "\n")
     good = F.filter(lines, lambda x: ~line_fails(x))
     df = df.withColumns({"_all": lines, "_good": good})
     chars = lambda c: F.length(F.array_join(c, ""))
@@ -154,7 +175,7 @@ def clean(docs: DataFrame, text_col: str = "text", max_loss: float = 0.4) -> Dat
             "lost_chars": (chars(F.col("_all")) - chars(F.when(F.col("n_dup_lines") > 0, F.array_distinct("_good")).otherwise(F.col("_good")))).cast("long"),
         }
     )
-    df = df.withColumn("loss", F.coalesce(F.try_divide(F.col("lost_chars").cast("double"), F.length(text).cast("double")), F.lit(0.0)))
+    df = df.withColumn("loss", F.coalesce(F.try_divide(F.col("lost_chars").cast("double"), F.length("whole").cast("double")), F.lit(0.0)))
     return df.withColumn("kept", ~F.col("base_failed") & (F.col("loss") <= max_loss)).drop("_all", "_good")
 
 
@@ -164,8 +185,8 @@ def keep(docs: DataFrame, text_col: str = "text", **limits: float) -> DataFrame:
     A column n_chars, where there is one, gets the new length.
     """
     # the id column keeps the filter above the projections, which it would otherwise repeat inside itself
-    out = clean(docs, text_col, **limits).withColumn("_row", F.monotonically_increasing_id())
-    out = out.where(F.col("kept") & (F.col("_row") >= 0)).withColumn(text_col, F.col("clean_text"))
-    if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.length(text_col).cast(docs.schema["n_chars"].dataType))
-    return out.select(*docs.columns)
+    out = _cleaned(docs, text_col, **limits).withColumn("_row", F.monotonically_increasing_id())
+    out = out.where(F.col("kept") & (F.col("_row") >= 0))
+    made = {text_col: F.col("clean_text")}
+    made |= {c: F.length("clean_text").cast(docs.schema[c].dataType) for c in docs.columns if c.lower() == "n_chars" and c != text_col}
+    return unboxed(out, docs.columns, **made)

@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fusemill.llm.common import cut
+from fusemill.llm.common import ROW, boxed, cut, named, row_hash, unboxed
 
 SEGMENTS, WIDTH = 16, 4
 _BLOCK = 1 << 18  # shingles counted at a time
@@ -102,7 +102,9 @@ def links(fps: DataFrame, fp: str = "fp") -> DataFrame:
     their own; every edge is a true link.
     """
     distinct = fps.select(F.col(fp).alias("fp")).where(F.col("fp").isNotNull()).distinct()
-    placed = distinct.withColumn("_point", grid_point(F.col("fp")))
+    # a fingerprint becomes some thirty rows, so the few bytes are dealt to all tasks first
+    width = int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    placed = cut(distinct.repartition(width, "fp").withColumn("_point", grid_point(F.col("fp"))))
     posts = placed.select("fp", F.explode(F.array_distinct(F.transform(_flips(F.col("fp")), lambda x: x["cell"]))).alias("cell"))
     # min and max tell a cell of one fingerprint from a shared one
     shared = posts.groupBy("cell").agg(F.min("fp").alias("a"), F.max("fp").alias("b")).where("a < b").select("cell")
@@ -148,7 +150,7 @@ def fingerprint_classes(marked: DataFrame, fp: str = "fp") -> DataFrame:
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row for each document: id, fp (long) and component_id, the smallest id that links reach."""
-    marked = cut(docs.select(F.col(id_col).alias("_id"), fingerprint(F.col(text_col)).alias("fp")))
+    marked = cut(docs.select(named(id_col).alias("_id"), fingerprint(named(text_col)).alias("fp")))
     smallest = marked.groupBy("fp").agg(F.min("_id").alias("low"))
     classes = cut(fingerprint_classes(marked).join(smallest, "fp"))
     lowest = classes.groupBy("label").agg(F.min("low").alias("component_id"))
@@ -156,14 +158,23 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return marked.join(by_fp, "fp").select(F.col("_id").alias(id_col), "fp", "component_id")
 
 
+def row_key(docs: DataFrame, id_col: str, text_col: str) -> Column:
+    """What tells rows apart: id and text."""
+    return F.concat_ws("|", F.coalesce(named(id_col).cast("string"), F.lit("-")), F.hex(F.xxhash64(F.coalesce(named(text_col), F.lit("")))))
+
+
+def only(docs: DataFrame, key: Column, kept: DataFrame) -> DataFrame:
+    """One row of each ``_key`` in ``kept``; of rows that differ elsewhere, the one of the smallest hash of all it holds."""
+    keyed = docs.select(boxed(docs), key.alias("_key"), row_hash(docs).alias("tie")).join(kept, "_key", "left_semi")
+    return unboxed(keyed.groupBy("_key").agg(F.min_by(ROW, "tie").alias(ROW)), docs.columns)
+
+
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The documents without near-duplicates: of each component the row of the smallest id (rows of a null id
     last, then the smaller hash of the text) stays, once. Columns as they came."""
-    key = F.concat_ws("|", F.coalesce(F.col(id_col).cast("string"), F.lit("-")), F.hex(F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))))
-    marked = cut(
-        docs.select(key.alias("_key"), F.col(id_col).alias("_id"), fingerprint(F.col(text_col)).alias("fp"))
-    )
+    key = row_key(docs, id_col, text_col)
+    marked = cut(docs.select(key.alias("_key"), named(id_col).alias("_id"), fingerprint(named(text_col)).alias("fp")))
     order = lambda: F.struct(F.isnull("_id").alias("n"), F.col("_id").alias("i"), F.col("_key").alias("k"))
     first = marked.groupBy("fp").agg(F.min(order()).alias("first"))
     kept = fingerprint_classes(marked).join(first, "fp").groupBy("label").agg(F.min("first").alias("first")).select(F.col("first.k").alias("_key"))
-    return docs.withColumn("_key", key).join(kept, "_key", "left_semi").dropDuplicates(["_key"]).select(*docs.columns)
+    return only(docs, key, kept)

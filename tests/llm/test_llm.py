@@ -2,9 +2,11 @@
 
 import hashlib
 import itertools
+import math
 import random
 import re
 from collections import Counter
+from fractions import Fraction
 
 import numpy as np
 import pytest
@@ -382,20 +384,44 @@ def test_html_text(spark):
     assert html_text.extract(spark.createDataFrame([], "page_id bigint, url string, html string")).count() == 0
 
 
+def edf_plain(blocks, weights):
+    """(source, block, phase) of each slot: slot after slot, over exact windows, phase after phase."""
+    left, used, out, phase = dict(blocks), dict.fromkeys(blocks, 0), [], 0
+    while left:
+        total = sum(weights[s] for s in left)
+        done, t, names = dict.fromkeys(left, 0), 0, sorted(left, key=lambda s: (s is not None, str(s)))
+        while all(left.values()):
+            share = {s: weights[s] / total for s in left}
+            free = [s for s in names if math.floor(done[s] / share[s]) <= t]
+            s = min(free, key=lambda s: (math.ceil((done[s] + 1) / share[s]), names.index(s)))
+            out.append((s, used[s], phase))
+            done[s], used[s], left[s], t = done[s] + 1, used[s] + 1, left[s] - 1, t + 1
+        left, phase = {s: n for s, n in left.items() if n}, phase + 1
+    return out
+
+
 def test_mixing_is_fair_and_whole(spark):
     rows = [(k, None, None, "big" if k % 3 else ("mid" if k % 2 else None), 0) for k in range(2000)] + [(5, None, None, "big", 0)]
-    docs = spark.createDataFrame(rows, DOCS).withColumn("slot", F.lit("clash"))
-    weights = {"big": 0.5, "mid": 0.3, None: 0.2}
-    out = mixing.mix(docs, weights, block_rows=10, bucket_rows=100, period=10).collect()
-    assert sorted(r.doc_id for r in out) == sorted(r[0] for r in rows)
-    assert len({(r.slot, r.place) for r in out}) == len(rows)
-    order = [s for _, s in sorted({(r.slot, r.source) for r in out if r.phase == 0}, key=lambda x: x[0])]
-    done = Counter()
-    for n, s in enumerate(order, 1):
-        done[s] += 1
-        assert all(abs(done[k] - n * w) < 1 for k, w in weights.items())
+    rows += [(None, str(k), None, "big", 0) for k in range(40)]
+    docs = spark.createDataFrame(rows, DOCS).withColumn("slot", F.lit("clash")).withColumn("h", F.lit(1)).withColumn("src", F.lit("x"))
+    weights = {"big": 0.5, "mid": Fraction(3, 10), None: 1 / 5}
+    out = mixing.mix(docs, weights, block_rows=10, bucket_rows=100).collect()
+    assert sorted((r.doc_id or -1, r.text or "") for r in out) == sorted((r[0] or -1, r[1] or "") for r in rows)
+    assert len({(r.slot, r.place) for r in out}) == len(rows) and out[0].h == 1 and out[0].src == "x"
+    sizes = Counter(r[3] for r in rows)
+    want = edf_plain({s: -(-n // 10) for s, n in sizes.items()}, {"big": Fraction(1, 2), "mid": Fraction(3, 10), None: Fraction(1, 5)})
+    got = {r.slot: (r.source, r.block, r.phase) for r in out}
+    assert [got[t] for t in range(len(got))] == want
+    for phase in {p for _, _, p in want}:  # the bound, against the targets of the sources that are left
+        own = [s for s, _, p in want if p == phase]
+        total, done = sum(mixing.exact(weights[s]) for s in set(own)), Counter()
+        for n, s in enumerate(own, 1):
+            done[s] += 1
+            assert all(abs(done[k] - n * mixing.exact(weights[k]) / total) < 1 for k in set(own))
     assert mixing.mix(docs_of(spark, [])).count() == 0
     assert mixing.in_order(mixing.mix(docs_of(spark, ODD))).count() == len(ODD)
+    with pytest.raises(ValueError):
+        mixing.mix(docs, {"big": math.sqrt(2), "mid": math.pi, None: 1}).count()
 
 
 def test_mixing_order_is_laid_out_and_kept(spark, tmp_path, monkeypatch):
@@ -422,12 +448,29 @@ def test_mixing_order_is_laid_out_and_kept(spark, tmp_path, monkeypatch):
 @pytest.mark.parametrize("seed", range(6))
 def test_schedule_bound(seed):
     rng = random.Random(seed)
-    share = mixing.shares({f"s{k}": rng.random() + 0.01 for k in range(rng.randint(1, 12))}, 97)
-    slots = mixing.schedule(share)
-    assert sorted(itertools.chain(*slots.values())) == list(range(sum(share.values())))
+    share = mixing.integers({f"s{k}": Fraction(rng.randint(1, 40)) for k in range(rng.randint(1, 12))})
+    slots, period = mixing.schedule(share), sum(share.values())
+    assert sorted(itertools.chain(*slots.values())) == list(range(period))
     for s, own in slots.items():
-        for n in range(1, 98):
-            assert abs(sum(x < n for x in own) - n * share[s] / sum(share.values())) < 1
+        for n in range(1, period + 1):
+            assert abs(sum(x < n for x in own) - Fraction(n * share[s], period)) < 1
+
+
+def test_mixing_bound_against_the_targets_at_any_length():
+    weights = {"a": 1 / 3, "b": 1 / 3, "c": 0.3, "d": 1 / 30}
+    exact = {s: mixing.exact(w) for s, w in weights.items()}
+    assert exact == {"a": Fraction(1, 3), "b": Fraction(1, 3), "c": Fraction(3, 10), "d": Fraction(1, 30)}
+    slots = 120_000
+    rows = {r["source"]: r for r in mixing.plan({s: slots for s in weights}, exact) if r["phase"] == 0}
+    at = np.full(slots, "", dtype=object)
+    for s, r in rows.items():
+        k = np.arange(slots)
+        place = r["period"] * (k // r["share"]) + np.array(r["slots"])[k % r["share"]]
+        at[place[place < slots]] = s
+    for s, w in weights.items():
+        assert np.abs(np.cumsum(at == s) - np.arange(1, slots + 1) * float(exact[s])).max() < 1
+    rounded = mixing.whole_weights({k: random.Random(k).random() for k in range(30)}, 997)
+    assert sum(rounded.values()) == 997 and min(rounded.values()) >= 1
 
 
 def test_pipeline_matches_plain_stages(spark, tmp_path):
