@@ -5,18 +5,26 @@ appears: (entity, chunk_id); rel: (subj, pred, obj, support). Nothing is gathere
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from fusemill.checkpoint import cut
+
+#: Edges of this label alone say nothing about relatedness (fixed value).
+TYPE_LABEL = "instance_of"
+#: Entities of more edges, or of more chunks, are no steps of a path (fixed values).
+MAX_DEGREE, MAX_APPEARANCES = 250, 30
+
 
 def appears_in(chunks: DataFrame) -> DataFrame:
     """Distinct (entity, chunk_id) of chunks with an array of entities."""
     return chunks.select(F.explode("entities").alias("entity"), "chunk_id").distinct()
 
 
-def rel_edges(triples: DataFrame) -> DataFrame:
-    """Distinct (subj, pred, obj) with the number of supporting rows and of chunks."""
-    return triples.groupBy("subj", "pred", "obj").agg(F.count(F.lit(1)).alias("support"), F.count_distinct("chunk_id").alias("chunks"))
+def rel_edges(triples: DataFrame, with_chunks: bool = False) -> DataFrame:
+    """Distinct (subj, pred, obj) with the number of supporting rows and of chunks; ``with_chunks``: and the array of their ids."""
+    ids = [F.sort_array(F.collect_set("chunk_id")).alias("chunk_ids")] if with_chunks else []
+    return triples.groupBy("subj", "pred", "obj").agg(F.count(F.lit(1)).alias("support"), F.count_distinct("chunk_id").alias("chunks"), *ids)
 
 
 def degrees(appears: DataFrame, rel: DataFrame) -> DataFrame:
@@ -38,45 +46,126 @@ def support_boost(support: Column) -> Column:
 
 
 def normalise(weights: DataFrame, value: str, *keys: str) -> DataFrame:
-    """Shares of ``value`` within the keys; uniform where nothing is positive."""
-    w = Window.partitionBy(*keys)
-    total = F.sum(F.greatest(F.col(value), F.lit(0.0))).over(w)
-    return weights.withColumn(value, F.when(total > 0, F.try_divide(F.greatest(F.col(value), F.lit(0.0)), total)).otherwise(F.try_divide(F.lit(1.0), F.count(F.lit(1)).over(w).cast("double"))))
+    """Shares of ``value`` within the keys; uniform where nothing is positive. Totals are partial aggregates, joined back, so a hub is no task of its own."""
+    positive = F.greatest(F.col(value), F.lit(0.0))
+    totals = weights.groupBy(*keys).agg(F.sum(positive).alias("_total"), F.count(F.lit(1)).alias("_rows"))
+    joined = weights.join(totals, list(keys)) if keys else weights.crossJoin(F.broadcast(totals))  # without keys the totals are one row
+    return joined.withColumn(value, F.when(F.col("_total") > 0, positive / F.nullif("_total", F.lit(0.0))).otherwise(1 / F.col("_rows"))).drop("_total", "_rows")
+
+
+def related(rel: DataFrame, mode: str = "support") -> DataFrame:
+    """(a, b, w): neighbours in both directions by the greatest support boost of any label, or 1; edges of the type label alone weigh 0 in support mode."""
+    boost = support_boost(F.col("support")) if mode == "support" else F.lit(1.0)
+    one = rel.groupBy("subj", "obj").agg(F.max(boost).alias("w"), F.bool_and(F.col("pred") == TYPE_LABEL).alias("typed"))
+    weight = F.when(F.col("typed"), 0.0).otherwise(F.col("w")) if mode == "support" else F.col("w")
+    both = one.select(F.col("subj").alias("a"), F.col("obj").alias("b"), weight.alias("w"))
+    return both.union(both.select(F.col("b").alias("a"), F.col("a").alias("b"), "w")).groupBy("a", "b").agg(F.max("w").alias("w"))
+
+
+def entity_moves(rel: DataFrame, entities: DataFrame, mode: str = "support") -> DataFrame:
+    """(src, dst, p) over entities alone, rows summing to 1; an entity without neighbours stays where it is. entities: entity."""
+    ee = normalise(related(rel, mode), "w", "a").select(F.col("a").alias("src"), F.col("b").alias("dst"), F.col("w").alias("p"))
+    alone = entities.select(F.col("entity").alias("src")).distinct().join(ee.select("src").distinct(), "src", "left_anti")
+    return ee.unionByName(alone.select("src", F.col("src").alias("dst"), F.lit(1.0).alias("p")))
 
 
 def transitions(appears: DataFrame, rel: DataFrame, chunk_share: float = 0.5, mode: str = "support") -> DataFrame:
     """(src, dst, p), rows summing to 1: entities go to related entities (both directions, by the greater boost of the two or
-    uniformly) and, with ``chunk_share``, to their chunks; chunks go to their entities; what has one kind of neighbour only gives it all."""
-    e = F.concat(F.lit("E:"), F.col("entity").cast("string"))
-    c = F.concat(F.lit("C:"), F.col("chunk_id").cast("string"))
-    ec = appears.select(e.alias("src"), c.alias("dst"))
-    boost = support_boost(F.col("support")) if mode == "support" else F.lit(1.0)
-    both = rel.select("subj", "obj", boost.alias("b")).union(rel.select("obj", "subj", boost.alias("b"))).where("subj <> obj")
-    ee = both.groupBy("subj", "obj").agg(F.max("b").alias("b"))
-    ee = normalise(ee.select(F.concat(F.lit("E:"), F.col("subj").cast("string")).alias("src"), F.concat(F.lit("E:"), F.col("obj").cast("string")).alias("dst"), "b"), "b", "src")
-    to_chunk = normalise(ec.withColumn("b", F.lit(1.0)), "b", "src").withColumn("kind", F.lit("C"))
-    out = ee.withColumn("kind", F.lit("E")).unionByName(to_chunk)
-    w = Window.partitionBy("src")
-    kinds = F.min("kind").over(w) != F.max("kind").over(w)
-    share = F.when(~kinds, 1.0).when(F.col("kind") == "C", chunk_share).otherwise(1 - chunk_share)
-    out = out.withColumn("p", F.col("b") * share).select("src", "dst", "p")
+    uniformly) and, with ``chunk_share``, to their chunks; chunks go to their entities; what has one kind of neighbour only gives it all.
+
+    Every node of the two tables has an edge; ``settled`` adds nodes that have none. Totals are aggregates by node, joined back.
+    """
+    e = lambda c: F.concat(F.lit("E:"), F.col(c).cast("string"))
+    ec = appears.select(e("entity").alias("src"), F.concat(F.lit("C:"), F.col("chunk_id").cast("string")).alias("dst"))
+    ee = related(rel, mode).select(e("a").alias("src"), e("b").alias("dst"), "w")
+    each = ee.withColumn("kind", F.lit("E")).unionByName(ec.withColumns({"w": F.lit(1.0), "kind": F.lit("C")}))
+    part = lambda kind, what: F.sum(F.when(F.col("kind") == kind, what).otherwise(0.0))
+    totals = each.groupBy("src").agg(part("E", F.col("w")).alias("w_e"), part("E", F.lit(1.0)).alias("n_e"), part("C", F.lit(1.0)).alias("n_c"))
+    inside = F.when(F.col("kind") == "C", 1 / F.nullif("n_c", F.lit(0.0))).when(F.col("w_e") > 0, F.col("w") / F.nullif("w_e", F.lit(0.0))).otherwise(1 / F.nullif("n_e", F.lit(0.0)))
+    share = F.when((F.col("n_e") == 0) | (F.col("n_c") == 0), 1.0).when(F.col("kind") == "C", chunk_share).otherwise(1 - chunk_share)
+    out = each.join(totals, "src").select("src", "dst", (inside * share).alias("p"))
     back = normalise(ec.select(F.col("dst").alias("src"), F.col("src").alias("dst"), F.lit(1.0).alias("p")), "p", "src")
     return out.unionByName(back)
 
 
-def pagerank(moves: DataFrame, restart: DataFrame, alpha: float = 0.85, rounds: int = 3) -> DataFrame:
-    """(node, mass) after ``rounds`` steps of mass' = alpha * mass P + (1 - alpha) * restart. restart: (node, mass), summing to 1."""
-    mass = restart
+def settled(moves: DataFrame, nodes: DataFrame) -> DataFrame:
+    """``moves`` with a step from each node without any to itself. nodes: node."""
+    alone = nodes.select(F.col("node").alias("src")).distinct().join(moves.select("src").distinct(), "src", "left_anti")
+    return moves.unionByName(alone.select("src", F.col("src").alias("dst"), F.lit(1.0).alias("p")))
+
+
+def restart_row(nodes: DataFrame, restart: DataFrame) -> DataFrame:
+    """(node, mass) summing to 1: the restart masses of ``nodes``, negative ones as 0; uniform where nothing is left."""
+    met = nodes.select("node").distinct().join(restart, "node", "left").select("node", F.coalesce("mass", F.lit(0.0)).alias("mass"))
+    return normalise(met, "mass")
+
+
+def pagerank(moves: DataFrame, restart: DataFrame, alpha: float = 0.85, rounds: int = 3, tol: float | None = None) -> DataFrame:
+    """(node, mass) after ``rounds`` steps of mass' = alpha * mass P + (1 - alpha) * restart. restart: (node, mass), summing to 1.
+
+    With ``tol`` the walk ends as soon as a step moves less than ``tol`` in sum, and the masses before that step are returned. The moves are written
+    once; with ``tol`` so is each round, since its sum decides on the next one.
+    """
+    moves = cut(moves)
+    mass = cut(restart) if tol is not None else restart
     seed = restart.select("node", ((1 - alpha) * F.col("mass")).alias("m"))
     for _ in range(rounds):
         moved = moves.join(mass, F.col("src") == F.col("node")).select(F.col("dst").alias("node"), (alpha * F.col("p") * F.col("mass")).alias("m"))
-        mass = moved.unionByName(seed).groupBy("node").agg(F.sum("m").alias("mass"))
+        new = moved.unionByName(seed).groupBy("node").agg(F.sum("m").alias("mass"))
+        if tol is not None:
+            new = cut(new)
+            gap = new.join(mass.select("node", F.col("mass").alias("old")), "node", "full_outer").agg(F.sum(F.abs(F.coalesce("mass", F.lit(0.0)) - F.coalesce("old", F.lit(0.0))))).first()[0]
+            if (gap or 0.0) < tol:
+                break
+        mass = new
     return mass
 
 
-def hop(frontier: DataFrame, rel: DataFrame, degree: DataFrame, max_degree: int = 250) -> DataFrame:
-    """Extend paths (start, node, path) by one related entity not on the path; nodes of a greater degree end."""
-    fit = degree.where(F.col("rel_degree") <= max_degree).select(F.col("entity").alias("node"))
-    both = rel.select(F.col("subj").alias("node"), F.col("obj").alias("next"), "support").union(rel.select("obj", "subj", "support"))
-    grown = frontier.join(fit, "node", "left_semi").join(both, "node").where(~F.array_contains("path", F.col("next")))
+def coverage(norm: Column, extracted: Column, best_match: Column) -> Column:
+    """How well a query covers a seed: 1 if its norm was extracted, else its best vector score (0.25 at least), else one half."""
+    return F.when(F.array_contains(extracted, norm), 1.0).when(best_match > 0, F.greatest(F.lit(0.25), best_match)).otherwise(0.5)
+
+
+def seed_mass(specific: Column, covered: Column) -> Column:
+    """Restart mass of a seed before it is normalised."""
+    return specific * F.greatest(covered, F.lit(0.05))
+
+
+def seed_summary(seeds: DataFrame, *keys: str) -> DataFrame:
+    """keys, least, median, greatest specificity (the upper median of an even number) and lowest: the five least specific seeds. seeds: keys, node, specificity."""
+    listed = seeds.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct(F.col("specificity").alias("s"), F.col("node").alias("node")))).alias("x"))
+    at = lambda k: F.get("x", k)["s"]
+    return listed.select(
+        *keys,
+        at(F.lit(0)).alias("least"),
+        at(F.floor(F.size("x") / 2).cast("int")).alias("median"),
+        F.element_at("x", -1)["s"].alias("greatest"),
+        F.slice("x", 1, 5).alias("lowest"),
+    )
+
+
+def restart_distribution(candidates: DataFrame, tau: float, df_ref: float | None = None) -> DataFrame:
+    """(question_id, node, mass), summing to 1: exp(cosine / tau) times log((reference + 1) / (df + 1)), the least df of a node.
+
+    candidates: question_id, node, df, phi (cosine to the query; one value a node). The reference is ``df_ref``, or one more than the question's greatest df.
+    """
+    fit = candidates.where(F.col("node").isNotNull())
+    ref = F.lit(float(df_ref)) if df_ref is not None else F.coalesce(F.col("top_df") + 1.0, F.lit(128.0))
+    tops = candidates.groupBy("question_id").agg(F.max(F.when(F.col("df") >= 0, F.col("df"))).cast("double").alias("top_df"))
+    nodes = fit.groupBy("question_id", "node").agg(F.min("df").alias("df"), F.max("phi").alias("phi"))
+    peak = nodes.groupBy("question_id").agg(F.max("phi").alias("peak")).join(tops, "question_id")
+    idf = F.log((ref + 1) / (F.col("df") + 1))
+    raw = nodes.join(peak, "question_id").select("question_id", "node", (F.exp((F.col("phi") - F.col("peak")) / max(tau, 1e-12)) * idf).alias("mass"))
+    totals = raw.groupBy("question_id").agg(F.sum("mass").alias("total"), F.count(F.lit(1)).alias("n"))
+    mass = F.when(F.col("total") > 0, F.col("mass") / F.nullif("total", F.lit(0.0))).otherwise(1 / F.col("n"))
+    return raw.join(totals, "question_id").select("question_id", "node", mass.alias("mass"))
+
+
+def hop(frontier: DataFrame, rel: DataFrame, degree: DataFrame, max_degree: int = MAX_DEGREE, max_appearances: int = MAX_APPEARANCES) -> DataFrame:
+    """Extend paths (start, node, path) by one related entity not on the path, in either direction; no step goes to a hub or over the type label alone."""
+    fit = degree.where((F.col("total_degree") <= max_degree) & (F.col("appearances") <= max_appearances)).select(F.col("entity").alias("next"))
+    typed = rel.groupBy("subj", "obj").agg(F.bool_and(F.col("pred") == TYPE_LABEL).alias("typed")).where("typed").select("subj", "obj")
+    open_ = rel.join(typed, ["subj", "obj"], "left_anti")
+    both = open_.select(F.col("subj").alias("node"), F.col("obj").alias("next"), "support").union(open_.select("obj", "subj", "support")).join(fit, "next", "left_semi")
+    grown = frontier.join(both, "node").where(~F.array_contains("path", F.col("next")))
     return grown.select("start", F.col("next").alias("node"), F.array_append("path", F.col("next")).alias("path"), "support")

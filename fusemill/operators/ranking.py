@@ -8,6 +8,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from fusemill.functions.text import contains_normalized, matching_form
+
 QUERY_LIMIT = 10_000
 
 
@@ -110,6 +112,54 @@ def stateful_credit(contained: Column) -> Column:
     return F.aggregate(contained, start, step, lambda s: s["rel"])
 
 
+# Sources whose questions are answered by any one gold.
+ANY_SOURCES = ["nq", "naturalquestions", "natural_questions"]
+
+
+def any_gold(source: Column) -> Column:
+    """True where one gold answers the question (OR mode); else, as for an unknown source, each gold counts (AND mode)."""
+    return F.coalesce(F.lower(F.trim(source)).isin(ANY_SOURCES), F.lit(False))
+
+
+def distinct_golds(golds: Column) -> Column:
+    """Golds whose matching forms are new and not empty, in their order."""
+    forms = F.transform(F.coalesce(golds, F.array().cast("array<string>")), lambda g: matching_form(F.coalesce(g, F.lit(""))))
+    pairs = F.arrays_zip(golds.alias("g"), forms.alias("f"))
+    return F.transform(F.filter(pairs, lambda p, i: (p["f"] != "") & (F.array_position(forms, p["f"]) == i + 1)), lambda p: p["g"])
+
+
+def contained_golds(chunk: Column, golds: Column) -> Column:
+    """Numbers (from 0) of the golds that stand in a chunk's text."""
+    return F.filter(F.sequence(F.lit(0), F.size(golds) - 1), lambda k: (k >= 0) & (k < F.size(golds)) & F.coalesce(contains_normalized(chunk, F.get(golds, k)), F.lit(False)))
+
+
+def credit(ranked: DataFrame, *keys: str, contained: str = "contained", any_of: str = "any_of") -> DataFrame:
+    """Add rel, 0 or 1. OR mode: the first chunk with a gold; AND mode: each chunk with a gold that none before it was credited for.
+
+    ranked: keys, rank, contained (gold numbers of the chunk), any_of (the list's mode). A list is folded in one row; it has as many ranks as were asked for.
+    """
+    by = list(keys or ("question_id",))
+    rows = ranked.groupBy(*by).agg(F.sort_array(F.collect_list(F.struct("rank", contained))).alias("_x"), F.bool_or(any_of).alias("_any"))
+    golds = F.transform("_x", lambda x: x[contained])
+    first = F.array_position(F.transform(golds, lambda g: (F.size(g) > 0).cast("int")), 1)
+    rel = F.when(F.col("_any"), F.transform(golds, lambda g, i: (i + 1 == first).cast("int"))).otherwise(stateful_credit(golds))
+    flat = rows.select(*by, F.explode(F.zip_with("_x", rel, lambda x, r: F.struct(x["rank"].alias("rank"), r.alias("rel")))).alias("_r")).select(*by, "_r.*")
+    return ranked.join(flat, [*by, "rank"])
+
+
+def score_lists(chunks: DataFrame, golds: DataFrame, ks: tuple[int, ...] = (5, 10, 20)) -> DataFrame:
+    """question_id and ndcg, hit and recall at each k, 0 for questions without a chunk or whose status isn't OK.
+
+    chunks: question_id, rank, text; golds: question_id, dataset_source, golds, status.
+    """
+    asked = golds.select("question_id", any_gold(F.col("dataset_source")).alias("any_of"), distinct_golds(F.col("golds")).alias("golds"), "status")
+    met = chunks.join(asked.where("status = 'OK'"), "question_id").withColumn("contained", contained_golds(F.coalesce("text", F.lit("")), F.col("golds")))
+    ideal = F.when(F.col("any_of"), F.least(F.size("golds"), F.lit(1))).otherwise(F.size("golds"))
+    out = suite(credit(met.select("question_id", "rank", "contained", "any_of", ideal.alias("ideal"))), F.col("ideal"), ks)
+    names = [c for c in out.columns if c != "question_id"]
+    return asked.select("question_id").join(out, "question_id", "left").fillna(0.0, names)
+
+
 def suite(ranked: DataFrame, ideal_hits: Column, ks: tuple[int, ...] = (5, 10, 20), keys: tuple[str, ...] = ("question_id",)) -> DataFrame:
     """ndcg, hit and recall at each k in one pass; ``rel`` is 0 or 1, ``ideal_hits`` the number of creditable golds of a list."""
     aggs = []

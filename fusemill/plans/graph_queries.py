@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from fusemill.functions import text
-from fusemill.operators import graph
+from fusemill.operators import graph, graph_search
 from fusemill.registry import register
 from fusemill.sources.tables import table
 
@@ -20,7 +20,7 @@ rd AS (SELECT entity, count(*) AS rel_degree FROM (SELECT unnest([subj, obj]) AS
 dg AS (SELECT coalesce(ap.entity, rd.entity) AS entity, coalesce(appearances, 0) AS appearances, coalesce(rel_degree, 0) AS rel_degree, 2 * coalesce(appearances, 0) + coalesce(rel_degree, 0) AS total_degree
        FROM ap FULL JOIN rd ON ap.entity = rd.entity)"""
 _MOVES = """
-bt AS (SELECT subj, obj, 1 + ln(1 + support) AS b FROM rel WHERE subj <> obj UNION ALL SELECT obj, subj, 1 + ln(1 + support) FROM rel WHERE subj <> obj),
+bt AS (SELECT subj, obj, 1 + ln(1 + support) AS b FROM rel UNION ALL SELECT obj, subj, 1 + ln(1 + support) FROM rel),
 ee AS (SELECT 'E:' || subj AS src, 'E:' || obj AS dst, max(b) AS b FROM bt GROUP BY 1, 2),
 en AS (SELECT src, dst, b / sum(b) OVER (PARTITION BY src) AS b, 'E' AS kind FROM ee),
 cn AS (SELECT 'E:' || entity AS src, 'C:' || chunk_id AS dst, 1.0 / count(*) OVER (PARTITION BY entity) AS b, 'C' AS kind FROM app),
@@ -41,13 +41,13 @@ def _sql(*parts, select):
     return "WITH " + ",".join(parts) + "\n" + select
 
 
-def edges(spark, sf_dir):
+def edges(spark, sf_dir, with_chunks=False):
     li = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", "l_linenumber")
     chunks = li.groupBy(F.col("l_orderkey").alias("chunk_id")).agg(F.collect_list("l_partkey").alias("entities"))
     nxt = li.select(F.col("l_orderkey").alias("o2"), F.col("l_partkey").alias("obj"), (F.col("l_linenumber") - 1).alias("n2"))
     pairs = li.join(nxt, (F.col("l_orderkey") == F.col("o2")) & (F.col("l_linenumber") == F.col("n2")))
     triples = pairs.select(F.col("l_partkey").alias("subj"), F.lit("next_to").alias("pred"), "obj", F.col("l_orderkey").alias("chunk_id"))
-    return graph.appears_in(chunks), graph.rel_edges(triples)
+    return graph.appears_in(chunks), graph.rel_edges(triples, with_chunks)
 
 
 @register("graph_appears_in", _sql(_EDGES, select="SELECT entity, chunk_id FROM app"))
@@ -65,17 +65,32 @@ def entity_degree(spark, sf_dir):
     return graph.degrees(*edges(spark, sf_dir))
 
 
+# the label's shape: length term, digits, stop words, letters
+_SHAPE = """greatest(0.05, least(1.0, CASE WHEN len(toks) <= 1 THEN 0.55 WHEN len(toks) <= 5 THEN 0.75 + 0.05 * (len(toks) - 2) ELSE greatest(0.45, 0.95 - 0.04 * (len(toks) - 5)) END
+  * (1 - least(0.85, 2.0 * (length(label) - length(regexp_replace(label, '[0-9]', '', 'g'))) / length(label))) * (1 - least(0.5, 1.2 * len(list_filter(toks, lambda t: list_contains(__STOPS__, t))) / len(toks)))
+  * (0.55 + 0.45 * least(1.0, (length(label) - length(regexp_replace(label, '[a-zA-Z]', '', 'g')))::DOUBLE / length(label)))))""".replace("__STOPS__", str(text.LABEL_STOP_WORDS))
+
+
+@register("label_shape", f"SELECT p_partkey, round({_SHAPE}, 6) AS shape FROM (SELECT p_partkey, label, list_filter(string_split(lower(label), ' '), lambda t: t <> '') AS toks FROM (SELECT p_partkey, trim(p_name || ' of the ' || p_type) AS label FROM part))")
+def label_shape(spark, sf_dir):
+    label = F.concat_ws(" of the ", "p_name", "p_type")
+    return table(spark, sf_dir, "part").select("p_partkey", F.round(text.label_shape(label), 6).alias("shape"))
+
+
 @register(
     "specificity",
     _sql(
         _EDGES, _DEGREES,
-        select="SELECT entity, round(greatest(0.02, least(1.0, 1 / sqrt(1 + appearances) / ln(2 + rel_degree) / ln(2 + greatest(total_degree, rel_degree)) * (0.65 + 0.35 * 0.51))), 6) AS score FROM dg",
+        select=f"SELECT entity, round(greatest(0.02, least(1.0, 1 / sqrt(1 + appearances) / ln(2 + rel_degree) / ln(2 + greatest(total_degree, rel_degree)) * (0.65 + 0.35 * {_SHAPE}))), 6) AS score FROM (SELECT *, 'part' || entity AS label, ['part' || entity] AS toks FROM dg)",
     ),
 )
 def specificity(spark, sf_dir):
-    d = graph.degrees(*edges(spark, sf_dir))
-    shape = text.label_shape(F.concat(F.lit("part"), F.col("entity").cast("string")))  # one token with digits: 0.6 * 0.85
-    return d.select("entity", F.round(graph.specificity(F.col("appearances"), F.col("rel_degree"), F.col("total_degree"), shape), 6).alias("score"))
+    return _specific(graph.degrees(*edges(spark, sf_dir))).select("entity", F.round("specificity", 6).alias("score"))
+
+
+def _specific(degrees):
+    shape = text.label_shape(F.concat(F.lit("part"), F.col("entity").cast("string")))
+    return degrees.withColumn("specificity", graph.specificity(F.col("appearances"), F.col("rel_degree"), F.col("total_degree"), shape))
 
 
 @register("support_boost", _sql(_EDGES, select="SELECT subj, obj, round(1 + ln(1 + support), 6) AS boost FROM rel"))
@@ -96,7 +111,7 @@ def transition_row_sums(spark, sf_dir):
 
 def _ranked(spark, sf_dir):
     appears, rel = edges(spark, sf_dir)
-    seeds = graph.normalise(appears.where("entity % 100 = 0").select(F.concat(F.lit("E:"), F.col("entity").cast("string")).alias("node")).distinct().withColumn("mass", F.lit(1.0)), "mass", F.lit(0))
+    seeds = graph.normalise(appears.where("entity % 100 = 0").select(F.concat(F.lit("E:"), F.col("entity").cast("string")).alias("node")).distinct().withColumn("mass", F.lit(1.0)), "mass")
     return graph.pagerank(graph.transitions(appears, rel), seeds)
 
 
@@ -113,10 +128,10 @@ def ppr_rank_chunks(spark, sf_dir):
 
 _HOPS = """
 st AS (SELECT DISTINCT entity AS start FROM app WHERE entity % 100 = 0),
-fit AS (SELECT entity FROM dg WHERE rel_degree <= 250),
+fit AS (SELECT entity FROM dg WHERE total_degree <= 250 AND appearances <= 30),
 nb AS (SELECT subj AS a, obj AS b, support FROM rel UNION ALL SELECT obj, subj, support FROM rel),
-h1 AS (SELECT start, b AS node, [start, b] AS path, support FROM st JOIN fit ON start = entity JOIN nb ON a = start WHERE b <> start),
-h2 AS (SELECT start, b AS node, list_append(path, b) AS path, nb.support FROM h1 JOIN fit ON node = entity JOIN nb ON a = node WHERE NOT list_contains(path, b))"""
+h1 AS (SELECT start, b AS node, [start, b] AS path, support FROM st JOIN nb ON a = start JOIN fit ON b = entity WHERE b <> start),
+h2 AS (SELECT start, b AS node, list_append(path, b) AS path, nb.support FROM h1 JOIN nb ON a = node JOIN fit ON b = entity WHERE NOT list_contains(path, b))"""
 
 
 def _start(appears):
@@ -142,3 +157,69 @@ def paths_2hop(spark, sf_dir):
 def scope_cap(spark, sf_dir):
     d = graph.degrees(*edges(spark, sf_dir))
     return d.orderBy(F.desc("rel_degree"), "entity").limit(256).select("entity", "rel_degree")
+
+
+_UNIFORM = """nbr AS (SELECT DISTINCT a, b FROM (SELECT subj AS a, obj AS b FROM rel UNION ALL SELECT obj, subj FROM rel)),
+um AS (SELECT a AS src, b AS dst, 1.0 / count(*) OVER (PARTITION BY a) AS p FROM nbr),
+al2 AS (SELECT * FROM um UNION ALL SELECT entity, entity, 1.0 FROM (SELECT DISTINCT entity FROM app) WHERE entity NOT IN (SELECT src FROM um))"""
+
+
+@register("entity_moves_uniform", _sql(_EDGES, _UNIFORM, select="SELECT src, dst, round(p, 6) AS p FROM al2"))
+def entity_moves_uniform(spark, sf_dir):
+    appears, rel = edges(spark, sf_dir)
+    return graph.entity_moves(rel, appears, "uniform").withColumn("p", F.round("p", 6))
+
+
+_SEEDS = """c AS (SELECT 'q' || (entity // 100) AS question_id, entity AS node, appearances AS df, 1.0 / (1 + entity % 100) AS phi FROM dg WHERE entity % 100 < 3),
+r AS (SELECT *, exp((phi - max(phi) OVER w) / 0.1) * ln((max(df) OVER w + 2.0) / (df + 1.0)) AS mass FROM c WINDOW w AS (PARTITION BY question_id))"""
+
+
+def _seeds(spark, sf_dir, specific):
+    """Three parts of each hundred are a question's candidates; how near they are to it falls with their number."""
+    phi = 1 / (1 + F.col("entity") % 100).cast("double")
+    found = specific.where("entity % 100 < 3").select(F.concat(F.lit("q"), F.floor(F.col("entity") / 100).cast("string")).alias("question_id"), F.col("entity").alias("node"), F.col("appearances").alias("df"), phi.alias("phi"))
+    return graph.restart_distribution(found, 0.1)
+
+
+@register("restart_masses", _sql(_EDGES, _DEGREES, _SEEDS, select="SELECT question_id, node, round(mass / sum(mass) OVER (PARTITION BY question_id), 6) AS mass FROM r"))
+def restart_masses(spark, sf_dir):
+    return _seeds(spark, sf_dir, graph.degrees(*edges(spark, sf_dir))).withColumn("mass", F.round("mass", 6))
+
+
+@register(
+    "seed_summary",
+    _sql(
+        _EDGES, _DEGREES,
+        f"sp AS (SELECT 'q' || (entity // 100) AS question_id, round(greatest(0.02, least(1.0, 1 / sqrt(1 + appearances) / ln(2 + rel_degree) / ln(2 + greatest(total_degree, rel_degree)) * (0.65 + 0.35 * {_SHAPE}))), 6) AS s FROM (SELECT *, 'part' || entity AS label, ['part' || entity] AS toks FROM dg))",
+        select="SELECT question_id, min(s) AS least, list_sort(list(s))[(count(*) // 2 + 1)::INT] AS median, max(s) AS greatest FROM sp GROUP BY 1",
+    ),
+)
+def seed_summary(spark, sf_dir):
+    d = _specific(graph.degrees(*edges(spark, sf_dir)))
+    q = d.select(F.concat(F.lit("q"), F.floor(F.col("entity") / 100).cast("string")).alias("question_id"), F.col("entity").alias("node"), F.round("specificity", 6).alias("specificity"))
+    return graph.seed_summary(q, "question_id").drop("lowest")
+
+
+_COVER = "cv AS (SELECT entity, CASE WHEN entity % 2 = 0 THEN 1.0 WHEN entity % 3 = 0 THEN greatest(0.25, 1.0 / entity) ELSE 0.5 END AS c, 1.0 / (1 + rel_degree) AS s FROM dg)"
+
+
+@register("seed_coverage", _sql(_EDGES, _DEGREES, _COVER, select="SELECT entity, round(s * greatest(c, 0.05), 6) AS mass FROM cv"))
+def seed_coverage(spark, sf_dir):
+    """Even parts were extracted by name, every third is a vector match, the rest neither."""
+    d = graph.degrees(*edges(spark, sf_dir))
+    e = F.col("entity").cast("string")
+    covered = graph.coverage(e, F.when(F.col("entity") % 2 == 0, F.array(e)).otherwise(F.array().cast("array<string>")), F.when(F.col("entity") % 3 == 0, 1 / F.col("entity")).otherwise(0.0))
+    return d.select("entity", F.round(graph.seed_mass(1 / (1 + F.col("rel_degree")), covered), 6).alias("mass"))
+
+
+@register("graph_retrieve")
+def graph_retrieve(spark, sf_dir):
+    """The whole graph query: seeds, best-first paths, grounding, and chunks by PageRank in each question's neighbourhood."""
+    appears, rel = edges(spark, sf_dir, with_chunks=True)
+    specific = _specific(graph.degrees(appears, rel))
+    text_ = lambda c: F.col(c).cast("string").alias(c)
+    seeds = _seeds(spark, sf_dir, specific).select("question_id", F.col("node").cast("string").alias("entity"), "mass")
+    rel = rel.select(text_("subj"), "pred", text_("obj"), "support", F.col("chunk_ids").cast("array<string>").alias("chunk_ids"))
+    degree = specific.select(text_("entity"), "appearances", "rel_degree", "total_degree", "specificity")
+    found = graph_search.retrieve(seeds, appears.select(text_("entity"), text_("chunk_id")), rel, degree)
+    return found.withColumns({"score": F.round("score", 6), "residual": F.round("residual", 8)})

@@ -144,6 +144,29 @@ def ndcg_suite(spark, sf_dir):
     return ranking.suite(ranking.credit_first(rel), F.lit(1))
 
 
+@register(
+    "ndcg_and",
+    _sql(
+        _BRANCHES,
+        """r AS (SELECT d.question_id, row_number() OVER (PARTITION BY d.question_id ORDER BY d.score DESC, d.chunk_id) - 1 AS rank, (c.label - q.q_label + 10) % 10 AS gold FROM dense d JOIN q USING (question_id) JOIN c USING (chunk_id)),
+cr AS (SELECT *, CASE WHEN gold < 3 AND row_number() OVER (PARTITION BY question_id, gold ORDER BY rank) = 1 THEN 1 ELSE 0 END AS rel FROM r)""",
+        select="SELECT question_id, "
+        + ", ".join(
+            f"round(sum(CASE WHEN rank < {k} THEN rel / log2(rank + 2) ELSE 0.0 END) / (1 + 1 / log2(3) + 0.5), 6) AS ndcg_{k}, max(CASE WHEN rank < {k} THEN rel ELSE 0 END)::DOUBLE AS hit_{k}, round(least(1.0, sum(CASE WHEN rank < {k} THEN rel ELSE 0 END)::DOUBLE / 3), 6) AS recall_{k}"
+            for k in (5, 10, 20)
+        )
+        + " FROM cr GROUP BY 1",
+    ),
+)
+def ndcg_and(spark, sf_dir):
+    """Three golds a question: chunks of its label and of the two after it; each is credited once."""
+    q, c = _sides(spark, sf_dir)
+    hits = ranking.dense_search(q.drop("q_label"), c.drop("label"), K)
+    gold = F.pmod(F.col("label") - F.col("q_label"), F.lit(10))
+    met = hits.join(q.drop("q_vec"), "question_id").join(c.drop("vec"), "chunk_id").withColumn("contained", F.when(gold < 3, F.array(gold.cast("int"))).otherwise(F.array().cast("array<int>")))
+    return ranking.suite(ranking.credit(met.withColumn("any_of", F.lit(False))), F.lit(3))
+
+
 @register("oracle_sweep", _sql(_BRANCHES, _NORM, _SWEEP, select="SELECT question_id, bin, w, objective FROM scored"))
 def oracle_sweep(spark, sf_dir):
     return _scored(spark, sf_dir)

@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from fusemill.functions import text
+from fusemill.operators import containment
 from fusemill.registry import register
 from fusemill.sources.tables import table
 
-_MATCH = r"trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(lower({x}), '\|', ' ', 'g'), '\s+([,.;:!?%])', '\1', 'g'), '([(\[{{])\s+', '\1', 'g'), '\s+([)\]}}])', '\1', 'g'), '\s+', ' ', 'g'))"
+_MATCH = r"trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(replace(lower({x}), 'ß', 'ss'), '\|', ' ', 'g'), '\s+([,.;:!?%])', '\1', 'g'), '([(\[{{])\s+', '\1', 'g'), '\s+([)\]}}])', '\1', 'g'), '\s+', ' ', 'g'))"
 _LETTER = r"\p{{L}}\p{{N}}_"
 _ARTICLE = rf"'(^|[^{_LETTER}])(a|an|the)($|[^{_LETTER}])', '\1 \3', 'g'"  # twice: articles next to each other share a separator
 _ANSWER = r"trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(lower({x}), " + _ARTICLE + "), " + _ARTICLE + r"), '[!-/:-@\[-`{{-~]', '', 'g'), '\s+', ' ', 'g'))"
@@ -74,13 +75,11 @@ k AS (SELECT item_id, CASE WHEN item_id % 2 = 0 THEN 'nq' ELSE '2wiki' END AS sr
 
 
 def _support(spark, sf_dir):
-    """item_id, src, keep. Sentences are the small side (benchmark), found by a broadcast containment join over each document once."""
+    """item_id, src, keep. Sentences meet documents by their rarest word."""
     s = table(spark, sf_dir, "benchmark").select("item_id", F.explode(text.sentences(F.col("text"))).alias("s")).where(F.length("s") >= 20)
     s = s.select("item_id", text.matching_form(F.col("s")).alias("needle")).distinct()
-    hay = table(spark, sf_dir, "documents").select(text.matching_form(F.col("text")).alias("hay"))
-    needles = s.select("needle").distinct()
-    needles = F.broadcast(needles) if needles.limit(20_001).count() <= 20_000 else needles
-    found = hay.join(needles, F.contains(F.col("hay"), F.col("needle"))).select("needle").distinct().withColumn("hit", F.lit(True))
+    hay = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), text.matching_form(F.col("text")).alias("hay"))
+    found = containment.found(hay, s).select("needle").distinct().withColumn("hit", F.lit(True))
     f = s.join(found, "needle", "left").withColumn("found", F.col("hit").isNotNull())
     src = F.when(F.col("item_id") % 2 == 0, "nq").otherwise("2wiki")
     keep = F.when(F.first("src") == "nq", F.bool_or("found")).otherwise(F.bool_and("found"))
