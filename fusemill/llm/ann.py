@@ -211,7 +211,7 @@ def build(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embeddi
     total = fine.count()
     # a threshold needs no sort: each row decides for itself, and the driver gets a bounded number
     share = min(1.0, 1.05 * sample_rows / max(1, total))
-    rows = fine.where(F.pmod("h", F.lit(1 << 32)) <= int(share * (1 << 32))).collect()
+    rows = fine.where(F.pmod("h", F.lit(1 << 32)) <= int(share * (1 << 32))).limit(2 * sample_rows).collect()
     rows = sorted(rows, key=lambda r: (r["h"] % (1 << 32), r["i"], r["v"]))[:sample_rows]
     if not rows:
         return None

@@ -2,16 +2,21 @@
 
 Each page's containers are scored on the executors by how much running text they hold; Spark sums the scores by host and generalised
 tag-class path (numbers in class names are alike), and the path with the greatest sum wins the host. Pages are then extracted again from the
-container on the winning path; a page without that path falls back on its own best container.
+containers on the winning path; a page without text there falls back on its own best path.
 
-The vote is a partial aggregate of one row for each page's leading containers; the join with the winners is by host, where AQE may split a hot host.
+A page is parsed once: its blocks of text, and for each path the runs of blocks that its containers hold, are written to the shared folder, so that the second
+extraction only joins runs of blocks. Every path of a page that holds text votes. Containers on one path never hold each other; all of them are extracted, in page order.
 
-The extracted text is the container's blocks without menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles and comments of
+Scale: html itself is never shuffled. The vote is a partial aggregate by host and path; the winners, one row a host, are spread over ``SALT`` parts of each host for
+the join, so that a host of a third of all pages is dealt to as many tasks.
+
+The extracted text is the containers' blocks without menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles and comments of
 readers: elements of such tags, roles or class and id names are left out. White space in a block becomes one space, blocks are joined by
 line feeds, character references are decoded. Line breaks inside a block are white space.
 
-Defined results: null or empty html gives '' and 0; a null url has the empty host; markup of any kind is read without failing, unclosed elements end
-with what holds them; repeated rows and null ids are extracted each; an empty table gives an empty result; further columns don't matter.
+Defined results: null or empty html gives '' and 0; a null url has the empty host; markup of any kind and length is read whole without failing, unclosed elements
+end with what holds them; equal votes go to the deeper path, then the later name; repeated rows and null ids are extracted each; an empty table gives an empty
+result; further columns pass under any name, and one named like an added column is replaced.
 """
 
 from __future__ import annotations
@@ -25,6 +30,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from fusemill.llm.common import ROW, boxed, cut, named, unboxed
+
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"'=]|=\s*\"[^\"]*\"|=\s*'[^']*'|[=\"'])*+)>", re.S
 )
@@ -57,6 +64,8 @@ SKIP_NAMES = re.compile(
     r"|comments?|commentlist|respond|replies|disqus|skip|toolbar|tags)(?:$|[-_\s\d])",
     re.I,
 )
+#: Parts that a host is dealt to.
+SALT = 64
 _BONUS = {"article": 1.5, "main": 1.4, "body": 0.9, "td": 0.9}
 
 
@@ -191,55 +200,75 @@ def score(e: Element) -> float:
     return max(0.0, e.text - 2.0 * e.links) * _BONUS.get(e.tag, 0.8 if not e.tag else 1.0)
 
 
-def _best(elements: list[Element]) -> Element:
-    """Greatest score; of equal ones the innermost, then the first."""
-    return max(elements, key=lambda e: (score(e), e.path.count("/"), -e.order))
+@dataclass(slots=True)
+class Run:
+    """What a page holds on one path."""
 
+    path: str
+    score: float
+    share: float
+    spans: list[tuple[int, int]]
 
-def leading(page: Page, most: int = 5) -> list[tuple[str, float]]:
-    """(path, vote) of a page's ``most`` best paths: the share of the best score, sharpened so that a container that all
-    pages have, as body, doesn't win by being everywhere."""
-    by_path: dict[str, float] = {}
-    for e in page.containers:
-        if e.tag:
-            by_path[e.path] = max(by_path.get(e.path, 0.0), score(e))
-    top = max(by_path.values(), default=0.0)
-    ranked = sorted(by_path.items(), key=lambda x: (-x[1], -x[0].count("/"), x[0]))[:most]
-    return [(p, (s / top) ** 8) for p, s in ranked if top > 0]
 
+def runs(page: Page) -> list[Run]:
+    """Paths with text, the page's best one first: greatest score, then deepest, then first in the page.
 
-def text_at(page: Page, path: str | None) -> str:
-    """Text of the best container on ``path``, or of the best one where there is none with text."""
-    on_path = [e for e in page.containers if e.path == path and e.text > 0]
-    e = _best(on_path or page.containers)
-    return "\n".join(page.blocks[e.start : e.end])
+    share is the vote: the part of the best score, sharpened so that a container that all pages have, as body, doesn't win by being everywhere. What
+    stands in no container has the empty path and no vote.
+    """
+    by_path: dict[str, list[Element]] = {}
+    for e in page.containers:
+        if e.text > 0:
+            by_path.setdefault(e.path if e.tag else "", []).append(e)
+    found = [Run(p, sum(map(score, es)), 0.0, [(e.start, e.end) for e in sorted(es, key=lambda e: e.start)]) for p, es in by_path.items()]
+    first = {p: min(e.order for e in es) for p, es in by_path.items()}
+    found.sort(key=lambda r: (-r.score, -r.path.count("/"), first[r.path]))
+    top = max((r.score for r in found if r.path), default=0.0)
+    for r in found:
+        r.share = (r.score / top) ** 8 if r.path and top > 0 else 0.0
+    return found
 
 
 def host_of(url: Column) -> Column:
     return F.lower(F.regexp_extract(F.coalesce(url, F.lit("")), r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1))
 
 
-def host_paths(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """host, path, votes: the winning path of each host."""
+_PARSED = "struct<blocks:array<string>,runs:array<struct<path:string,share:double,spans:array<struct<start:int,end:int>>>>>"
 
-    def vote(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for sources in batches:
-            yield pd.Series([[{"path": p, "share": s} for p, s in leading(parse(x or ""))] for x in sources], dtype=object)
 
-    votes = pages.select(host_of(F.col(url_col)).alias("host"), F.explode(F.pandas_udf(vote, "array<struct<path:string,share:double>>")(F.col(html_col))).alias("v"))
-    summed = votes.groupBy("host", F.col("v.path").alias("path")).agg(F.round(F.sum("v.share"), 6).alias("votes"))
-    best = F.max(F.struct("votes", (F.length("path") - F.length(F.replace("path", F.lit("/")))).alias("depth"), "path"))
-    return summed.groupBy("host").agg(best.alias("b")).select("host", F.col("b.path").alias("path"), F.col("b.votes").alias("votes"))
+def _parsed(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+    for sources in batches:
+        pages = [parse(x or "") for x in sources]
+        found = [[{"path": r.path, "share": r.share, "spans": [{"start": a, "end": b} for a, b in r.spans]} for r in runs(p)] for p in pages]
+        yield pd.DataFrame({"blocks": [p.blocks for p in pages], "runs": found})
 
 
-def extract(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """Input columns plus host, path (the winning one, null without any), text and n_chars."""
-    winners = host_paths(pages, url_col, html_col).select(F.col("host").alias("_host"), "path")
-    joined = pages.drop("host", "path").withColumn("host", host_of(F.col(url_col))).join(winners, F.col("host") == F.col("_host"), "left").drop("_host")
+def _winners(parsed: DataFrame) -> DataFrame:
+    """host, path, votes: the winning path of each host. parsed: host, runs."""
+    votes = parsed.select("host", F.explode("runs").alias("r")).where(F.col("r.share") > 0).select("host", "r.path", "r.share")
+    summed = votes.groupBy("host", "path").agg(F.round(F.sum("share"), 6).alias("votes"))
+    best = F.max(F.struct("votes", (F.length("path") - F.length(F.replace("path", F.lit("/")))).alias("depth"), "path"))
+    return summed.groupBy("host").agg(best.alias("b")).select("host", F.col("b.path").alias("path"), F.col("b.votes").alias("votes"))
 
-    def run(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-        for sources, paths in batches:
-            yield pd.Series([text_at(parse(s or ""), p) for s, p in zip(sources, paths, strict=True)], dtype=object)
 
-    out = joined.withColumn("text", F.pandas_udf(run, "string")(F.col(html_col), F.col("path")))
-    return out.withColumn("n_chars", F.length("text").cast("long"))
+def host_paths(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> DataFrame:
+    """host, path, votes: the winning path of each host."""
+    parsed = pages.select(host_of(named(url_col)).alias("host"), F.pandas_udf(_parsed, _PARSED)(named(html_col)).alias("p"))
+    return _winners(parsed.select("host", "p.runs"))
+
+
+def extract(pages: DataFrame, url_col: str = "url", html_col: str = "html", keep: list[str] | None = None) -> DataFrame:
+    """The columns ``keep`` (all, if not given) plus host, path (the winning one, null without any), text and n_chars."""
+    columns = pages.columns if keep is None else keep
+    made = F.pandas_udf(_parsed, _PARSED)(named(html_col))
+    parts = F.pmod(F.xxhash64(named(url_col), F.length(named(html_col)), F.monotonically_increasing_id()), F.lit(SALT)).cast("int")
+    parsed = cut(pages.select(boxed(pages.select(*[named(c) for c in columns])), host_of(named(url_col)).alias("host"), parts.alias("part"), made.alias("p")).select(ROW, "host", "part", "p.*"))
+    each = F.sequence(F.lit(0), F.lit(SALT - 1))
+    winners = cut(_winners(parsed)).select(F.col("host").alias("of_host"), F.explode(each).alias("of_part"), F.col("path").alias("won"))
+    joined = parsed.join(winners, (F.col("host") == F.col("of_host")) & (F.col("part") == F.col("of_part")), "left")
+    on_path = F.get(F.filter("runs", lambda r: r["path"] == F.col("won")), F.lit(0))
+    joined = joined.select(ROW, "host", "won", "blocks", F.coalesce(on_path, F.get("runs", F.lit(0)))["spans"].alias("spans"))
+    held = F.flatten(F.transform("spans", lambda s: F.slice("blocks", s["start"] + 1, s["end"] - s["start"])))
+    text = F.coalesce(F.array_join(held, "\n"), F.lit(""))
+    out = joined.select(ROW, "host", "won", text.alias("text"))
+    return unboxed(out, columns, host=F.col("host"), path=F.col("won"), text=F.col("text"), n_chars=F.length("text").cast("long"))

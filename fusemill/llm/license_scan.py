@@ -1,19 +1,23 @@
 """License scans by an exact set-similarity join against license templates.
 
-Text blocks (lines) and templates are sets of words. Words get one global order, rarest first, from their document
+Text blocks and templates are sets of words. A block is a line and the words that follow it, up to as many as the longest template has, so that a
+statement that is broken over lines stands whole in the block of the line where it begins. Words get one global order, rarest first, from their document
 counts over the whole corpus. A template of t distinct words must share o = ceil(threshold * t) of them with a block,
 so one of its t - o + 1 rarest words stands in every such block and among the block's own first words (prefix
 filter); a block with fewer than o template words can't match (length filter); nor can one whose words after the
 common one are too few (positional filter). What is left is verified exactly. Words in no template can't add to the
 overlap and are left out of the blocks.
 
+Templates that differ in fewer words than the threshold allows, as those of the GPL's sisters, would match each other's texts; only one of such a family is in
+the table.
+
 The templates are a fixed, small parameter and go into the plan as literals, so the join is a narrow transformation:
 no shuffle, no hot key, no broadcast of data. The one aggregate is the count of template words over the corpus: at most
 one row for each template word. DataFrame functions only.
 
 Defined results: null text counts as empty (0 words, no places, null first and last word, empty labels, score 0); null
 doc_id passes; repeated rows are scanned each for itself; an empty table gives an empty result; further columns of the input
-pass through, and one named like an added column is replaced. Texts are scanned whole.
+pass through under any name, and one named like an added column is replaced. Texts of any length are scanned whole.
 """
 
 from __future__ import annotations
@@ -23,6 +27,8 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from fusemill.llm.common import boxed, named, unboxed
+
 # Phrases and their labels, and the templates of the method with theirs.
 PHRASES = {"cc by": "cc-by", "general public license": "gpl", "all rights reserved": "reserved"}
 TEMPLATES = (
@@ -37,6 +43,14 @@ TEMPLATES = (
     ("mit", "released under the mit license"),
     ("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software"),
     ("mpl", "this source code form is subject to the terms of the mozilla public license v 2 0"),
+    ("apache", "unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis"),
+    ("bsd", "neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software"),
+    ("cc0", "to the extent possible under law the author has waived all copyright and related or neighboring rights to this work"),
+    ("epl", "this program and the accompanying materials are made available under the terms of the eclipse public license"),
+    ("isc", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted"),
+    ("mit", "the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software"),
+    ("unlicense", "this is free and unencumbered software released into the public domain"),
+    ("zlib", "in no event will the authors be held liable for any damages arising from the use of this software"),
 )
 
 _SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -53,13 +67,22 @@ def _literal(values) -> Column:
     return F.array(*[F.lit(x) for x in values])
 
 
-def _blocks(text: Column) -> Column:
-    return F.split(F.coalesce(text, F.lit("")), "\n")
+def reach(templates: tuple[tuple[str, str], ...]) -> int:
+    """Words after a line that still belong to its block."""
+    return max((len(words.split()) for _, words in templates), default=0)
+
+
+def _blocks(text: Column, words: Column, more: int) -> Column:
+    """The words of each block: those of a line and the ``more`` words after it. words: all of the text's, which are its lines' one after another."""
+    counts = F.transform(F.split(text, "\n"), lambda x: F.size(license_words(x)))
+    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<at:int,n:int>>").alias("out"))
+    spans = F.aggregate(counts, start, lambda s, n: F.struct((s["at"] + n).alias("at"), F.array_append(s["out"], F.struct(s["at"].alias("at"), n.alias("n"))).alias("out")), lambda s: s["out"])
+    return F.transform(spans, lambda p: F.slice(words, p["at"] + 1, p["n"] + more))
 
 
 def word_frequency(docs: DataFrame, vocabulary: list[str], text_col: str = "text") -> dict[str, int]:
     """Documents that hold each word of ``vocabulary``: at most len(vocabulary) rows come to the driver."""
-    found = F.array_intersect(license_words(F.col(text_col)), _literal(vocabulary))
+    found = F.array_intersect(license_words(named(text_col)), _literal(vocabulary))
     rows = docs.select(F.explode(found).alias("w")).groupBy("w").count().collect()
     return dict.fromkeys(vocabulary, 0) | {r["w"]: r["count"] for r in rows}
 
@@ -108,7 +131,8 @@ def scan(
         ordered = sorted(words, key=order.index)
         prefixes |= set(ordered[: len(ordered) - max(1, math.ceil(threshold * len(ordered) - 1e-9)) + 1])
 
-    df = docs.withColumn("_words", license_words(F.col(text_col)))
+    whole = F.coalesce(named(text_col), F.lit(""))
+    df = docs.select(boxed(docs), whole.alias("_whole"), license_words(whole).alias("_words"))
     w = F.col("_words")
     spelled = [(p.split(), label) for p, label in phrases.items()]
     firsts = sorted({p[0] for p, _ in spelled})
@@ -122,8 +146,8 @@ def scan(
     places = F.concat(*[F.col(f"_p{k}") for k in range(len(spelled))])
     base = F.array_compact(F.array(*[F.when(F.size(f"_p{k}") > 0, F.lit(label)) for k, (_, label) in enumerate(spelled)]))
 
-    ordered_block = lambda x: F.array_intersect(_literal(order), license_words(x))
-    blocks = F.transform(_blocks(F.col(text_col)), lambda x, i: F.struct(i.alias("block"), ordered_block(x).alias("words")))
+    each = _blocks(F.col("_whole"), w, reach(templates))
+    blocks = F.transform(each, lambda x, i: F.struct(i.alias("block"), F.array_intersect(_literal(order), x).alias("words")))
     df = df.withColumns({"_places": places, "_base": base})
     # a text without any word of a template's prefix holds no match
     df = df.withColumn("_blocks", F.when(F.arrays_overlap(w, _literal(sorted(prefixes))), blocks))
@@ -137,19 +161,19 @@ def scan(
     )
     df = df.withColumn("matches", F.coalesce(found, F.array().cast("array<struct<block:int,label:string,share:double>>")))
     labels = F.array_sort(F.array_union("_base", F.transform("matches", lambda m: m["label"])))
-    return df.withColumns(
-        {
-            "n_words": F.size("_words").cast("long"),
-            "n_base": F.size("_places").cast("long"),
-            "first_word": F.array_min("_places").cast("long"),
-            "last_word": F.array_max("_places").cast("long"),
-            "base_labels": F.array_join(F.array_sort(F.array_distinct("_base")), ","),
-            "labels": F.array_join(F.array_distinct(labels), ","),
-            "score": F.when(F.size("_places") > 0, F.lit(1.0)).otherwise(
-                F.coalesce(F.array_max(F.transform("matches", lambda m: m["share"])), F.lit(0.0))
-            ),
-        }
-    ).drop("_words", "_places", "_base", "_blocks", *[f"_p{k}" for k in range(len(spelled))])
+    best = F.coalesce(F.array_max(F.transform("matches", lambda m: m["share"])), F.lit(0.0))
+    return unboxed(
+        df,
+        docs.columns,
+        n_words=F.size("_words").cast("long"),
+        n_base=F.size("_places").cast("long"),
+        first_word=F.array_min("_places").cast("long"),
+        last_word=F.array_max("_places").cast("long"),
+        base_labels=F.array_join(F.array_sort(F.array_distinct("_base")), ","),
+        labels=F.array_join(F.array_distinct(labels), ","),
+        score=F.when(F.size("_places") > 0, F.lit(1.0)).otherwise(best),
+        matches=F.col("matches"),
+    )
 
 
 def _all(conditions) -> Column:

@@ -116,13 +116,25 @@ def plan(blocks: Mapping[str | None, int], weights: Mapping[str | None, Fraction
     return out
 
 
+def _starts(sizes: DataFrame, together: int = 1_000) -> DataFrame:
+    """of_src, of_bucket, start: rows of the source in smaller buckets. Sums run within runs of ``together`` buckets and over the runs, so no window holds all buckets."""
+    run = F.floor(F.col("of_bucket") / together).cast("int")
+    before = lambda *keys: Window.partitionBy("of_src", *keys).rowsBetween(Window.unboundedPreceding, -1)
+    each = sizes.withColumn("run", run)
+    inside = each.withColumn("within", F.coalesce(F.sum("n").over(before("run").orderBy("of_bucket")), F.lit(0)))
+    runs = each.groupBy("of_src", F.col("run").alias("of_run")).agg(F.sum("n").alias("n_run"))
+    runs = runs.select(F.col("of_src").alias("run_src"), "of_run", F.coalesce(F.sum("n_run").over(before().orderBy("of_run")), F.lit(0)).alias("ahead"))
+    met = inside.join(runs, F.col("of_src").eqNullSafe(F.col("run_src")) & (F.col("run") == F.col("of_run")))
+    return met.select("of_src", "of_bucket", (F.col("within") + F.col("ahead")).alias("start"))
+
+
 def _placed(
     docs: DataFrame,
     weights: Mapping[str | None, Weight] | None = None,
     source_col: str = "source",
     id_col: str = "doc_id",
     block_rows: int = BLOCK_ROWS,
-    bucket_rows: int = 20_000,
+    bucket_rows: int = 2_000,
     seed: int = 17,
     max_period: int = MAX_PERIOD,
 ) -> DataFrame:
@@ -145,8 +157,7 @@ def _placed(
     keyed = docs.select(boxed(docs), named(source_col).alias("src"), named(id_col).alias("id"), row_hash(docs).alias("tie"))
     keyed = keyed.withColumn("h", order).withColumn("bucket", F.pmod("h", F.lit(buckets)).cast("int"))
     sizes = keyed.groupBy(F.col("src").alias("of_src"), F.col("bucket").alias("of_bucket")).agg(F.count(F.lit(1)).alias("n"))
-    before = Window.partitionBy("of_src").orderBy("of_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    starts = sizes.select("of_src", "of_bucket", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start"))
+    starts = _starts(sizes)
     numbered = keyed.withColumn("r", F.row_number().over(Window.partitionBy("src", "bucket").orderBy("h", "id", "tie"))).drop("h", "id", "tie")
     numbered = numbered.join(starts, F.col("src").eqNullSafe(F.col("of_src")) & (F.col("bucket") == F.col("of_bucket")))
     numbered = numbered.withColumn("seq", F.col("start") + F.col("r") - 1)

@@ -73,9 +73,13 @@ _OP9_SQL = (
     + """),
 pl AS (SELECT rid, label, i FROM (SELECT rid, label, words, w, unnest(range(1, greatest(len(w) - len(words) + 2, 1))) AS i FROM t, p WHERE list_has_all(w, words)) WHERE list_slice(w, i, i + len(words) - 1) = words),
 b AS (SELECT rid, count(*) AS n, min(i) - 1 AS f, max(i) - 1 AS l, list_distinct(list(label)) AS labels FROM pl GROUP BY 1),
-bl AS (SELECT rid, list_distinct(regexp_extract_all("""
-    + f"{_LOWER.format(x='y')}, {_W})) AS s FROM (SELECT rid, unnest(string_split(coalesce(text, ''), chr(10))) AS y FROM t)),"
-    + """
+nl AS (SELECT rid, w, list_transform(string_split(coalesce(text, ''), chr(10)), lambda y: len(regexp_extract_all("""
+    + f"{_LOWER.format(x='y')}, {_W}"
+    + """))) AS c FROM t),
+sp AS (SELECT rid, w, c, unnest(range(1, len(c) + 1)) AS i FROM nl),
+bl AS (SELECT rid, list_distinct(list_slice(w, coalesce(list_sum(c[1:i - 1]), 0)::BIGINT + 1, (coalesce(list_sum(c[1:i - 1]), 0) + c[i])::BIGINT + """
+    + str(license_scan.reach(license_scan.TEMPLATES))
+    + """)) AS s FROM sp),
 m AS (SELECT rid, list_distinct(list(label)) AS labels, max(len(list_intersect(s, words)) / len(words)::DOUBLE) AS share FROM bl, tpl WHERE len(list_intersect(s, words)) >= 0.8 * len(words) - 1e-9 GROUP BY 1)
 SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n, 0)::BIGINT AS n_base, f::BIGINT AS first_word, l::BIGINT AS last_word, coalesce(array_to_string(list_sort(b.labels), ','), '') AS base_labels,
   coalesce(array_to_string(list_sort(list_distinct(list_concat(coalesce(b.labels, []), coalesce(m.labels, [])))), ','), '') AS labels, CASE WHEN n > 0 THEN 1.0 ELSE coalesce(share, 0.0) END::DOUBLE AS score
@@ -140,7 +144,7 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("op6_html_text")
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return html_text.extract(table(spark, sf_dir, "pages")).select("page_id", "url", "text", "n_chars")
+    return html_text.extract(table(spark, sf_dir, "pages"), keep=["page_id", "url"]).select("page_id", "url", "text", "n_chars")
 
 
 @query("op7_mixing")

@@ -5,11 +5,12 @@ estimates each labeller's accuracies without any true label, and the posterior o
 scorer is trained on those posteriors and scores every document.
 
 The pattern counts cover all documents: at most 3 ** labellers rows come to the driver, whatever the input. The scorer is fitted on a
-bounded sample (``sample_rows`` documents, those of the smallest id hashes), from feature vectors made on the executors; all
-documents are scored, whole texts, without a shuffle.
+bounded sample (``sample_rows`` documents of small hashes of id and text: each document decides for itself by a threshold, so the sample takes no sort and no
+shuffle), from the filled places of feature vectors made on the executors; all documents are scored, whole texts, without a shuffle.
 
-Defined results: null text counts as empty (n_words 0, no features: the scorer's bias decides); null ids pass; repeated rows are scored
-alike; an empty table gives an empty result with an untrained model; further columns pass, one named like an added column is replaced.
+Defined results: null text counts as empty (n_words 0, no features: the scorer's bias decides); null ids pass; repeated rows and ties are scored
+alike; texts of any length are scored whole; an empty table gives an empty result with an untrained model; further columns pass under any name, one named
+quality or kept is replaced.
 """
 
 from __future__ import annotations
@@ -23,6 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fusemill.llm import quality_rules
+from fusemill.llm.common import named
 
 GOOD, BAD, ABSTAIN = 1, 0, -1
 DIM = 2048
@@ -145,22 +147,32 @@ class Model:
 
 def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample_rows: int = 4000) -> Model:
     """Fit labeller accuracies on all documents, and the scorer on ``sample_rows`` of them at most."""
-    voted = votes(docs.select(F.col(id_col), F.col(text_col)), text_col)
+    voted = votes(docs.select(named(text_col).alias("text")), "text")
     names = [c for c in voted.columns if c.startswith("v_")]
     rows = voted.groupBy(*names).count().collect()
     patterns = np.array([[r[n] for n in names] for r in rows], dtype=int).reshape(len(rows), len(names))
     prior, table, post = fit_labellers(patterns, np.array([r["count"] for r in rows], dtype=float))
     posterior = {tuple(p): float(q) for p, q in zip(patterns.tolist(), post, strict=True)}
-    chosen = docs.select(F.col(id_col).alias("i"), F.col(text_col), F.xxhash64(id_col).alias("h")).orderBy("h", "i").limit(sample_rows)
-    made = votes(chosen, text_col).select(*names, F.pandas_udf(_feature_batches, "array<float>")(F.col(text_col)).alias("x")).collect()
-    x = np.array([r["x"] for r in made], dtype=np.float64).reshape(len(made), DIM)
+    total = sum(r["count"] for r in rows)
+    hashed = F.pmod(F.xxhash64(named(id_col), named(text_col)), F.lit(1 << 32))
+    bound = int(min(1.0, 1.05 * sample_rows / max(1, total)) * (1 << 32))
+    chosen = docs.select(named(text_col).alias("text"), hashed.alias("h")).where(F.col("h") <= bound)
+    # rows that repeat one another share a hash; the limit holds what comes to the driver in bounds
+    filled = F.pandas_udf(_filled, "struct<at:array<int>,x:array<float>>")(F.col("text")).alias("f")
+    made = votes(chosen, "text").select("h", *names, filled).limit(2 * sample_rows).collect()
+    made = sorted(made, key=lambda r: (r["h"], r["f"]["at"]))[:sample_rows]
+    x = np.zeros((len(made), DIM))
+    for k, r in enumerate(made):
+        x[k, r["f"]["at"]] = r["f"]["x"]
     target = np.array([posterior.get(tuple(r[n] for n in names), prior) for r in made])
     return Model(train(x, target), prior, table, posterior)
 
 
-def _feature_batches(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+def _filled(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
     for texts in batches:
-        yield pd.Series([features(t) for t in texts])
+        each = [features(t) for t in texts]
+        at = [np.flatnonzero(f).astype(np.int32) for f in each]
+        yield pd.DataFrame({"at": at, "x": [f[k] for f, k in zip(each, at, strict=True)]})
 
 
 def classify(docs: DataFrame, model: Model, text_col: str = "text", threshold: float = 0.5) -> DataFrame:
@@ -171,5 +183,5 @@ def classify(docs: DataFrame, model: Model, text_col: str = "text", threshold: f
         for texts in batches:
             yield pd.Series([float(scorer.score(features(t)[None, :].astype(np.float64))[0]) for t in texts], dtype="float64")
 
-    out = docs.withColumn("quality", F.pandas_udf(run, "double")(F.col(text_col)))
+    out = docs.withColumn("quality", F.pandas_udf(run, "double")(named(text_col)))
     return out.withColumn("kept", F.col("quality") >= threshold)
