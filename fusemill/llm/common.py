@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from fusemill.checkpoint import cut, shared_folder  # noqa: F401  (the operators take both from here)
+
 #: White space as the contracts define it, for use inside a character class.
 ASCII_SPACE = r"\x20\x09-\x0D"
 #: The column that carries an input row whole, so that no working column can clash with the row's own.
@@ -17,27 +19,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir. Only a local session may go without and gets a temporary one."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if base is None:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
-        base = tempfile.mkdtemp(prefix="fusemill-")
-    return base.rstrip("/")
-
-
-def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the cluster's shared folder; make one of our own only in a local session where none is set (tests)."""
-    sc = spark.sparkContext
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(shared_folder(spark))
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the shared checkpoint folder, so that lost executors cost no recomputation."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+def stored(df: DataFrame) -> DataFrame:
+    """``df`` as Parquet files in the shared folder, read again: smaller than a checkpoint, and read by columns."""
+    path = f"{shared_folder(df.sparkSession)}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def named(column: str) -> Column:

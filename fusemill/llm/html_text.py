@@ -7,8 +7,9 @@ containers on the winning path; a page without text there falls back on its own
 A page is parsed once: its blocks of text, and for each path the runs of blocks that its containers hold, are written to the shared folder, so that the second
 extraction only joins runs of blocks. Every path of a page that holds text votes. Containers on one path never hold each other; all of them are extracted, in page order.
 
-Scale: html itself is never shuffled. The vote is a partial aggregate by host and path; the winners, one row a host, are spread over ``SALT`` parts of each host for
-the join, so that a host of a third of all pages is dealt to as many tasks.
+Scale: neither html nor text is shuffled while the winners, one row a host, are at most ``BROADCAST_HOSTS``, which is counted: they are broadcast. More of them
+meet the pages in a join over ``SALT`` parts of each host, so that a host of a third of all pages is dealt to as many tasks. The vote is a partial aggregate by
+host and path.
 
 The extracted text is the containers' blocks without menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles and comments of
 readers: elements of such tags, roles or class and id names are left out. White space in a block becomes one space, blocks are joined by
@@ -30,7 +31,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fusemill.llm.common import ROW, boxed, cut, named, unboxed
+from fusemill.llm.common import ROW, boxed, cut, named, stored, unboxed
 
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"'=]|=\s*\"[^\"]*\"|=\s*'[^']*'|[=\"'])*+)>", re.S
@@ -64,8 +65,8 @@ SKIP_NAMES = re.compile(
     r"|comments?|commentlist|respond|replies|disqus|skip|toolbar|tags)(?:$|[-_\s\d])",
     re.I,
 )
-#: Parts that a host is dealt to.
-SALT = 64
+#: Hosts whose winning paths are broadcast at most, and the parts that a host is dealt to beyond.
+BROADCAST_HOSTS, SALT = 50_000, 64
 _BONUS = {"article": 1.5, "main": 1.4, "body": 0.9, "td": 0.9}
 
 
@@ -261,11 +262,15 @@ def extract(pages: DataFrame, url_col: str = "url", html_col: str = "html", keep
     """The columns ``keep`` (all, if not given) plus host, path (the winning one, null without any), text and n_chars."""
     columns = pages.columns if keep is None else keep
     made = F.pandas_udf(_parsed, _PARSED)(named(html_col))
-    parts = F.pmod(F.xxhash64(named(url_col), F.length(named(html_col)), F.monotonically_increasing_id()), F.lit(SALT)).cast("int")
-    parsed = cut(pages.select(boxed(pages.select(*[named(c) for c in columns])), host_of(named(url_col)).alias("host"), parts.alias("part"), made.alias("p")).select(ROW, "host", "part", "p.*"))
-    each = F.sequence(F.lit(0), F.lit(SALT - 1))
-    winners = cut(_winners(parsed)).select(F.col("host").alias("of_host"), F.explode(each).alias("of_part"), F.col("path").alias("won"))
-    joined = parsed.join(winners, (F.col("host") == F.col("of_host")) & (F.col("part") == F.col("of_part")), "left")
+    page = pages.select(boxed(pages.select(*[named(c) for c in columns])), host_of(named(url_col)).alias("host"), made.alias("p"))
+    parsed = stored(page.select(ROW, "host", "p.*"))
+    winners = cut(_winners(parsed)).select(F.col("host").alias("of_host"), F.col("path").alias("won"))
+    if winners.count() <= BROADCAST_HOSTS:
+        joined = parsed.join(F.broadcast(winners), F.col("host") == F.col("of_host"), "left")
+    else:
+        dealt = parsed.withColumn("part", F.pmod(F.monotonically_increasing_id(), F.lit(SALT)).cast("int"))
+        each = winners.withColumn("of_part", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))))
+        joined = dealt.join(each, (F.col("host") == F.col("of_host")) & (F.col("part") == F.col("of_part")), "left")
     on_path = F.get(F.filter("runs", lambda r: r["path"] == F.col("won")), F.lit(0))
     joined = joined.select(ROW, "host", "won", "blocks", F.coalesce(on_path, F.get("runs", F.lit(0)))["spans"].alias("spans"))
     held = F.flatten(F.transform("spans", lambda s: F.slice("blocks", s["start"] + 1, s["end"] - s["start"])))
