@@ -4,7 +4,7 @@ Lines are parsed to a fixed depth: token count, then ``depth`` leading tokens, l
 fields from the start. Within a leaf a token that stands at its place in fewer than ``min_docs`` texts is a variable field, too. The
 line with its variable fields marked is its template. A template recurs if lines of at least ``min_docs`` documents of different
 text have it and at least ``min_constant`` of its tokens are constant. Of a recurring template the first line (smallest document
-id, then line number) stays and all others are dropped; with ``keep_first`` False that one goes as well.
+id, then line number, then hash of the text) stays and all others are dropped; with ``keep_first`` False that one goes as well.
 
 Lines of ``long_tokens`` tokens or more are held to ``long_docs`` documents as well, in place of ``min_docs``: a long passage recurs from its
 second text on. Such a line goes if it is a later line by either rule. What it is later than comes before it, so one line of each group stays.
@@ -13,7 +13,7 @@ Documents of exactly the same text count once, so that copies alone make nothing
 
 Scale: the tree is a grouping by hashes. Leaves that only one text reaches go first, on rows of a few numbers; a leaf with one spelling
 needs no tokens. In the others a line is cut into pieces of ``PIECE`` tokens, and a piece that as many texts share as any rule asks is constant
-as a whole; only the tokens of the rest are counted one by one. A template is the exclusive or of its constant places' hashes, so that
+as a whole; only the tokens of the rest are counted one by one, together with those of the constant pieces at their place. A template is the exclusive or of its constant places' hashes, so that
 it is a partial aggregate and no line is put together again. Each distinct line is read from one document that holds it.
 Documents are counted as distinct texts; a line's least and greatest text stand for all of its texts where it has two at most. No leaf, template or
 document group is gathered in one task: all steps are partial aggregates, or joins whose skewed parts AQE may split since a written table follows them;
@@ -99,9 +99,14 @@ def _templates(lines: DataFrame, needs: list[int], min_constant: float) -> DataF
     slots = F.transform("part", lambda t, i: F.when(t != VARIABLE, F.xxhash64("leaf", F.col("k") * PIECE + i, t)))
     slots = F.filter(slots, lambda s: s.isNotNull())
     joined = F.aggregate(slots, F.lit(0).cast("bigint"), lambda a, s: a.bitwiseXOR(s))
-    whole = met.where("texts >= top").select("leaf", "line", F.col("top").alias("texts"), F.size(slots).alias("places"), joined.alias("slot"))
-    single = cut(met.where("texts < top").select("leaf", "line", "docs", "few", F.explode(slots).alias("slot")))
-    counted = single.select("leaf", "line", "slot").join(cut(_texts_of(single, "slot")), "slot")
+    fine, rest = met.where("texts >= top"), met.where("texts < top")
+    whole = fine.select("leaf", "line", F.col("top").alias("texts"), F.size(slots).alias("places"), joined.alias("slot"))
+    single = cut(rest.select("leaf", "line", "k", "docs", "few", F.explode(slots).alias("slot")))
+    # a token of such a piece may stand in a constant one of another line as well: each of those counts once, with all its texts
+    near = fine.join(single.select("leaf", "k").distinct(), ["leaf", "k"], "left_semi")
+    near = near.groupBy("piece").agg(*[F.first(c).alias(c) for c in ("leaf", "k", "part", "few")], F.max("texts").alias("docs"))
+    places = single.select("slot", "docs", "few").unionByName(near.select(F.explode(slots).alias("slot"), "docs", "few"))
+    counted = single.select("leaf", "line", "slot").join(cut(_texts_of(places, "slot")), "slot")
     parts = whole.unionByName(counted.select("leaf", "line", "texts", F.lit(1).alias("places"), "slot"))
     held = lambda need: F.col("texts") >= need
     sums = [F.sum(F.when(held(r), F.col("places")).otherwise(0)).alias(f"places{r}") for r in needs]
@@ -161,8 +166,8 @@ def dropped_lines(
     again = cut(recurring(docs, mine, id_col, text_col, **limits))
     seen = cut(mine.join(again, ["leaf", "line"]).select("id", "text", "no", "template"))
     if keep_first:
-        first = cut(seen.groupBy("template").agg(F.min(F.struct("id", "no")).alias("first")))
-        seen = seen.join(first, "template").where(~F.struct("id", "no").eqNullSafe(F.col("first")))
+        first = cut(seen.groupBy("template").agg(F.min(F.struct("id", "no", "text")).alias("first")))
+        seen = seen.join(first, "template").where(~F.struct("id", "no", "text").eqNullSafe(F.col("first")))
     return seen.groupBy("id", "text").agg(F.collect_set("no").alias("drop"))
 
 

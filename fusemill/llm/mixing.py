@@ -134,7 +134,7 @@ def _placed(
     source_col: str = "source",
     id_col: str = "doc_id",
     block_rows: int = BLOCK_ROWS,
-    bucket_rows: int = 2_000,
+    bucket_rows: int = 500,
     seed: int = 17,
     max_period: int = MAX_PERIOD,
 ) -> DataFrame:
