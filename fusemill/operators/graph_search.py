@@ -167,42 +167,54 @@ def scope(graph: Local, paths: list[Path], seeds: Iterable[str], most: int) -> l
     return sorted(all_)
 
 
-def local_moves(graph: Local, entities: list[str], s: Settings) -> tuple[np.ndarray, list[str]]:
-    """Row-stochastic matrix over the entities and the chunks next to them."""
+class Moves(NamedTuple):
+    """A row-stochastic matrix by its filled places."""
+
+    src: np.ndarray
+    dst: np.ndarray
+    p: np.ndarray
+    size: int
+
+    def step(self, mass: np.ndarray) -> np.ndarray:
+        return np.bincount(self.dst, weights=mass[self.src] * self.p, minlength=self.size)
+
+
+def local_moves(graph: Local, entities: list[str], s: Settings) -> tuple[Moves, list[str]]:
+    """Moves over the entities and the chunks next to them."""
     chunks = sorted({c for e in entities for c in graph.chunks[e]})
-    at = {("E", e): k for k, e in enumerate(entities)} | {("C", c): len(entities) + k for k, c in enumerate(chunks)}
-    m = np.zeros((len(at), len(at)))
+    at = {e: k for k, e in enumerate(entities)}
+    place = {c: len(entities) + k for k, c in enumerate(chunks)}
+    rows: list[tuple[int, int, float]] = []
+    back: dict[int, list[int]] = defaultdict(list)
     for e in entities:
         weight: dict[int, float] = {}
         for a, b in [(e, o) for o in graph.out[e]] + [(o, e) for o in graph.into[e]]:
-            other = at.get(("E", b if a == e else a))
+            other = at.get(b if a == e else a)
             if other is not None:
-                labels = graph.labels(a, b)
-                w = max((graph.boost(a, b, x) for x in labels), default=0.0) if s.mode == "support" else 1.0
+                w = max((graph.boost(a, b, x) for x in graph.labels(a, b)), default=0.0) if s.mode == "support" else 1.0
                 weight[other] = max(weight.get(other, 0.0), w)
         if weight and sum(weight.values()) <= 0:
             weight = dict.fromkeys(weight, 1.0)
-        near = [at["C", c] for c in graph.chunks[e]]
-        row, share = m[at["E", e]], s.chunk_share if weight else 1.0
-        for j, w in weight.items():
-            row[j] += (1 - share if near else 1.0) * w / sum(weight.values())
+        near = sorted(place[c] for c in graph.chunks[e])
+        share, total = s.chunk_share if weight else 1.0, sum(weight.values())
+        rows += [(at[e], j, (1 - share if near else 1.0) * w / total) for j, w in weight.items()]
+        rows += [(at[e], j, share / len(near)) for j in near]
         for j in near:
-            row[j] += share / len(near)
-            m[j, at["E", e]] = 1.0
+            back[j].append(at[e])
         if not weight and not near:
-            row[at["E", e]] = 1.0
-    k = len(entities)
-    m[k:] /= np.maximum(m[k:].sum(1, keepdims=True), 1.0)
-    return m, chunks
+            rows.append((at[e], at[e], 1.0))
+    rows += [(j, k, 1 / len(owners)) for j, owners in back.items() for k in owners]
+    src, dst, p = zip(*rows, strict=True) if rows else ((), (), ())
+    return Moves(np.array(src, dtype=int), np.array(dst, dtype=int), np.array(p, dtype=float), len(at) + len(place)), chunks
 
 
-def walk(m: np.ndarray, restart: np.ndarray, alpha: float, rounds: int, tol: float) -> tuple[np.ndarray, int, float]:
+def walk(moves: Moves, restart: np.ndarray, alpha: float, rounds: int, tol: float) -> tuple[np.ndarray, int, float]:
     """Masses, rounds and last residual; the round that moves less than ``tol`` isn't taken."""
     start = np.maximum(restart, 0.0)
     start = start / start.sum() if start.sum() > 0 else np.full(len(start), 1 / max(1, len(start)))
     mass, gap, k = start.copy(), 0.0, 0
     for k in range(1, rounds + 1):
-        new = alpha * (mass @ m) + (1 - alpha) * start
+        new = alpha * moves.step(mass) + (1 - alpha) * start
         gap = float(np.abs(new - mass).sum())
         if gap < tol:
             break

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from fusemill.functions import records
-from fusemill.operators import extraction, phrases
+from fusemill.operators import entities, extraction, phrases
 from fusemill.registry import register
 from fusemill.sources.tables import table
 
@@ -85,3 +85,16 @@ def phrase_matches(spark, sf_dir):
     d = table(spark, sf_dir, "benchmark").select(opening.alias("match_key"), F.col("item_id").cast("string").alias("canonical"), F.lit(1).alias("df"), F.lit(1).alias("prio"))
     d = d.union(table(spark, sf_dir, "nation").select(F.lower("n_name"), F.col("n_name"), F.lit(1), F.lit(0)))
     return phrases.matches(table(spark, sf_dir, "documents").withColumn("text", F.lower("text")), d, "doc_id", "text").withColumnRenamed("id", "doc_id")
+
+
+@register("question_entities")
+def question_entities(spark, sf_dir):
+    """Phrases of the benchmark passages and names of nations that documents name, filtered, resolved by aliases and ranked."""
+    opening = F.array_join(F.slice(F.split(F.lower("text"), r"\s+"), 1, 3), " ")
+    d = table(spark, sf_dir, "benchmark").select(opening.alias("match_key"), opening.alias("canonical"), F.lit(1).alias("df"), F.lit(2).alias("prio"))
+    nations = table(spark, sf_dir, "nation").select(F.lower("n_name").alias("match_key"), F.lower("n_name").alias("canonical"), F.lit(1).alias("df"), F.lit(3).alias("prio"))
+    regions = table(spark, sf_dir, "nation").join(table(spark, sf_dir, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
+    alias = entities.aliases(regions.select(F.col("n_name").alias("alias"), F.col("r_name").alias("canonical"), F.col("n_nationkey").cast("string").alias("pos")))
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text")
+    out = entities.extract(docs, d.union(nations), alias)
+    return out.select(F.col("id").alias("doc_id"), "rank", "canonical", "matched", "start", "end", "n_tokens")

@@ -50,18 +50,8 @@ shared(
     "answerability_manifest",
     "SELECT d.source, count(*) AS n, sum(CASE WHEN l.quality = 1 THEN 1 ELSE 0 END) > 0 AS any_answerable, CAST(sum(CASE WHEN l.quality = 1 THEN 1 ELSE 0 END) AS BIGINT) AS answerable, CAST(sum(CASE WHEN l.quality = 0 THEN 1 ELSE 0 END) AS BIGINT) AS unanswerable FROM labels l JOIN documents d ON d.doc_id = l.doc_id GROUP BY d.source",
 )
-_BALANCE = """v AS (SELECT l.doc_id, d.source, row_number() OVER (PARTITION BY d.source ORDER BY {h}, l.doc_id) AS r FROM labels l JOIN documents d ON d.doc_id = l.doc_id WHERE l.quality = 1),
-m AS (SELECT min(n) AS least FROM (SELECT source, count(*) AS n FROM v GROUP BY source) x)"""
-shared(
-    "balance_mask",
-    "WITH " + _BALANCE.format(h="sha256(CAST(l.doc_id AS VARCHAR) || ':42')") + " SELECT doc_id, source, 'balance' AS reason FROM v, m WHERE r > least",
-    "WITH " + _BALANCE.format(h="sha2(CAST(l.doc_id AS STRING) || ':42', 256)") + " SELECT doc_id, source, 'balance' AS reason FROM v, m WHERE r > least",
-)
 shared("mask_union", "SELECT doc_id, min(reason) AS reason FROM (SELECT doc_id, 'audit' AS reason FROM labels WHERE toxic = 1 UNION ALL SELECT doc_id, 'balance' FROM labels WHERE quality = 0) x GROUP BY doc_id")
 # splits and normalisers
-_RANKS = """r AS (SELECT doc_id, source, row_number() OVER (PARTITION BY source ORDER BY {h}, doc_id) AS k, count(*) OVER (PARTITION BY source) AS n FROM documents)
-SELECT doc_id, source, CASE WHEN k <= floor(n * 0.7) THEN 'train' WHEN k <= floor(n * 0.7) + floor(n * 0.15) THEN 'dev' ELSE 'test' END AS split FROM r"""
-shared("split_stratified", "WITH " + _RANKS.format(h="sha256(CAST(doc_id AS VARCHAR) || ':7')"), "WITH " + _RANKS.format(h="sha2(CAST(doc_id AS STRING) || ':7', 256)"))
 shared(
     "zscore_train",
     """WITH s AS (SELECT avg(CAST(n_chars AS DOUBLE)) AS m, stddev_samp(CAST(n_chars AS DOUBLE)) AS sd FROM documents WHERE doc_id IN (SELECT doc_id FROM labels))

@@ -5,12 +5,13 @@ State is bounded by the watermark: a window or session is emitted once when the
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from fusemill.checkpoint import shared_folder
+
 
 def read(spark: SparkSession, path: str) -> DataFrame:
     """The Parquet folder or file ``path`` as a stream, with ts as a timestamp."""
@@ -36,7 +37,6 @@ def once(events: DataFrame, keys: list[str], delay: str = "2 hours") -> DataFram
 def run_available(stream: DataFrame, name: str) -> DataFrame:
     """Run the stream over all there is now; its appended rows come back as a table in the shared checkpoint folder."""
     spark = stream.sparkSession
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="fusemill-stream-")
-    base = f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    base = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
     stream.writeStream.format("parquet").outputMode("append").option("checkpointLocation", f"{base}/state").option("path", f"{base}/out").trigger(availableNow=True).start().awaitTermination()
     return spark.read.schema(stream.schema).parquet(f"{base}/out")

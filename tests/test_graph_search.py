@@ -48,20 +48,32 @@ def test_grounding():
     assert graph_search.step_chunks(apart, Step("a", "r", "c")) == {"c1", "c2"}
 
 
+def dense(moves):
+    m = np.zeros((moves.size, moves.size))
+    np.add.at(m, (moves.src, moves.dst), moves.p)
+    return m
+
+
+def sparse(m):
+    src, dst = np.nonzero(m)
+    return graph_search.Moves(src, dst, m[src, dst], len(m))
+
+
 def test_local_moves_and_walk():
-    m, chunks = graph_search.local_moves(toy(), ["a", "b", "c"], Settings())
+    moves, chunks = graph_search.local_moves(toy(), ["a", "b", "c"], Settings())
+    m = dense(moves)
     assert chunks == ["c1", "c2"] and np.allclose(m.sum(1), 1)
     assert np.allclose(m[0], [0, 0.5, 0, 0.5, 0]) and np.allclose(m[1], [0.25, 0, 0.25, 0.25, 0.25]) and np.allclose(m[3], [0.5, 0.5, 0, 0, 0])
     lone, _ = graph_search.local_moves(toy({}, {}), ["z"], Settings())
-    assert lone.tolist() == [[1.0]]
+    assert dense(lone).tolist() == [[1.0]]
     typed, _ = graph_search.local_moves(toy({("a", "b"): {"instance_of": (3, frozenset())}}, {}), ["a", "b"], Settings())
-    assert typed.tolist() == [[0, 1], [1, 0]]  # nothing has weight: uniform
+    assert dense(typed).tolist() == [[0, 1], [1, 0]]  # nothing has weight: uniform
     start = np.array([1.0, 0, 0, 0, 0])
-    mass, rounds, gap = graph_search.walk(m, start, 0.85, 200, 1e-9)
+    mass, rounds, gap = graph_search.walk(moves, start, 0.85, 200, 1e-9)
     assert math.isclose(mass.sum(), 1) and gap < 1e-9 and rounds < 200
     exact = np.linalg.solve(np.eye(5) - 0.85 * m.T, 0.15 * start)
     assert np.allclose(mass, exact, atol=1e-7)
-    once, n, _ = graph_search.walk(m, start, 0.85, 1, 10.0)
+    once, n, _ = graph_search.walk(moves, start, 0.85, 1, 10.0)
     assert n == 1 and once.tolist() == start.tolist()  # the round that moves less than tol isn't taken
     assert graph_search.scope(toy(degree=defaultdict(int, a=1, b=2, c=1)), [Path("a", (Step("a", "causes", "b"), Step("b", "causes", "c")))], {"c"}, 2) == ["b", "c"]
 
@@ -107,7 +119,7 @@ def test_transitions_and_tolerance(spark):
     assert {r.node: r.mass for r in restart.collect()} == {"E:a": 1.0, "E:b": 0.0, "C:c1": 0.0}
     got = {r.node: r.mass for r in graph.pagerank(moves, restart, rounds=60, tol=1e-6).collect()}
     m = np.array([[0, 0.5, 0.5], [0.5, 0, 0.5], [0.5, 0.5, 0]])
-    want, _, _ = graph_search.walk(m, np.array([1.0, 0, 0]), 0.85, 60, 1e-6)
+    want, _, _ = graph_search.walk(sparse(m), np.array([1.0, 0, 0]), 0.85, 60, 1e-6)
     assert np.allclose([got["E:a"], got["E:b"], got["C:c1"]], want, atol=1e-12)
     assert {r.mass for r in graph.restart_row(spark.createDataFrame([("x",), ("y",)], "node string"), restart).collect()} == {0.5}
     typed = spark.createDataFrame([("a", "instance_of", "b", 3), ("a", "led", "c", 1)], "subj string, pred string, obj string, support int")
