@@ -9,7 +9,8 @@ queries within the sample; if none does, all lists are visited.
 
 Scale: the index (centroids and graph) is bounded by parameter and travels with the tasks. Lists grow in number with the table up to that bound, so that a
 query reads about as many rows at any size below it; beyond, raise ``sample_rows``. Lists and the queries that visit them are cut into blocks of about
-``block_rows``, and one task group is one block of vectors against one block of queries, so that a hot list is spread. Equal vectors are searched once: of a
+``block_rows``, and one task group is one block of vectors against one block of queries, so that a hot list is spread. A query's ``ahead_lists`` nearest lists
+are searched first; of its other lists only what reaches the (k + 1)-th score found there is sent on, which loses nothing. Equal vectors are searched once: of a
 vector's ids only the k + 1 smallest can be among anyone's k nearest (ties go to smaller ids, and the query's own id is the one that may drop
 out), which bounds groups of copies exactly.
 
@@ -224,7 +225,7 @@ def build(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embeddi
 
 
 def search(
-    vectors: DataFrame, queries: DataFrame, index: Index | None, k: int = 5, id_col: str = "vec_id", vector_col: str = "embedding", block_rows: int = 4096
+    vectors: DataFrame, queries: DataFrame, index: Index | None, k: int = 5, id_col: str = "vec_id", vector_col: str = "embedding", block_rows: int = 4096, ahead_lists: int = 8
 ) -> DataFrame:
     """query_id, rank (from 1), vec_id, score: the k nearest found of each row of ``queries`` among ``vectors``, itself left out.
 
@@ -253,15 +254,18 @@ def search(
     each = lambda n: F.sequence(F.lit(0), n - 1)
     left = posted.select("ids", "v", F.explode("lists").alias("l"))
     left = left.select("ids", "v", "l", spread(F.col("ids"), F.get(pb, F.col("l"))).alias("b"), F.explode(each(F.get(qb, F.col("l")))).alias("q"))
-    right = probes.select("head", "v", F.explode("lists").alias("l"))
-    right = right.select("head", "v", "l", F.explode(each(F.get(pb, F.col("l")))).alias("b"), spread(F.col("head"), F.get(qb, F.col("l"))).alias("q"))
+
+    def asked_of(df: DataFrame, lists: Column, floor: Column) -> DataFrame:
+        """Probes of the given lists, each met by all blocks of the list."""
+        each_list = df.select("head", "v", floor.alias("floor"), F.explode(lists).alias("l"))
+        return each_list.select("head", "v", "floor", "l", F.explode(each(F.get(pb, F.col("l")))).alias("b"), spread(F.col("head"), F.get(qb, F.col("l"))).alias("q"))
 
     def nearest(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
         heads_, ids_, scores = [], [], []
         if len(a) and len(b):
             first = np.array([i[0] for i in a["ids"]])
             x, y = _matrix(a["v"]), _matrix(b["v"])
-            nx = np.sqrt((x * x).sum(1))
+            nx, floor = np.sqrt((x * x).sum(1)), b["floor"].to_numpy()
             for s in range(0, len(y), 512):
                 z = y[s : s + 512]
                 nz = np.sqrt((z * z).sum(1))
@@ -269,7 +273,7 @@ def search(
                 m = min(k + 1, len(x))
                 kth = -np.partition(-sims, m - 1, axis=1)[:, m - 1]
                 for r in range(len(z)):
-                    c = np.flatnonzero(sims[r] >= kth[r] - 1e-9)
+                    c = np.flatnonzero(sims[r] >= max(kth[r], floor[s + r]) - 1e-9)
                     # a product of blocks may round as the block is cut; a row's own sum doesn't
                     score = (x[c] * z[r]).sum(1) / (nx[c] * nz[r])
                     order = np.lexsort((first[c], -score))[:m]
@@ -279,10 +283,21 @@ def search(
         return pd.DataFrame({"head": pd.Series(heads_, dtype="int64"), "ids": pd.Series(ids_, dtype=object), "score": pd.Series(scores, dtype="float64")})
 
     key = ["l", "b", "q"]
-    found = left.groupBy(*key).cogroup(right.groupBy(*key)).applyInPandas(nearest, "head bigint, ids array<bigint>, score double")
-    # a vector on several lists is found several times
-    once = found.groupBy("head", F.element_at("ids", 1).alias("first")).agg(F.max("score").alias("score"), F.first("ids").alias("ids"))
-    best = once.withColumn("r", F.row_number().over(Window.partitionBy("head").orderBy(F.desc("score"), "first"))).where(F.col("r") <= k + 1)
+
+    def found(right: DataFrame) -> DataFrame:
+        got = left.groupBy(*key).cogroup(right.groupBy(*key)).applyInPandas(nearest, "head bigint, ids array<bigint>, score double")
+        # a vector on several lists is found several times
+        return got.groupBy("head", F.element_at("ids", 1).alias("first")).agg(F.max("score").alias("score"), F.first("ids").alias("ids"))
+
+    rank = Window.partitionBy("head").orderBy(F.desc("score"), "first")
+    best_of = lambda df: df.withColumn("r", F.row_number().over(rank)).where(F.col("r") <= k + 1)
+    # the nearest lists give each query a bound; the others send only what reaches it, so that a query costs few rows however many lists it visits
+    ahead = cut(best_of(found(asked_of(probes, F.slice("lists", 1, ahead_lists), F.lit(-2.0)))))
+    bounds = ahead.where(F.col("r") == k + 1).select("head", F.col("score").alias("bound"))
+    rest = probes.where(F.size("lists") > ahead_lists).join(bounds, "head", "left")
+    later = found(asked_of(rest, F.slice("lists", ahead_lists + 1, n_lists), F.coalesce("bound", F.lit(-2.0))))
+    once = ahead.drop("r").unionByName(later).groupBy("head", "first").agg(F.max("score").alias("score"), F.first("ids").alias("ids"))
+    best = best_of(once)
     members = best.groupBy("head").agg(F.collect_list(F.struct("score", "ids")).alias("near"))
     rows = asked.join(heads, "v").select("id", "head").join(members, "head").select("id", F.explode("near").alias("n"))
     rows = rows.select("id", "n.score", F.explode("n.ids").alias("vec_id")).where(F.col("id") != F.col("vec_id"))
