@@ -103,8 +103,8 @@ def _templates(lines: DataFrame, needs: list[int], min_constant: float) -> DataF
     whole = fine.select("leaf", "line", F.col("top").alias("texts"), F.size(slots).alias("places"), joined.alias("slot"))
     single = cut(rest.select("leaf", "line", "k", "docs", "few", F.explode(slots).alias("slot")))
     # a token of such a piece may stand in a constant one of another line as well: each of those counts once, with all its texts
-    near = fine.join(single.select("leaf", "k").distinct(), ["leaf", "k"], "left_semi")
-    near = near.groupBy("piece").agg(*[F.first(c).alias(c) for c in ("leaf", "k", "part", "few")], F.max("texts").alias("docs"))
+    near = fine.groupBy("piece").agg(*[F.first(c).alias(c) for c in ("leaf", "k", "part", "few")], F.max("texts").alias("docs"))
+    near = near.join(single.select("leaf", "k").distinct(), ["leaf", "k"], "left_semi")
     places = single.select("slot", "docs", "few").unionByName(near.select(F.explode(slots).alias("slot"), "docs", "few"))
     counted = single.select("leaf", "line", "slot").join(cut(_texts_of(places, "slot")), "slot")
     parts = whole.unionByName(counted.select("leaf", "line", "texts", F.lit(1).alias("places"), "slot"))
