@@ -7,9 +7,10 @@ rank at once equals joining them one by one, because a merge always comes after
 this doesn't hold is refused. A pre-token of over ``LONG`` symbols would need a round over the whole array for each of its many ranks; it takes the
 same merges from a heap of (rank, place) instead.
 
-Words recur, so each worker keeps a table of their counts, bounded in bytes (``TABLE_BYTES``) whatever the input, and only new words reach the arrays. Where the
-pre-tokenizer drops white space, texts are cut there; otherwise whole texts are pre-tokenized. Texts are taken in windows of about ``WINDOW`` characters, so that
-a long one is not held as words at once. Special tokens standing in a text count as one token each, as the tokenizers library does by default.
+Pre-tokens recur, so each worker keeps a table of their counts, bounded in bytes (``TABLE_BYTES``) whatever the input, and only new ones reach the arrays. Where the
+pre-tokenizer is the known one that drops white space (``PATTERN``), printable ASCII is cut by that pattern here, and other words, which the table holds whole, by the library; for any other
+pre-tokenizer the library cuts whole texts. Texts are taken in windows of about ``WINDOW`` characters, so that a long one is not held in pieces at once.
+Special tokens standing in a text count as one token each, as the tokenizers library does by default.
 
 Defined results: null text counts as empty (no bytes, no tokens); empty tables, null ids, repeated rows and further columns pass
 unchanged, a column of a made name is replaced. A narrow transformation without shuffle.
@@ -27,6 +28,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from fusemill.llm.bpe import byte_alphabet
 from fusemill.llm.common import named
 
 #: Bytes of a worker's table of words, both generations together; a full generation becomes the older one.
@@ -39,11 +41,19 @@ WINDOW = 1 << 20
 LONG = 4096
 _NONE = np.iinfo(np.int32).max
 
+#: The pre-tokenizer's pattern of words, digits and marks without white space (a fixed value), and what it is on lower-case ASCII.
+PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+_ASCII = re.compile(PATTERN.replace(r"\p{L}", "a-z").replace(r"\p{N}", "0-9"), re.A)
 _SPACE = re.compile(r"[\x09-\x0d\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+")
 #: White space for str.split, but not for the pre-tokenizer.
 _SEPARATOR = re.compile("[\x1c-\x1f]")
 
 
+def _plain(text: str) -> bool:
+    """Printable ASCII: normal as it is but for capitals, and its letters are its bytes'."""
+    return text.isascii() and text.isprintable()
+
+
 class Merges:
     """Symbols and ranked merges of a tokenizers JSON file."""
 
@@ -63,9 +73,17 @@ class Merges:
             raise ValueError(f"added tokens with a condition: {odd[0]['content']}")
         self.special = [x["content"] for x in spec["added_tokens"]]
         self.around_special = re.compile("(" + "|".join(map(re.escape, self.special)) + ")") if self.special else None
-        self.cut_at_spaces = bool(self.suffix) and not any(_SPACE.search(p) for p, _ in self.pre_tokenizer.pre_tokenize_str("a b\tc\u2003d"))
+        steps = [x.get("pattern", {}).get("Regex") for x in spec["pre_tokenizer"].get("pretokenizers", [])]
+        small = [x["type"] for x in (spec.get("normalizer") or {}).get("normalizers", [])]
+        self.known_pattern = steps == [PATTERN, None] and small == ["NFC", "Replace", "Lowercase"]
         vocab = model["vocab"]
-        self.symbol = {t: i for t, i in vocab.items() if len(t.removesuffix(self.suffix) if self.suffix else t) == 1}
+        letters = list(byte_alphabet())
+        if not all(c in vocab and c + self.suffix in vocab for c in letters):
+            raise ValueError("a byte-level BPE is asked for")
+        # symbols of a byte's letter inside a pre-token and at its end
+        self.inner, self.last = np.zeros((2, 512), dtype=np.int64)
+        for c in letters:
+            self.inner[ord(c)], self.last[ord(c)] = vocab[c], vocab[c + self.suffix]
         n = max(vocab.values()) + 1
         pairs = [p.split(" ") if isinstance(p, str) else p for p in model["merges"]]
         left, right = (np.array([vocab[p[k]] for p in pairs], dtype=np.int64) for k in (0, 1))
@@ -86,20 +104,19 @@ class Merges:
         at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
         return np.where(self.keys[at] == key, self.rank_of[at], _NONE)
 
-    def symbols(self, pre_token: str) -> list[int]:
-        """Ids of a pre-token's characters, the last with the end-of-word mark; characters outside the vocabulary vanish, as in the library."""
-        marked = [*pre_token[:-1], pre_token[-1:] + self.suffix]
-        return [self.symbol[c] for c in marked if c in self.symbol]
-
-    def counts(self, pre_tokens: list[list[int]]) -> np.ndarray:
-        """Number of tokens of each sequence of symbols."""
-        size = np.array([len(x) for x in pre_tokens], dtype=np.int64)
+    def counts(self, pre_tokens: list[str]) -> np.ndarray:
+        """Number of tokens of each pre-token (not empty, bytes as their letters)."""
+        size = np.fromiter(map(len, pre_tokens), dtype=np.int64, count=len(pre_tokens))
+        letters = np.frombuffer("".join(pre_tokens).encode("utf-32-le"), dtype=np.uint32)
+        end = np.cumsum(size)
+        flat = self.inner[letters]
+        flat[end - 1] = self.last[letters[end - 1]]
         out = size.copy()
         for k in np.flatnonzero(size > LONG):
-            out[k] = self.from_heap(pre_tokens[k])
-        which = np.flatnonzero((size > 1) & (size <= LONG))
-        flat = np.array([s for k in which for s in pre_tokens[k]], dtype=np.int64)
-        size = size[which]
+            out[k] = self.from_heap(flat[end[k] - size[k] : end[k]])
+        short = (size > 1) & (size <= LONG)
+        which = np.flatnonzero(short)
+        flat, size = flat[np.repeat(short, size)], size[which]
         while len(which):
             start = np.concatenate([[0], np.cumsum(size)[:-1]])
             rank = np.full(len(flat), _NONE, dtype=np.int32)
@@ -121,15 +138,14 @@ class Merges:
             which, size = which[goes_on], size[goes_on]
         return out
 
-    def from_heap(self, symbols: list[int]) -> int:
+    def from_heap(self, s: np.ndarray) -> int:
         """The number of tokens of one long sequence: the same merges, lowest rank first and leftmost first, from a heap."""
-        s = np.array(symbols, dtype=np.int64)
         first = self.ranks(s[:-1], s[1:])
         here = np.flatnonzero(first != _NONE)
         heap = list(zip(first[here].tolist(), here.tolist(), strict=True))
         heapq.heapify(heap)
-        n = len(symbols)
-        sym, after, before = list(symbols), list(range(1, n + 1)), list(range(-1, n - 1))
+        n = len(s)
+        sym, after, before = s.tolist(), list(range(1, n + 1)), list(range(-1, n - 1))
         rank_of = dict(zip(self.keys.tolist(), self.rank_of.tolist(), strict=True))
         left = n
 
@@ -160,32 +176,39 @@ class Counter:
         self.older: dict[str, int] = {}
         self.taken = 0
 
-    def pre_tokens(self, piece: str) -> Iterator[str]:
+    def pre_tokens(self, piece: str) -> list[str]:
         normal = self.merges.normalizer.normalize_str(piece) if self.merges.normalizer else piece
-        return (p for p, _ in self.merges.pre_tokenizer.pre_tokenize_str(normal) if p)
-
-    def learn(self, words: list[str]) -> None:
-        """Counts of new words: their pre-tokens, each different one once, go through the arrays together."""
-        row: dict[str, int] = {}
-        owner, at, fixed = [], [], np.zeros(len(words), dtype=np.int64)
-        for k, word in enumerate(words):
-            for j, piece in enumerate(self.merges.around_special.split(word) if self.merges.around_special else [word]):
+        return [p for p, _ in self.merges.pre_tokenizer.pre_tokenize_str(normal) if p]
+
+    def learn(self, keys: list[str]) -> None:
+        """Counts of new keys; their pre-tokens go through the arrays together."""
+        row: list[str] = []
+        owner: list[int] = []
+        fixed = np.zeros(len(keys), dtype=np.int64)
+        for k, key in enumerate(keys):
+            if self.merges.known_pattern and _plain(key) and not any(x in key for x in self.merges.special):
+                row.append(key)
+                owner.append(k)
+                continue
+            for j, piece in enumerate(self.merges.around_special.split(key) if self.merges.around_special else [key]):
                 if j % 2:
                     fixed[k] += 1
                 elif piece:
-                    for p in self.pre_tokens(piece):
-                        owner.append(k)
-                        at.append(row.setdefault(p, len(row)))
-        if at:
-            each = self.merges.counts([self.merges.symbols(p) for p in row])[at]
-            fixed += np.bincount(owner, weights=each, minlength=len(words)).astype(np.int64)
-        for word, n in zip(words, fixed.tolist(), strict=True):
-            self.known[word] = n
-            self.taken += 2 * len(word) + _ENTRY
-
-    def words(self, text: str) -> Iterator[list[str]]:
-        """The words of a text, window by window."""
-        if not self.merges.cut_at_spaces:
+                    own = self.pre_tokens(piece)
+                    row += own
+                    owner += [k] * len(own)
+        if row:
+            fixed += np.bincount(owner, weights=self.merges.counts(row), minlength=len(keys)).astype(np.int64)
+        for key, n in zip(keys, fixed.tolist(), strict=True):
+            self._enter(key, n)
+
+    def _enter(self, key: str, n: int) -> None:
+        self.known[key] = n
+        self.taken += len(key) + _ENTRY
+
+    def keys(self, text: str) -> Iterator[list[str]]:
+        """What the table holds of a text, window by window: pre-tokens of printable ASCII, other words, words with a special token."""
+        if not self.merges.known_pattern:
             yield [text]
             return
         a = 0
@@ -195,8 +218,17 @@ class Counter:
                 space = _SPACE.search(text, end)
                 end = space.start() if space else len(text)
             part = text[a:end]
-            yield [w for w in _SPACE.split(part) if w] if _SEPARATOR.search(part) else part.split()
             a = end
+            special = any(x in part for x in self.merges.special)
+            if not special and _plain(part.replace("\n", " ")):
+                yield _ASCII.findall(part.lower())
+                continue
+            words = [w for w in _SPACE.split(part) if w] if _SEPARATOR.search(part) else part.split()
+            other = [w for w in words if not _plain(w) or (special and any(x in w for x in self.merges.special))]
+            if len(other) < len(words):
+                apart = set(other)
+                other += _ASCII.findall(" ".join([w for w in words if w not in apart]).lower())
+            yield other
 
     def add_up(self, words: list[list[str]]) -> list[int]:
         """Tokens of each list of words."""
@@ -207,8 +239,7 @@ class Counter:
             if n is None:
                 unseen.append(w)
             else:
-                self.known[w] = n
-                self.taken += 2 * len(w) + _ENTRY
+                self._enter(w, n)
         self.learn(unseen)
         out = [sum(map(self.known.__getitem__, ws)) for ws in words]
         if self.taken > TABLE_BYTES // 2:
@@ -231,7 +262,8 @@ class Counter:
             size = 0
 
         for k, text in enumerate(texts):
-            for words in self.words(text or ""):
+            text = text or ""
+            for words in self.keys(text):
                 rows.append(k)
                 held.append(words)
                 size += min(len(text), WINDOW)
