@@ -24,6 +24,12 @@ def tumbling(events: DataFrame, width: str = "1 hour", delay: str = "2 hours") -
     return w.agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("value"), 4).alias("total")).select(F.col("window.start").alias("hour"), "event_type", "n", "total")
 
 
+def sliding(events: DataFrame, width: str = "1 hour", step: str = "30 minutes", delay: str = "2 hours") -> DataFrame:
+    """Overlapping windows: each event counts in width / step of them."""
+    w = events.withWatermark("ts", delay).groupBy(F.window("ts", width, step), "event_type")
+    return w.agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("value"), 4).alias("total")).select(F.col("window.start").alias("start"), F.col("window.end").alias("end"), "event_type", "n", "total")
+
+
 def sessions(events: DataFrame, gap: str = "30 minutes", delay: str = "2 hours") -> DataFrame:
     s = events.withWatermark("ts", delay).groupBy(F.session_window("ts", gap), "user_id").agg(F.count(F.lit(1)).alias("n"))
     return s.select("user_id", F.col("session_window.start").alias("started"), "n")
