@@ -14,24 +14,41 @@ def collapse(text: Column) -> Column:
     return F.trim(F.regexp_replace(text, r"\s+", " "))
 
 
-# Letters whose folded form isn't their lower case.
-FOLDS = {"ß": "ss", "ŉ": "ʼn", "ﬀ": "ff", "ﬁ": "fi", "ﬂ": "fl", "ﬃ": "ffi", "ﬄ": "ffl", "ﬅ": "st", "ﬆ": "st", "ſ": "s", "ς": "σ"}
+def _folds() -> dict[str, str]:
+    """Letters whose folded form isn't their lower case, by the rule of Unicode; the capital sigma is among them, since its lower case depends on its place."""
+    out = {c: c.casefold() for c in map(chr, range(0x80, 0x20000)) if c.casefold() != c.lower()}
+    return out | {"\u03a3": "\u03c3"}
+
+
+FOLDS = _folds()
+
+
+def _ranges(letters: list[str]) -> str:
+    """The inside of a character class."""
+    points, out = sorted(map(ord, letters)), []
+    for p in points:
+        if out and out[-1][1] == p - 1:
+            out[-1][1] = p
+        else:
+            out.append([p, p])
+    return "".join(f"\\x{{{a:x}}}-\\x{{{b:x}}}" for a, b in out)
 
 
 def casefold(text: Column) -> Column:
-    """Case folding: lower case, and the letters of FOLDS."""
-    out = F.lower(text)
-    for a, b in FOLDS.items():
-        out = F.replace(out, F.lit(a), F.lit(b))
-    return out
+    """Case folding: lower case, and the letters of FOLDS. Only texts beyond ASCII are searched for those, and only texts that have some are cut at them."""
+    folds = F.create_map(*[F.lit(x) for pair in FOLDS.items() for x in pair])
+    odd_letter = _ranges(list(FOLDS))
+    pieces = F.regexp_extract_all(text, F.lit(f"[{odd_letter}]|[^{odd_letter}]+"), F.lit(0))
+    each = F.transform(pieces, lambda c: F.coalesce(F.try_element_at(folds, c), F.lower(c)))
+    odd = (F.octet_length(text) > F.length(text)) & text.rlike(f"[{odd_letter}]")
+    return F.when(odd, F.array_join(each, "")).otherwise(F.lower(text))
 
 
 def tight(text: Column) -> Column:
     """Bar as space, no space before closing punctuation nor inside brackets, white space collapsed."""
-    out = F.regexp_replace(text, r"\|", " ")
-    out = F.regexp_replace(out, r"\s+([,.;:!?%])", "$1")
-    out = F.regexp_replace(out, r"([(\[{])\s+", "$1")
-    return collapse(F.regexp_replace(out, r"\s+([)\]}])", "$1"))
+    out = F.regexp_replace(F.replace(text, F.lit("|"), F.lit(" ")), r"\s+", " ")
+    out = F.regexp_replace(out, r" ([,.;:!?%)\]}])", "$1")
+    return F.trim(F.regexp_replace(out, r"([(\[{]) ", "$1"))
 
 
 def matching_form(text: Column) -> Column:

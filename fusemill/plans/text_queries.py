@@ -68,7 +68,7 @@ def sentences(spark, sf_dir):
 
 _SUPPORT = rf"""WITH d AS (SELECT doc_id, {_MATCH.format(x='text')} AS hay FROM documents),
 s0 AS (SELECT item_id, trim(unnest(string_split(regexp_replace(text, '([.!?])\s+', '\1' || chr(1), 'g'), chr(1)))) AS s FROM benchmark),
-s AS (SELECT DISTINCT item_id, {_MATCH.format(x='s')} AS needle FROM s0 WHERE length(s) >= 20),
+s AS (SELECT DISTINCT item_id, {_MATCH.format(x='s')} AS needle FROM s0 WHERE s <> ''),
 f AS (SELECT item_id, needle, EXISTS (SELECT 1 FROM d WHERE contains(d.hay, s.needle)) AS found FROM s),
 k AS (SELECT item_id, CASE WHEN item_id % 2 = 0 THEN 'nq' ELSE '2wiki' END AS src, CASE WHEN item_id % 2 = 0 THEN bool_or(found) ELSE bool_and(found) END AS keep FROM f GROUP BY 1)
 """
@@ -76,14 +76,10 @@ k AS (SELECT item_id, CASE WHEN item_id % 2 = 0 THEN 'nq' ELSE '2wiki' END AS sr
 
 def _support(spark, sf_dir):
     """item_id, src, keep. Sentences meet documents by their rarest word."""
-    s = table(spark, sf_dir, "benchmark").select("item_id", F.explode(text.sentences(F.col("text"))).alias("s")).where(F.length("s") >= 20)
-    s = s.select("item_id", text.matching_form(F.col("s")).alias("needle")).distinct()
+    needles = F.transform(text.sentences(F.col("text")), text.matching_form)
+    items = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("id"), F.when(F.col("item_id") % 2 == 0, "nq").otherwise("2wiki").alias("src"), needles.alias("needles"))
     hay = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), text.matching_form(F.col("text")).alias("hay"))
-    found = containment.found(hay, s).select("needle").distinct().withColumn("hit", F.lit(True))
-    f = s.join(found, "needle", "left").withColumn("found", F.col("hit").isNotNull())
-    src = F.when(F.col("item_id") % 2 == 0, "nq").otherwise("2wiki")
-    keep = F.when(F.first("src") == "nq", F.bool_or("found")).otherwise(F.bool_and("found"))
-    return f.withColumn("src", src).groupBy("item_id").agg(F.first("src").alias("src"), keep.alias("keep"))
+    return containment.any_all(items, hay).withColumnRenamed("id", "item_id")
 
 
 @register("support_filter_any_all", _SUPPORT + "SELECT item_id, src FROM k WHERE keep")
@@ -96,6 +92,48 @@ def drop_counts(spark, sf_dir):
     return _support(spark, sf_dir).groupBy("src").agg(F.count_if(~F.col("keep")).alias("dropped"), F.count(F.lit(1)).alias("n"))
 
 
+# an item's answers: its first word, its last two words, and its first six characters
+_COVER = r"""WITH w AS (SELECT item_id, text, list_filter(regexp_split_to_array(text, '\s+'), lambda x: x <> '') AS w FROM benchmark),
+a AS (SELECT item_id, lower(trim(unnest([w[1], w[-2] || ' ' || w[-1], left(text, 6)]))) AS needle FROM w),
+c AS (SELECT item_id, coalesce(bool_or(needle <> '' AND EXISTS (SELECT 1 FROM documents WHERE contains(lower(text), needle))), false) AS covered FROM a GROUP BY 1)
+"""
+
+
+def _covered(spark, sf_dir):
+    w = F.array_remove(F.split("text", r"\s+"), "")
+    answers = F.array(F.get(w, F.lit(0)), F.concat(F.try_element_at(w, F.lit(-2)), F.lit(" "), F.try_element_at(w, F.lit(-1))), F.left("text", F.lit(6)))
+    samples = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("id"), answers.alias("answers"))
+    return containment.covered(samples, table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text"))
+
+
+@register("answer_coverage", _COVER + "SELECT item_id, covered FROM c")
+def answer_coverage(spark, sf_dir):
+    return _covered(spark, sf_dir).withColumnRenamed("id", "item_id")
+
+
+@register("coverage_gate", _COVER + "SELECT count(*) AS samples, round(avg(covered::INT), 6) AS coverage_rate, avg(covered::INT) >= 0.2 AS passes FROM c")
+def coverage_gate(spark, sf_dir):
+    rate = F.avg(F.col("covered").cast("int"))
+    return _covered(spark, sf_dir).agg(F.count(F.lit(1)).alias("samples"), F.round(rate, 6).alias("coverage_rate"), (rate >= 0.2).alias("passes"))
+
+
+# every two-word start and single word of the benchmark, against every document
+_PLACES = r"""WITH w AS (SELECT list_filter(regexp_split_to_array(text, '\s+'), lambda x: x <> '') AS w FROM benchmark),
+n AS (SELECT DISTINCT unnest([right(w[1], 3), right(w[1], 3) || ' ' || left(w[2], 2), w[2] || ' ' || left(w[3], 1), w[1] || ' ' || w[2] || ' ' || w[3]]) AS needle FROM w)
+"""
+
+
+@register("needle_places", _PLACES + "SELECT doc_id, needle FROM documents JOIN n ON needle <> '' AND contains(text, needle)")
+def needle_places(spark, sf_dir):
+    """Where short pieces of the benchmark stand in the documents: parts of a word, of two words, and three words."""
+    w = F.array_remove(F.split("text", r"\s+"), "")
+    at = lambda k: F.get(w, F.lit(k))
+    space = F.lit(" ")
+    pieces = F.array(F.right(at(0), F.lit(3)), F.concat(F.right(at(0), F.lit(3)), space, F.left(at(1), F.lit(2))), F.concat(at(1), space, F.left(at(2), F.lit(1))), F.concat(at(0), space, at(1), space, at(2)))
+    needles = table(spark, sf_dir, "benchmark").select(F.explode(pieces).alias("needle"))
+    return containment.found(table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.col("text").alias("hay")), needles).withColumnRenamed("id", "doc_id")
+
+
 @register("chunk_windows", r"""WITH w AS (SELECT doc_id, list_filter(regexp_split_to_array(text, '[ \t\n\r\f\v]+'), lambda x: x <> '') AS toks FROM documents),
 p AS (SELECT doc_id, toks, unnest(range(0, greatest(len(toks), 1), 400)) AS p0 FROM w)
 SELECT doc_id, floor(p0 / 400)::INT AS chunk, len(list_slice(toks, p0 + 1, p0 + 500)) AS n_tokens, sha256(array_to_string(list_slice(toks, p0 + 1, p0 + 500), ' ')) AS chunk_hash FROM p""")

@@ -1,6 +1,7 @@
 """Text forms, spans and similarities against worked examples."""
 
 import math
+import unicodedata
 
 import pytest
 from pyspark.sql import functions as F
@@ -84,21 +85,42 @@ def test_entity_list(spark):
     assert got == [["A", "B"], [], [], []]
 
 
-def test_containment_finds_what_stands_inside(spark):
+def test_containment_finds_needles_of_any_length(spark):
     import random
 
     rng = random.Random(2)
     words = ["".join(rng.choices("abc", k=rng.randint(1, 12))) for _ in range(40)] + ["x" * 30]
-    hay = [(i, " ".join(rng.choices(words, k=60))) for i in range(40)]
-    needles = []
-    for _ in range(120):
-        t = rng.choice(hay)[1]
-        a = rng.randrange(len(t) - 20)
-        needles.append(t[a : a + rng.randint(17, 60)].strip())
-    needles += ["not there at all anywhere", "abcabcabc bcabcabca", ""]
-    fit = sorted({n for n in needles if len(n) >= containment.SHORT or len(n.split(" ")) > 2})
-    got = containment.found(spark.createDataFrame(hay, "id int, hay string"), spark.createDataFrame([(n,) for n in needles], "needle string")).collect()
-    assert sorted((r.id, r.needle) for r in got) == sorted((i, n) for i, t in hay for n in fit if n in t)
+    hay = [(i, rng.choice([" ", "  ", "\n"]).join(rng.choices(words, k=60))) for i in range(40)] + [(40, ""), (41, None)]
+    needles = ["not there at all anywhere", "abcabcabc bcabcabca", "", " ", None, "a", "x", "xx", "c a", "a  b", " a", "b ", "x" * 30, "x" * 31, "é"]
+    for _ in range(300):
+        t = rng.choice(hay[:40])[1]
+        a = rng.randrange(len(t))
+        needles.append(t[a : a + rng.choice([1, 2, 3, 5, 9, 17, 40])])
+    texts, asked = spark.createDataFrame(hay, "id int, hay string"), spark.createDataFrame([(n,) for n in needles], "needle string")
+    want = sorted((i, n) for i, t in hay if t for n in {n for n in needles if n and n.strip()} if n in t)
+    assert sorted((r.id, r.needle) for r in containment.found(texts, asked).collect()) == want
+    assert sorted(r.needle for r in containment.standing(texts, asked).collect()) == sorted({n for _, n in want})
+
+
+def test_keep_rules_and_coverage(spark):
+    hay = spark.createDataFrame([(1, "this corpus contains alpha and other content"), (2, "table style beta gamma values"), (3, None)], "id int, hay string")
+    rows = [("k", "nq", ["alpha", "missing"]), ("d", "nq", ["not present"]), ("w", "2wiki", ["beta", "gamma"]), ("v", "2wiki", ["beta", "not present"]), ("h", "hotpotqa", ["beta", "gamma"]), ("e", "nq", []), ("n", "2wiki", None), ("s", "nq", ["a"])]
+    items = spark.createDataFrame(rows, "id string, src string, needles array<string>")
+    assert {r.id for r in containment.any_all(items, hay).collect() if r.keep} == {"k", "w", "h", "s"}
+    texts = spark.createDataFrame([(1, "The Capital is PARIS\nand  Rome"), (2, None)], "id int, text string")
+    asked = [("a", [" paris "]), ("b", ["", "Rome", None]), ("c", ["is paris and"]), ("d", []), ("e", None), ("f", ["L is p"]), ("g", ["and  rome"])]
+    got = containment.covered(spark.createDataFrame(asked, "id string, answers array<string>"), texts).collect()
+    assert {r.id for r in got if r.covered} == {"a", "b", "f", "g"} and len(got) == 7
+
+
+def test_case_folding_is_that_of_unicode(spark):
+    letters = [chr(c) for c in range(0x20, 0x20000) if not 0xD800 <= c < 0xE000 and unicodedata.category(chr(c)) in ("Lu", "Ll", "Lt", "Nl", "So", "Mn")]
+    texts = ["".join(letters[k : k + 40]) for k in range(0, len(letters), 40)] + ["ΟΔΟΣ ΟΔΟΣ", "Straße", "\U0001f600ß"]
+    got = column(spark, texts, text.casefold)
+    wrong = {c for t, g in zip(texts, got) if g != t.casefold() for c in t}
+    # letters newer than the JVM's Unicode have no lower case there
+    new = {c for c in wrong if c.lower() != c and column(spark, [c], text.casefold)[0] == c}
+    assert [g for t, g in zip(texts, got) if not set(t) & new] == [t.casefold() for t in texts if not set(t) & new] and len(new) < 60
 
 
 def test_containment_has_no_nested_loop(spark, capsys):
