@@ -8,7 +8,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fusemill.operators import curves, ranking
+from fusemill import checkpoint
+from fusemill.operators import curves, quantiles, ranking
 from fusemill.registry import register
 from fusemill.sources.tables import table
 
@@ -230,7 +231,8 @@ cut AS (SELECT quantile_cont(sd, 0.25) AS a, quantile_cont(sd, 0.5) AS b, quanti
 )
 def regret_quartiles(spark, sf_dir):
     c = _curves(spark, sf_dir).select(F.round(curves.spread(F.col("curve")), 9).alias("sd"), curves.regret(F.col("curve"), F.col("w_hat")).alias("regret"))
-    cut = c.agg(F.percentile("sd", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias("p"))
+    c = checkpoint.cut(c)  # both searches run once
+    cut = quantiles.exact(c, [], F.col("sd"), [0.25, 0.5, 0.75]).select(F.col("quantiles").alias("p"))
     s, p = F.col("sd"), F.col("p")
     quartile = F.when(s <= p[0], 1).when(s <= p[1], 2).when(s <= p[2], 3).otherwise(4)
     return c.join(F.broadcast(cut), F.lit(True)).groupBy(quartile.alias("quartile")).agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("regret"), 6).alias("mean_regret"))

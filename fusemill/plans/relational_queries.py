@@ -8,6 +8,7 @@ import re
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from fusemill.operators import reports
 from fusemill.registry import register
 from fusemill.sources import tables
 
@@ -27,13 +28,15 @@ def shared(name: str, sql: str, spark_sql: str | None = None) -> None:
 
 
 # latency reports (A05, A09, A10, A12): events stand for calls, value for milliseconds
-shared(
+@register(
     "latency_summary",
     """SELECT event_type, count(*) AS n, count(value) AS valid, count(*) - count(value) AS missing, round(avg(value), 6) AS mean, round(quantile_cont(value, 0.5), 6) AS p50,
 round(quantile_cont(value, 0.9), 6) AS p90, round(quantile_cont(value, 0.95), 6) AS p95, round(stddev_samp(value), 6) AS std, min(value) AS lo, max(value) AS hi FROM events GROUP BY event_type""",
-    """SELECT event_type, count(*) AS n, count(value) AS valid, count(*) - count(value) AS missing, round(avg(value), 6) AS mean, round(percentile(value, 0.5), 6) AS p50,
-round(percentile(value, 0.9), 6) AS p90, round(percentile(value, 0.95), 6) AS p95, round(stddev_samp(value), 6) AS std, min(value) AS lo, max(value) AS hi FROM events GROUP BY event_type""",
 )
+def latency_summary(spark, sf_dir):
+    return reports.latency_summary(tables.table(spark, sf_dir, "events"), "event_type", F.col("value"))
+
+
 _SPLIT = "CASE user_id % 4 WHEN 0 THEN 'train' WHEN 1 THEN 'dev' WHEN 2 THEN 'test' ELSE 'unseen' END"
 shared(
     "split_report",
