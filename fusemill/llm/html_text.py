@@ -58,6 +58,7 @@ _ENDS = {
 }
 _SCOPE = frozenset("article section div body td th table blockquote li figure main aside header footer nav form".split())
 SKIP_TAGS = frozenset("nav header footer aside form script style noscript template iframe button select textarea svg canvas object embed audio video menu head title dialog".split())
+_TELLING = frozenset(("main", "h1"))
 SKIP_ROLES = frozenset("navigation banner contentinfo complementary search form alert dialog menu menubar".split())
 SKIP_NAMES = re.compile(
     r"(?:^|[-_\s])(?:nav|navbar|navigation|menu|breadcrumbs?|header|masthead|footer|sidebar|side|rail|aside|cookies?|consent|gdpr|notice|notices|alert|banner|modal|popup|overlay"
@@ -65,6 +66,10 @@ SKIP_NAMES = re.compile(
     r"|comments?|commentlist|respond|replies|disqus|skip|toolbar|tags)(?:$|[-_\s\d])",
     re.I,
 )
+#: Names of readers' comments, which may well be longer than the article.
+COMMENT_NAMES = re.compile(r"(?:^|[-_\s])(?:comments?|commentlist|respond|replies|disqus)(?:$|[-_\s\d])", re.I)
+#: A block that a name (or form) marks for skipping stays if it holds this share of the page's running text: then the name tells of the layout, not of the content.
+LAYOUT_SHARE = 0.6
 #: Hosts whose winning paths are broadcast at most, and the parts that a host is dealt to beyond.
 BROADCAST_HOSTS, SALT = 50_000, 64
 _BONUS = {"article": 1.5, "main": 1.4, "body": 0.9, "td": 0.9}
@@ -82,12 +87,16 @@ class Element:
     links: int = 0
     start: int = 0  # first block
     end: int = -1
+    suspect: str = ""  # marked for skipping by its name: "block", "layout" (a name of several parts, or a form) or "comments"
+    held: frozenset[str] = frozenset()  # which of article, main and h1 stand below
 
 
 @dataclass(slots=True)
 class Page:
     containers: list[Element] = field(default_factory=list)
     blocks: list[str] = field(default_factory=list)
+    owners: list[tuple[Element, int]] = field(default_factory=list)  # of each block: the element that holds it, and its linked characters
+    suspects: list[Element] = field(default_factory=list)
 
 
 def _attributes(raw: str) -> dict[str, str]:
@@ -115,6 +124,7 @@ def parse(source: str) -> Page:
         pending.clear()
         if text:
             page.blocks.append(text)
+            page.owners.append((stack[-1], min(linked, len(text))))
             e = stack[-1]
             while e is not None:
                 e.text += len(text)
@@ -174,12 +184,24 @@ def parse(source: str) -> Page:
             continue
         up = stack[-1]
         a = _attributes(m[3])
-        skip = up.skip
+        skip, suspect = up.skip, ""
         if not skip and tag not in ("html", "body", "article", "main"):
             label = a.get("class", "") + " " + a.get("id", "")
-            skip = tag in SKIP_TAGS or a.get("role", "").lower() in SKIP_ROLES or "hidden" in m[3] and re.search(r"(?:^|\s)hidden(?:\s|=|$)", m[3]) is not None
-            skip = skip or a.get("aria-hidden", "").lower() == "true" or (label != " " and any(SKIP_NAMES.search(x) for x in label.split()))
-        e = Element(tag, up, f"{up.path}/{_name(tag, a)}" if tag in BLOCK else up.path, skip, up.link or tag == "a", len(page.containers), start=len(page.blocks))
+            skip = tag in SKIP_TAGS - {"form"} or a.get("role", "").lower() in SKIP_ROLES or "hidden" in m[3] and re.search(r"(?:^|\s)hidden(?:\s|=|$)", m[3]) is not None
+            skip = skip or a.get("aria-hidden", "").lower() == "true"
+            if not skip and (tag == "form" or label != " " and any(SKIP_NAMES.search(x) for x in label.split())):
+                # what holds blocks is judged when the whole page is known; within a line a name is enough
+                marks = [x for x in label.split() if SKIP_NAMES.search(x)]
+                suspect = "comments" if COMMENT_NAMES.search(label) else "layout" if all(SKIP_NAMES.fullmatch(x) is None for x in marks) else "block"
+                skip = tag not in BLOCK
+        e = Element(tag, up, f"{up.path}/{_name(tag, a)}" if tag in BLOCK else up.path, skip, up.link or tag == "a", len(page.containers), start=len(page.blocks), suspect=suspect)
+        if suspect and not skip:
+            page.suspects.append(e)
+        if tag in _TELLING and not skip:
+            above = up
+            while above is not None:
+                above.held |= {tag}
+                above = above.parent
         stack.append(e)
         open_tags[tag] = open_tags.get(tag, 0) + 1
         if tag in CONTAINER and not skip:
@@ -193,9 +215,59 @@ def parse(source: str) -> Page:
     flush()
     root.end = len(page.blocks)
     page.containers.append(root)  # what stands in no container
+    _without_suspects(page, root)
     return page
 
 
+def _without_suspects(page: Page, root: Element) -> None:
+    """Take out the blocks of the elements marked for skipping, but for those whose name tells of the page's layout.
+
+    Such an element holds main, or LAYOUT_SHARE of the page's running text with no article outside; and either an article lies inside or the name is made of several parts (side-by-side, has-related): one
+    word alone (notice) tells what it holds, however short the rest of the page is. One named after comments has to hold main or h1, since comments may outweigh the article and be articles themselves.
+    """
+    _take_out(page, {id(e) for e in page.suspects if e.suspect == "comments" and not {"main", "h1"} & e.held})
+    whole = root.text - root.links
+    articles = [e for e in page.containers if e.tag in ("article", "main") and e.text > 0]
+    gone: set[int] = set()
+    for e in page.suspects:
+        layout = e.suspect == "comments" or "main" in e.held
+        if not layout and e.text - e.links >= LAYOUT_SHARE * whole > 0:
+            within = [_under(x, {id(e)}) for x in articles]
+            layout = all(within) and (any(within) or e.suspect == "layout")
+        if not layout:
+            gone.add(id(e))
+    _take_out(page, gone)
+
+
+def _under(e: Element | None, tops: set[int]) -> bool:
+    while e is not None:
+        if id(e) in tops:
+            return True
+        e = e.parent
+    return False
+
+
+def _take_out(page: Page, gone: set[int]) -> None:
+    """Take the elements of these ids out of the page, with what stands below."""
+    if not gone:
+        return
+    stays: list[int] = [0]  # of the blocks before each place, how many stay
+    for text, (owner, linked) in zip(page.blocks, page.owners, strict=True):
+        out = _under(owner, gone)
+        stays.append(stays[-1] + (not out))
+        e = owner if out else None
+        while e is not None:
+            e.text -= len(text)
+            e.links -= linked
+            e = e.parent
+    kept = [k for k in range(len(page.blocks)) if stays[k + 1] > stays[k]]
+    page.blocks, page.owners = [page.blocks[k] for k in kept], [page.owners[k] for k in kept]
+    page.containers = [e for e in page.containers if not _under(e, gone)]
+    page.suspects = [e for e in page.suspects if not _under(e, gone)]
+    for e in page.containers:
+        e.start, e.end = stays[e.start], stays[e.end]
+
+
 def score(e: Element) -> float:
     """Running text of a container, links counted against it, weighed by what its tag promises."""
     return max(0.0, e.text - 2.0 * e.links) * _BONUS.get(e.tag, 0.8 if not e.tag else 1.0)

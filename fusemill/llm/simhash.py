@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fusemill.llm.common import ROW, boxed, cut, named, row_hash, unboxed
+from fusemill.llm.common import ROW, boxed, cut, named, row_hash, stored, unboxed
 
 SEGMENTS, WIDTH = 16, 4
 _BLOCK = 1 << 18  # shingles counted at a time
@@ -121,11 +121,12 @@ def components(edges: DataFrame) -> DataFrame:
     """(node, label) of all nodes of ``edges``; the label is the component's smallest node.
 
     Rounds of contraction: every label takes the smallest label next to it, chains are shortened by looking a label's own
-    new label up, and edges inside one label go, until none is left. Each round's tables are checkpointed.
+    new label up, and edges inside one label go, until none is left. Each round's tables are written: a checkpoint would keep the planner's guess of its size, and
+    guesses of joins over guesses grow to numbers that take longer to multiply than the join takes to run.
     """
     nodes = edges.select(F.explode(F.array("src", "dst")).alias("node")).distinct()
-    labels = cut(nodes.withColumn("label", F.col("node")))
-    rest = cut(edges.select("src", "dst"))
+    labels = stored(nodes.withColumn("label", F.col("node")))
+    rest = stored(edges.select("src", "dst"))
     while not rest.isEmpty():
         both = rest.select("src", "dst").union(rest.select(F.col("dst"), F.col("src")))
         jump = cut(both.groupBy("src").agg(F.min("dst").alias("near")).select(F.col("src").alias("old"), F.least("src", "near").alias("new")))
@@ -134,10 +135,10 @@ def components(edges: DataFrame) -> DataFrame:
             jump = jump.join(further, "new", "left").select("old", F.coalesce("last", "new").alias("new"))
         jump = cut(jump)
         renamed = jump.select(F.col("old").alias("label"), "new")
-        labels = cut(labels.join(renamed, "label", "left").select("node", F.coalesce("new", "label").alias("label")))
+        labels = stored(labels.join(renamed, "label", "left").select("node", F.coalesce("new", "label").alias("label")))
         a, b = jump.select(F.col("old").alias("src"), F.col("new").alias("a")), jump.select(F.col("old").alias("dst"), F.col("new").alias("b"))
         moved = rest.join(a, "src").join(b, "dst").where("a <> b")
-        rest = cut(moved.select(F.least("a", "b").alias("src"), F.greatest("a", "b").alias("dst")).distinct())
+        rest = stored(moved.select(F.least("a", "b").alias("src"), F.greatest("a", "b").alias("dst")).distinct())
     return labels
 
 

@@ -188,6 +188,25 @@ def test_near_sets_keep_one(spark):
     assert near_sets.keep_one(docs).columns == docs.columns and near_sets.keep_one(docs_of(spark, [])).count() == 0
 
 
+def test_near_sets_lose_no_link_in_large_groups(spark):
+    rng = random.Random(12)
+    template = [f"t{k}" for k in range(800)]
+    # 120 pages of one template, 0.79 alike at most, which form 60 pairs above 0.8
+    rows = []
+    for g in range(60):
+        own = [f"u{g}.{k}" for k in range(104)]
+        for k in range(2):
+            rows.append((len(rows), " ".join([*template, *own[:-8], *(f"v{g}.{k}.{j}" for j in range(8))])))
+    # a chain of 60 texts, each a few words further on
+    words = [f"c{k}" for k in range(200 + 9 * 60)]
+    rows += [(5000 + k, " ".join(words[9 * k : 9 * k + 200])) for k in range(60)]
+    sets = {i: shingles_plain(t) for i, t in rows}
+    alike = lambda a, b: 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b])
+    assert all(alike(2 * g, 2 * g + 1) for g in range(60)) and not any(alike(0, k) for k in range(2, 120)) and all(alike(5000 + k, 5001 + k) for k in range(59))
+    kept = sorted(r.doc_id for r in near_sets.keep_one(docs_of(spark, rows)).collect())
+    assert kept == [*range(0, 120, 2), 5000]
+
+
 def test_pipeline_links_near_copies(spark):
     import corpus_pipeline
 
