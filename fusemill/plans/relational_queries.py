@@ -27,6 +27,16 @@ def shared(name: str, sql: str, spark_sql: str | None = None) -> None:
     register(name, sql)(run)
 
 
+def _split():
+    """The split of an event's user."""
+    return F.element_at(F.array(*map(F.lit, ["train", "dev", "test", "unseen"])), (F.col("user_id") % 4 + 1).cast("int"))
+
+
+def _judged(spark, sf_dir):
+    """Labels with their documents' source."""
+    return tables.table(spark, sf_dir, "labels").join(tables.table(spark, sf_dir, "documents").select("doc_id", "source"), "doc_id")
+
+
 # latency reports (A05, A09, A10, A12): events stand for calls, value for milliseconds
 @register(
     "latency_summary",
@@ -38,22 +48,50 @@ def latency_summary(spark, sf_dir):
 
 
 _SPLIT = "CASE user_id % 4 WHEN 0 THEN 'train' WHEN 1 THEN 'dev' WHEN 2 THEN 'test' ELSE 'unseen' END"
-shared(
+@register(
     "split_report",
     f"""SELECT coalesce(split, 'all') AS split, count(*) AS n, round(avg(value), 6) AS mean_value, sum(CASE WHEN event_type = 'error' THEN 1 ELSE 0 END) * 1.0 / count(*) > 0.1 AS flaky
 FROM (SELECT {_SPLIT} AS split, value, event_type FROM events) x GROUP BY GROUPING SETS ((split), ())""",
 )
-shared("overlap_counts", f"SELECT {_SPLIT} AS split, count(DISTINCT user_id) AS users FROM events GROUP BY 1")
-shared(
+def split_report(spark, sf_dir):
+    e = tables.table(spark, sf_dir, "events")
+    return reports.by_split(e, _split(), F.col("value"), F.col("event_type") == "error", 0.1)
+
+
+@register(
+    "overlap_counts",
+    f"SELECT {_SPLIT} AS split, count(DISTINCT user_id) AS users FROM events GROUP BY 1",
+)
+def overlap_counts(spark, sf_dir):
+    return reports.distinct_members(tables.table(spark, sf_dir, "events"), _split(), "split", "user_id", "users")
+
+
+@register(
     "judge_rollup",
     "SELECT coalesce(d.source, 'all') AS source, count(*) AS n, round(avg(CAST(l.quality AS DOUBLE)), 6) AS accuracy FROM labels l JOIN documents d ON d.doc_id = l.doc_id GROUP BY GROUPING SETS ((d.source), ())",
 )
+def judge_rollup(spark, sf_dir):
+    return reports.rolled_mean(_judged(spark, sf_dir), F.col("source"), F.col("quality"), "source")
+
+
 # answerability (A21, A27, X05, X06, W23): quality 1 is answerable, toxic is masked by the audit
-shared(
+@register(
     "answerability_manifest",
     "SELECT d.source, count(*) AS n, sum(CASE WHEN l.quality = 1 THEN 1 ELSE 0 END) > 0 AS any_answerable, CAST(sum(CASE WHEN l.quality = 1 THEN 1 ELSE 0 END) AS BIGINT) AS answerable, CAST(sum(CASE WHEN l.quality = 0 THEN 1 ELSE 0 END) AS BIGINT) AS unanswerable FROM labels l JOIN documents d ON d.doc_id = l.doc_id GROUP BY d.source",
 )
-shared("mask_union", "SELECT doc_id, min(reason) AS reason FROM (SELECT doc_id, 'audit' AS reason FROM labels WHERE toxic = 1 UNION ALL SELECT doc_id, 'balance' FROM labels WHERE quality = 0) x GROUP BY doc_id")
+def answerability_manifest(spark, sf_dir):
+    return reports.answerability(_judged(spark, sf_dir), "source", F.col("quality") == 1)
+
+
+@register(
+    "mask_union",
+    "SELECT doc_id, min(reason) AS reason FROM (SELECT doc_id, 'audit' AS reason FROM labels WHERE toxic = 1 UNION ALL SELECT doc_id, 'balance' FROM labels WHERE quality = 0) x GROUP BY doc_id",
+)
+def mask_union(spark, sf_dir):
+    labels = tables.table(spark, sf_dir, "labels")
+    return reports.masks("doc_id", audit=labels.where("toxic = 1"), balance=labels.where("quality = 0"))
+
+
 # splits and normalisers
 shared(
     "zscore_train",
@@ -67,12 +105,26 @@ shared(
     f"WITH {_GRID} SELECT t, a, k, substr(sha256('{{\"a\":' || a || ',\"k\":\"' || k || '\",\"t\":' || t || '}}'), 1, 16) AS combo_key FROM g",
     f"WITH {_GRID} SELECT t, a, k, substr(sha2(to_json(named_struct('a', a, 'k', k, 't', t)), 256), 1, 16) AS combo_key FROM g",
 )
-shared("best_trial", "SELECT o_custkey AS sweep, o_orderkey AS trial_index, o_totalprice AS score FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) AS r FROM orders WHERE o_orderstatus <> 'P') x WHERE r = 1")
-shared(
+
+
+@register(
+    "best_trial",
+    "SELECT o_custkey AS sweep, o_orderkey AS trial_index, o_totalprice AS score FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) AS r FROM orders WHERE o_orderstatus <> 'P') x WHERE r = 1",
+)
+def best_trial(spark, sf_dir):
+    done = tables.table(spark, sf_dir, "orders").where("o_orderstatus <> 'P'")
+    return reports.best_trials(done, "o_custkey", "o_orderkey", "o_totalprice")
+
+
+@register(
     "threshold_sweep",
     """WITH t AS (SELECT 0.2 AS thr UNION ALL SELECT 0.5 UNION ALL SELECT 0.8)
 SELECT CAST(thr AS DOUBLE) AS threshold, round(avg(CASE WHEN l_discount * 10 >= thr THEN l_tax ELSE 0.0 END), 6) AS mean_objective, round(avg(CAST(CASE WHEN l_discount * 10 < thr THEN 1 ELSE 0 END AS DOUBLE)), 6) AS fallback_rate FROM lineitem, t GROUP BY thr""",
 )
+def threshold_sweep(spark, sf_dir):
+    return reports.threshold_sweep(tables.table(spark, sf_dir, "lineitem"), F.col("l_discount") * 10, F.col("l_tax"), [0.2, 0.5, 0.8])
+
+
 shared("run_discrepancy", "SELECT a.l_orderkey, a.l_partkey FROM lineitem a JOIN lineitem b ON a.l_orderkey = b.l_orderkey AND a.l_linenumber = b.l_linenumber - 1 WHERE b.l_discount - a.l_discount >= 0.05 AND b.l_tax <= a.l_tax")
 # lexicons and dictionaries
 shared(
@@ -128,7 +180,14 @@ shared(
     "SELECT event_id, CAST(json_extract(props, '$.k') AS BIGINT) AS k FROM events",
     "SELECT event_id, from_json(props, 'k BIGINT').k AS k FROM events",
 )
-shared("distinct_users", "SELECT event_type, count(DISTINCT user_id) AS users FROM events GROUP BY event_type")
+
+
+@register(
+    "distinct_users",
+    "SELECT event_type, count(DISTINCT user_id) AS users FROM events GROUP BY event_type",
+)
+def distinct_users(spark, sf_dir):
+    return reports.distinct_members(tables.table(spark, sf_dir, "events"), F.col("event_type"), "event_type", "user_id", "users")
 
 
 @register("asof_price", "SELECT e.event_id, max(o.o_orderdate) AS last_order FROM events e JOIN orders o ON o.o_custkey = e.user_id AND o.o_orderdate <= e.ts GROUP BY 1")
