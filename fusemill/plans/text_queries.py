@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from fusemill.functions import text
+from fusemill.functions import batch, text
 from fusemill.operators import containment
 from fusemill.registry import register
 from fusemill.sources.tables import table
@@ -147,5 +147,5 @@ def chunk_windows(spark, sf_dir):
 
 @register("custom_id_roundtrip", "SELECT event_id, 'run::' || replace(event_type, '::', '__') || '::' || event_id AS custom_id, event_type AS back FROM events")
 def custom_id_roundtrip(spark, sf_dir):
-    e = table(spark, sf_dir, "events").select("event_id", F.concat_ws("::", F.lit("run"), F.replace("event_type", F.lit("::"), F.lit("__")), F.col("event_id").cast("string")).alias("custom_id"))
-    return e.withColumn("back", F.replace(F.split_part("custom_id", F.lit("::"), F.lit(2)), F.lit("__"), F.lit("::")))
+    e = table(spark, sf_dir, "events").select("event_id", batch.custom_id(F.lit("run"), F.col("event_type"), F.col("event_id")).alias("custom_id"))
+    return e.withColumn("back", F.get(batch.custom_id_parts(F.col("custom_id")), F.lit(1)))
