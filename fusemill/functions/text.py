@@ -157,18 +157,18 @@ def entity_key(text: Column) -> Column:
 
 
 def sentence_spans(text: Column) -> Column:
-    """Array of (start, end) of the sentences, in code points: pieces between white space that follows an end mark."""
-    marked = F.regexp_replace(text, r"(?<=[.!?])(\s+)", "\ue000$1\ue001")
-    parts = F.split(marked, "\ue001")
+    """Array of (start, end) of the sentences, in code points: pieces between white space that follows an end mark; null for null."""
+    gap = r"(?<=[.!?])\s+"
+    pieces, gaps = F.split(text, gap), F.regexp_extract_all(text, F.lit(f"({gap})"), F.lit(1))
+    sizes = F.zip_with(pieces, gaps, lambda p, g: F.struct(F.length(p).alias("body"), F.coalesce(F.length(g), F.lit(0)).alias("gap")))
     empty = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int>>").alias("spans"))
 
-    def step(state: Column, part: Column) -> Column:
-        body = F.length(F.substring_index(part, "\ue000", 1))
-        whole = F.length(F.replace(part, F.lit("\ue000"), F.lit("")))
-        span = F.struct(state["at"].alias("start"), (state["at"] + body).alias("end"))
-        return F.struct((state["at"] + whole).alias("at"), F.when(body > 0, F.array_append(state["spans"], span)).otherwise(state["spans"]).alias("spans"))
+    def step(state: Column, size: Column) -> Column:
+        end = state["at"] + size["body"]
+        span = F.struct(state["at"].alias("start"), end.alias("end"))
+        return F.struct((end + size["gap"]).alias("at"), F.when(size["body"] > 0, F.array_append(state["spans"], span)).otherwise(state["spans"]).alias("spans"))
 
-    return F.aggregate(parts, empty, step, lambda s: s["spans"])
+    return F.aggregate(sizes, empty, step, lambda s: s["spans"])
 
 
 def span_around(spans: Column, start: Column, end: Column) -> Column:

@@ -45,6 +45,13 @@ def test_label_shape(spark):
     assert column(spark, ["", "  "], text.label_shape) == [0.05, 0.05]
 
 
+def test_sentence_spans_of_any_text(spark):
+    texts = ["a\ue000b. \ue001c", ". . x", "one.  two!\n\nthree? ", "  lead. \U0001f600 end.", "...", "a.b. c", None]
+    cut = [[(0, 4), (5, 7)], [(0, 1), (2, 3), (4, 5)], [(0, 4), (6, 10), (12, 18)], [(0, 7), (8, 14)], [(0, 3)], [(0, 4), (5, 6)]]
+    got = column(spark, texts, text.sentence_spans)
+    assert [[tuple(x) for x in g] for g in got[:-1]] == cut and got[-1] is None
+
+
 def test_sentence_spans(spark):
     t = "One two.  Three? Four\nfive! "
     spans = column(spark, [t, "", "no end"], text.sentence_spans)
