@@ -228,11 +228,16 @@ def test_comparisons(spark):
 
 
 def test_bootstrap(spark):
-    df = spark.createDataFrame([("a", float(k % 10)) for k in range(500)] + [("b", 3.0), ("c", None)], "g string, v double")
-    out = {r.g: r for r in compare.bootstrap(df, "g", "v", 600).collect()}
-    assert set(out) == {"a", "b"} and (out["b"].low, out["b"].high) == (3.0, 3.0) and math.isclose(out["a"].mean, 4.5)
+    rows = [("a", float(k % 10), k) for k in range(500)] + [("b", 3.0, 0), ("c", None, 0), ("d", float("nan"), 0), (None, 1.0, 1), (None, 1.0, 2)]
+    df = spark.createDataFrame(rows, "g string, v double, id long")
+    out = {r.g: r for r in compare.bootstrap(df, "g", "v", "id", 2000).collect()}
+    again = {r.g: r for r in compare.bootstrap(df.orderBy("v").repartition(7), "g", "v", "id", 2000).collect()}
+    assert all(math.isclose(x, y) for g in out for x, y in zip(out[g][2:], again[g][2:], strict=True)) and set(again) == set(out)
+    assert compare.bootstrap(df.limit(0), "g", "v", "id", 20).collect() == []
+    assert (out[None].n, out[None].low, out[None].high) == (2, 1.0, 1.0)
+    assert set(out) == {"a", "b", None} and (out["b"].low, out["b"].high) == (3.0, 3.0) and math.isclose(out["a"].mean, 4.5)
     half = 1.96 * (8.25 / 500) ** 0.5
-    assert abs(out["a"].low - (4.5 - half)) < 0.08 and abs(out["a"].high - (4.5 + half)) < 0.08
+    assert abs(out["a"].low - (4.5 - half)) < 0.03 and abs(out["a"].high - (4.5 + half)) < 0.03
 
 
 def test_figures(spark):
