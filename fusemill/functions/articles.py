@@ -176,6 +176,60 @@ def blocks(html: Column) -> Column:
     return run(html)
 
 
+class Fact(NamedTuple):
+    subject: str
+    label: str
+    value: str
+
+
+def _whole(e: Element) -> str:
+    """All text below, as it stands."""
+    return "".join(p if isinstance(p, str) else _whole(p) for p in e.parts)
+
+
+def _first(e: Element, tag: str, name: str) -> Element | None:
+    return next((x for x in e.below() if x.tag == tag and name in x.classes), None)
+
+
+def _row_values(row: Element) -> Iterator[str]:
+    """What a labelled row says: spans that stand in its data cell itself, then links (those of a birthplace as one value), then list items."""
+    cell = _first(row, "td", "infobox-data")
+    yield from (_whole(p) for p in (cell.parts if cell else []) if isinstance(p, Element) and p.tag == "span")
+    links = [x for x in row.below() if x.tag == "a"]
+    at_birth = any(links[0] is x for place in row.below() if place.tag == "div" and "birthplace" in place.classes for x in place.below()) if links else False
+    said = [t for x in links if (t := _whole(x))]
+    yield from [", ".join(said)] if at_birth else said
+    yield from (_whole(x) for x in row.below() if x.tag == "li")
+
+
+def facts_of(html: str | None, title: str | None = None) -> list[Fact]:
+    """Facts of a page's infobox tables in page order; the subject is a table's ``fn`` name, else the page's title. Null html, other tables, rows without a label and empty values have none."""
+    out = []
+    for table in (e for e in tree(html or "").below() if e.tag == "table" and "infobox" in e.classes):
+        named = _first(table, "div", "fn")
+        subject = _whole(named) if named else title or ""
+        for row in (e for e in table.below() if e.tag == "tr"):
+            label = _first(row, "th", "infobox-label")
+            if label:
+                out += [Fact(subject, _whole(label), v) for v in _row_values(row) if v]
+    return out
+
+
+def infobox_facts(html: Column, title: Column) -> Column:
+    """Array of (subject, label, value)."""
+
+    @F.pandas_udf("array<struct<subject:string,label:string,value:string>>")
+    def run(pages: pd.Series, titles: pd.Series) -> pd.Series:
+        return pd.Series([facts_of(p, t) for p, t in zip(pages, titles, strict=True)], dtype=object)
+
+    return run(html, title)
+
+
+def infobox_text(facts: Column) -> Column:
+    """One line a fact, trimmed as a whole."""
+    return F.regexp_replace(F.array_join(F.transform(facts, lambda f: F.concat(f["subject"], F.lit(" -- "), f["label"], F.lit(" --> "), f["value"])), "\n"), r"^\s+|\s+$", "")
+
+
 class Piece(NamedTuple):
     text: str
     section_path: list[str]
