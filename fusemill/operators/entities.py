@@ -61,6 +61,18 @@ def surface_forms(raw: Column) -> Column:
     return F.when(text == "", F.array().cast("array<string>")).when(text.rlike(r"^\[.*\]$"), F.coalesce(listed, F.array(text))).otherwise(F.array(text))
 
 
+def lexicon(mentions: DataFrame, most: int = 5) -> DataFrame:
+    """norm, surface, n, df: the ``most`` most frequent surface forms of each norm (equal ones by text), and in how many chunks the norm stands.
+
+    mentions: norm, surface, chunk_id. Mentions without a norm or a surface don't count. All is counted before any form is ranked, so a frequent norm costs a
+    row a form.
+    """
+    named = mentions.where("norm <> '' AND surface IS NOT NULL")
+    counted = named.groupBy("norm", "surface").agg(F.count(F.lit(1)).alias("n"))
+    first = counted.withColumn("_r", F.row_number().over(Window.partitionBy("norm").orderBy(F.desc("n"), "surface"))).where(F.col("_r") <= most).drop("_r")
+    return first.join(named.groupBy("norm").agg(F.count_distinct("chunk_id").alias("df")), "norm")
+
+
 def df_map(lexicon: DataFrame) -> DataFrame:
     """norm, df of a lexicon: norms as entity keys, the last ``pos`` of a norm wins, a df that is no number is 0. lexicon: norm, df, pos."""
     rows = lexicon.select(entity_key(F.col("norm")).alias("norm"), F.coalesce(F.col("df").try_cast("int"), F.lit(0)).alias("df"), "pos").where("norm <> ''")

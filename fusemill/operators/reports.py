@@ -67,3 +67,10 @@ def threshold_sweep(rows: DataFrame, score: Column, objective: Column, threshold
 def distinct_members(rows: DataFrame, key: Column, name: str, member: str, count: str) -> DataFrame:
     """key (under ``name``) and the number of distinct members."""
     return rows.groupBy(key.alias(name)).agg(F.count_distinct(member).alias(count))
+
+
+def standardised(rows: DataFrame, fitted: DataFrame, values: list[str], digits: int = 6) -> DataFrame:
+    """``rows`` with z_<value> of each value by mean and sample deviation over ``fitted``; a deviation under 1e-8, or of fewer than two rows, is 1, and the mean of nothing 0."""
+    r = fitted.agg(*[a for v in values for a in (F.avg(F.col(v).cast("double")).alias(f"m_{v}"), F.stddev_samp(F.col(v).cast("double")).alias(f"s_{v}"))]).first()
+    wide = lambda s: s if s is not None and s >= 1e-8 else 1.0
+    return rows.withColumns({f"z_{v}": F.round((F.col(v).cast("double") - (r[f"m_{v}"] or 0.0)) / wide(r[f"s_{v}"]), digits) for v in values})

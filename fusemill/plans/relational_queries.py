@@ -8,7 +8,7 @@ import re
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from fusemill.operators import reports
+from fusemill.operators import entities, reports
 from fusemill.registry import register
 from fusemill.sources import tables
 
@@ -93,11 +93,17 @@ def mask_union(spark, sf_dir):
 
 
 # splits and normalisers
-shared(
+@register(
     "zscore_train",
     """WITH s AS (SELECT avg(CAST(n_chars AS DOUBLE)) AS m, stddev_samp(CAST(n_chars AS DOUBLE)) AS sd FROM documents WHERE doc_id IN (SELECT doc_id FROM labels))
 SELECT doc_id, round((n_chars - m) / CASE WHEN sd < 1e-8 THEN 1.0 ELSE sd END, 6) AS z FROM documents, s""",
 )
+def zscore_train(spark, sf_dir):
+    d = tables.table(spark, sf_dir, "documents").select("doc_id", "n_chars")
+    train = d.join(tables.table(spark, sf_dir, "labels").select("doc_id"), "doc_id", "left_semi")
+    return reports.standardised(d, train, ["n_chars"]).select("doc_id", F.col("z_n_chars").alias("z"))
+
+
 # sweeps (X02, X03, X04, W24, A22, A24)
 _GRID = "g AS (SELECT t, a, k FROM (SELECT 1 AS t UNION ALL SELECT 2 UNION ALL SELECT 5) x, (SELECT 7 AS a UNION ALL SELECT 9) y, (SELECT 'support' AS k UNION ALL SELECT 'uniform') z)"
 shared(
@@ -127,12 +133,19 @@ def threshold_sweep(spark, sf_dir):
 
 shared("run_discrepancy", "SELECT a.l_orderkey, a.l_partkey FROM lineitem a JOIN lineitem b ON a.l_orderkey = b.l_orderkey AND a.l_linenumber = b.l_linenumber - 1 WHERE b.l_discount - a.l_discount >= 0.05 AND b.l_tax <= a.l_tax")
 # lexicons and dictionaries
-shared(
+@register(
     "entity_lexicon",
     """WITH c AS (SELECT lower(p_type) AS norm, p_name AS surface, count(*) AS n FROM part JOIN lineitem ON l_partkey = p_partkey GROUP BY 1, 2),
 d AS (SELECT lower(p_type) AS norm, count(DISTINCT l_orderkey) AS df FROM part JOIN lineitem ON l_partkey = p_partkey GROUP BY 1)
 SELECT c.norm, surface, n, df FROM (SELECT *, row_number() OVER (PARTITION BY norm ORDER BY n DESC, surface) AS r FROM c) c JOIN d ON d.norm = c.norm WHERE r <= 5""",
 )
+def entity_lexicon(spark, sf_dir):
+    """Parts stand for entities, their types for norms, orders for chunks."""
+    p = tables.table(spark, sf_dir, "part").select("p_partkey", F.lower("p_type").alias("norm"), F.col("p_name").alias("surface"))
+    lines = tables.table(spark, sf_dir, "lineitem").select(F.col("l_partkey").alias("p_partkey"), F.col("l_orderkey").alias("chunk_id"))
+    return entities.lexicon(lines.join(p, "p_partkey"))
+
+
 shared(
     "phrase_dictionary",
     """SELECT match_key, canonical, source, df FROM (SELECT *, row_number() OVER (PARTITION BY match_key ORDER BY df, prio, canonical) AS r FROM (

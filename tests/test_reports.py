@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from fusemill.operators import reports
+from fusemill.operators import entities, reports
 
 
 def rows(df):
@@ -32,3 +32,14 @@ def test_best_trials(spark):
 def test_threshold_sweep(spark):
     df = spark.createDataFrame([(0.1, 1.0), (0.5, 2.0), (0.9, 3.0)], "s double, o double")
     assert rows(reports.threshold_sweep(df, F.col("s"), F.col("o"), [0.0, 0.5, 1.0])) == [(0.0, 2.0, 0.0), (0.5, round(5 / 3, 6), round(1 / 3, 6)), (1.0, 0.0, 1.0)]
+
+
+def test_standardised(spark):
+    df = spark.createDataFrame([(1, 1.0, 5), (2, 3.0, 5), (3, None, 5)], "k int, v double, w int")
+    assert rows(reports.standardised(df, df, ["v", "w"]).select("k", "z_v", "z_w")) == [(1, -0.707107, 0.0), (2, 0.707107, 0.0), (3, None, 0.0)]
+    assert rows(reports.standardised(df, df.limit(0), ["v"]).select("k", "z_v")) == [(1, 1.0), (2, 3.0), (3, None)]
+
+
+def test_lexicon(spark):
+    m = spark.createDataFrame([("a", "A", 1), ("a", "A", 1), ("a", "B", 2), ("a", "C", 2), ("", "x", 1), (None, "x", 1), ("b", None, 3), ("c", "c", None)], "norm string, surface string, chunk_id int")
+    assert rows(entities.lexicon(m, 2).select("norm", "surface", "n", "df")) == [("a", "A", 2, 2), ("a", "B", 1, 2), ("c", "c", 1, 0)]
