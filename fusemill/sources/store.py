@@ -13,7 +13,7 @@ from uuid import uuid4
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fusemill.checkpoint import shared_folder
+from fusemill.checkpoint import cut, shared_folder
 from fusemill.sources import tables
 
 SLOT = "slot"
@@ -51,7 +51,7 @@ class Store:
     def put(self, rows: DataFrame, order: str | None = None) -> None:
         """Rows replace the stored ones of their keys. Of rows with one key the last in ``order`` counts; without ``order`` keys are unique."""
         new = rows if order is None else tables.keep_last(rows, [self.key], F.col(order))
-        fresh = self.slotted(new.select(*self.rows().columns))
+        fresh = cut(self.slotted(new.select(*self.rows().columns)))  # made once: what a fetch gives is neither asked for nor shuffled again
         touched = [r[0] for r in fresh.select(SLOT).distinct().collect()]  # at most one number a bucket
         if not touched:
             return

@@ -2,6 +2,8 @@
 
 import os
 
+from pyspark.sql import functions as F
+
 from fusemill.sources.store import Store
 
 
@@ -52,6 +54,18 @@ def test_only_missing_keys_are_fetched_and_once(spark, tmp_path):
     assert asked == [[5, 8], [8]]
 
 
+def test_a_lazy_fetch_runs_once(spark, tmp_path):
+    store, ran = opened(spark, tmp_path), spark.sparkContext.accumulator(0)
+
+    def counted(k):
+        ran.add(1)
+        return f"new {k}"
+
+    made = F.udf(counted, "string")
+    assert store.get_or_fetch(kv(spark, *[(k, "") for k in range(20)]), lambda keys: keys.select("k", made("k").alias("v"))).count() == 20
+    assert ran.value == 20
+
+
 def test_put_rewrites_the_touched_buckets_only(spark, tmp_path):
     store = opened(spark, tmp_path)
     store.put(kv(spark, *[(k, "a") for k in range(200)]))
