@@ -33,9 +33,8 @@ class Store:
         spark.catalog.recoverPartitions(self.name)
 
     def slotted(self, rows: DataFrame) -> DataFrame:
-        """``rows`` dealt as the store is, with the bucket of each."""
-        dealt = rows.where(F.col(self.key).isNotNull()).repartition(self.buckets, self.key)
-        return dealt.withColumn(SLOT, F.pmod(F.hash(self.key), F.lit(self.buckets)))
+        """``rows`` with the bucket of each, without null keys."""
+        return rows.where(F.col(self.key).isNotNull()).withColumn(SLOT, F.pmod(F.hash(self.key), F.lit(self.buckets)))
 
     def rows(self) -> DataFrame:
         return self.spark.table(self.name).drop(SLOT)
@@ -51,7 +50,7 @@ class Store:
     def put(self, rows: DataFrame, order: str | None = None) -> None:
         """Rows replace the stored ones of their keys. Of rows with one key the last in ``order`` counts; without ``order`` keys are unique."""
         new = rows if order is None else tables.keep_last(rows, [self.key], F.col(order))
-        fresh = cut(self.slotted(new.select(*self.rows().columns)))  # made once: what a fetch gives is neither asked for nor shuffled again
+        fresh = cut(self.slotted(new.select(*self.rows().columns)))  # made once, as it lies: what a fetch gives isn't asked for again
         touched = [r[0] for r in fresh.select(SLOT).distinct().collect()]  # at most one number a bucket
         if not touched:
             return
