@@ -8,6 +8,8 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from fusemill.checkpoint import cut
+
 RESULT = (
     "question_id string, query string, retriever_name string, status string, error string, latency_ms map<string,double>,"
     " chunks array<struct<chunk_id:string,text:string,score:double,metadata:map<string,string>>>"
@@ -163,9 +165,13 @@ def retried(questions: DataFrame, cache: DataFrame, retrieve) -> DataFrame:
 
 
 def numbered(rows: DataFrame, *order: str) -> DataFrame:
-    """Add row_id from 0 in ``order``: rows are counted within the runs of a range partition, then shifted by the runs before."""
-    runs = rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_part", F.spark_partition_id())
-    local = runs.withColumn("_n", F.row_number().over(Window.partitionBy("_part").orderBy(*order)))
+    """Add row_id from 0 in ``order``, nulls last: rows are counted within the runs of a range partition, then shifted by the runs before.
+
+    The runs are written once: bounds come from a sample and small runs are merged by their size, so a second pass could deal the rows otherwise.
+    """
+    keys = [F.asc_nulls_last(c) for c in order]
+    runs = cut(rows.repartitionByRange(*keys).sortWithinPartitions(*keys).withColumn("_part", F.spark_partition_id()))
+    local = runs.withColumn("_n", F.row_number().over(Window.partitionBy("_part").orderBy(*keys)))
     sizes = {r["_part"]: r["count"] for r in runs.groupBy("_part").count().collect()}
     at, shift = 0, []
     for k in range(max(sizes, default=-1) + 1):

@@ -74,6 +74,14 @@ def test_readers_and_writers(spark, tmp_path):
     assert sorted((r.x, r.row_id) for r in ids) == [(k, k) for k in range(50)]
 
 
+def test_numbers_of_many_rows(spark):
+    n = 600_001
+    rows = spark.range(n, numPartitions=8).select((F.col("id") * 7919 % n).alias("x"), F.sha2(F.col("id").cast("string"), 512).alias("more"))
+    assert artifacts.numbered(rows, "x").where("x <> row_id").count() == 0
+    odd = spark.createDataFrame([(None,), (3,), (1,), (None,)], "x int")
+    assert sorted((r.row_id, r.x) for r in artifacts.numbered(odd, "x").collect()) == [(0, 1), (1, 3), (2, None), (3, None)]
+
+
 def test_steps_and_resume(spark):
     steps = spark.createDataFrame([("ingest", 0, 100), ("corpus_filter", 90, 50), ("other", 50, 55)], "step string, before int, after int")
     out = artifacts.with_step(steps, spark.createDataFrame([("align", 100, 90), ("corpus_filter", 90, 60)], steps.schema))
