@@ -5,12 +5,18 @@ A ranked list is a long table (question_id, chunk_id, score); order is score des
 
 from __future__ import annotations
 
+from decimal import ROUND_HALF_UP, Decimal
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from fusemill.functions.text import contains_normalized, matching_form
 
 QUERY_LIMIT = 10_000
+#: Corpus rows of a group that meets a block of QUERY_LIMIT queries, and pairs that are looked at together in it.
+CORPUS_ROWS, PAIRS = 8192, 1 << 21
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -22,6 +28,11 @@ def cosine(a: Column, b: Column) -> Column:
     return F.coalesce(F.try_divide(dot(a, b), F.sqrt(dot(a, a)) * F.sqrt(dot(b, b))), F.lit(0.0))
 
 
+def cosine_of(a: Column, b: Column, length_a: Column, length_b: Column) -> Column:
+    """The same where the lengths are known."""
+    return F.coalesce(F.try_divide(dot(a, b), length_a * length_b), F.lit(0.0))
+
+
 def rank(hits: DataFrame, *keys: str) -> DataFrame:
     """Add rank from 0: score descending, then chunk_id."""
     w = Window.partitionBy(*(keys or ("question_id",))).orderBy(F.desc("score"), F.col("chunk_id"))
@@ -40,13 +51,94 @@ def checked_broadcast(queries: DataFrame) -> DataFrame:
     return F.broadcast(queries) if queries.limit(QUERY_LIMIT + 1).count() <= QUERY_LIMIT else queries
 
 
+def _regular(name: str, vec: str, size: int) -> Column:
+    """Rows with an id and ``size`` finite components."""
+    return F.coalesce(F.col(name).isNotNull() & (F.size(vec) == size) & F.forall(vec, lambda x: F.abs(x.cast("double")) < float("inf")), F.lit(False))
+
+
+def _rounded(x: np.ndarray) -> np.ndarray:
+    """To 6 places, halves away from zero, as Spark rounds: near a half by the number's decimal digits."""
+    scaled = np.abs(x) * 1e6
+    out = np.copysign(np.floor(scaled + 0.5), x) / 1e6
+    for k in np.flatnonzero((np.abs(scaled - np.floor(scaled) - 0.5) < 1e-6 + scaled * 1e-14) | (scaled > 1e9)):
+        out[k] = float(Decimal(repr(float(x[k]))).quantize(Decimal("0.000001"), ROUND_HALF_UP)) if abs(x[k]) < 1e20 else x[k]
+    return out
+
+
+def _best(queries: np.ndarray, vectors: np.ndarray, k: int, threshold: float | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Query row, vector row and score of the k best vectors of each query: rounded scores, then the earlier row.
+
+    A matrix product tells which vectors may be among them, with room for rounding; their scores are summed one component after the other.
+    """
+    k = min(k, len(vectors))
+    length = np.sqrt((vectors * vectors).sum(axis=1).max())
+    found = []
+    step = max(1, PAIRS // len(vectors))
+    for low in range(0, len(queries), step):
+        part = queries[low : low + step]
+        near = part @ vectors.T
+        room = 2e-6 + 1e-12 * length * np.sqrt((part * part).sum(axis=1))
+        least = np.partition(near, len(vectors) - k, axis=1)[:, len(vectors) - k] - room
+        if threshold is not None:
+            least = np.maximum(least, threshold - room)
+        asked, met = np.nonzero(~(near < least[:, None]))
+        score = np.zeros(len(asked))
+        for at in range(0, len(asked), PAIRS // 32):
+            here = slice(at, at + PAIRS // 32)
+            x, y = part[asked[here]], vectors[met[here]]
+            for c in range(vectors.shape[1]):
+                score[here] += x[:, c] * y[:, c]
+        rounded = _rounded(score)
+        if threshold is not None:
+            fit = rounded >= threshold
+            asked, met, score, rounded = asked[fit], met[fit], score[fit], rounded[fit]
+        order = np.lexsort((met, -rounded, asked))
+        asked = asked[order]
+        first = np.arange(len(asked)) - np.searchsorted(asked, asked) < k
+        found.append((asked[first] + low, met[order][first], score[order][first]))
+    return tuple(np.concatenate(c) for c in zip(*found, strict=True))
+
+
+def _block_search(queries: DataFrame, corpus: DataFrame, n_queries: int, n_corpus: int, k: int, threshold: float | None) -> DataFrame:
+    """question_id, chunk_id, score (not rounded): the k best of every group of the corpus for every query, all vectors regular."""
+    blocks, parts = -(-n_queries // QUERY_LIMIT), -(-n_corpus // CORPUS_ROWS)
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    q = queries.select("question_id", "q_vec", F.pmod(F.xxhash64("question_id"), F.lit(blocks)).cast("int").alias("_block"), every(parts).alias("_part"))
+    c = corpus.select("chunk_id", "vec", F.pmod(F.xxhash64("chunk_id"), F.lit(parts)).cast("int").alias("_part"), every(blocks).alias("_block"))
+
+    def search(asked: pd.DataFrame, rows: pd.DataFrame) -> pd.DataFrame:
+        if asked.empty or rows.empty:
+            return pd.DataFrame({"question_id": [], "chunk_id": [], "score": []})
+        rows = rows.sort_values("chunk_id", kind="stable")
+        i, j, score = _best(np.stack(asked["q_vec"]).astype(np.float64), np.stack(rows["vec"]).astype(np.float64), k, threshold)
+        return pd.DataFrame({"question_id": asked["question_id"].to_numpy()[i], "chunk_id": rows["chunk_id"].to_numpy()[j], "score": score})
+
+    kinds = f"question_id {queries.schema['question_id'].dataType.simpleString()}, chunk_id {corpus.schema['chunk_id'].dataType.simpleString()}, score double"
+    return q.groupBy("_block", "_part").cogroup(c.groupBy("_block", "_part")).applyInPandas(search, kinds)
+
+
 def dense_search(queries: DataFrame, corpus: DataFrame, k: int, threshold: float | None = None) -> DataFrame:
     """Exact inner-product top k. queries: question_id, q_vec; corpus: chunk_id, vec.
 
-    The stated queries go to every row of the corpus: they are broadcast while they are at most QUERY_LIMIT, which is checked; more are joined in
-    blocks by Spark's own choice. Scores are rounded to 6 places before ranking, so that engines agree on ties.
+    Blocks of about QUERY_LIMIT queries meet groups of about CORPUS_ROWS rows of the corpus, each pair of a block and a group in one task of bounded size, which gives k rows a query;
+    the k best of those are taken. Vectors with a null or a component that isn't finite, of another size than the queries', or without an id, are scored one by one. Scores are
+    rounded to 6 places before ranking, so that engines agree on ties.
     """
-    scored = corpus.join(checked_broadcast(queries), F.lit(True)).select("question_id", "chunk_id", F.round(dot(F.col("vec"), F.col("q_vec")), 6).alias("score"))
+    if k <= 0:
+        raise ValueError("k must be positive")
+    size = queries.agg(F.max(F.size("q_vec"))).first()[0] or 0
+    q, c = queries.withColumn("_fine", _regular("question_id", "q_vec", size)), corpus.withColumn("_fine", _regular("chunk_id", "vec", size))
+    counts = lambda df: df.agg(F.count_if("_fine"), F.count_if(~F.col("_fine"))).first()
+    (n_q, odd_q), (n_c, odd_c) = counts(q), counts(c)
+    fine = lambda df: df.where("_fine").drop("_fine")
+    odd = lambda df: df.where("NOT _fine").drop("_fine")
+    scored = _block_search(fine(q), fine(c), max(1, n_q), max(1, n_c), k, threshold)
+    one_by_one = lambda a, b: b.join(checked_broadcast(a), F.lit(True)).select("question_id", "chunk_id", dot(F.col("vec"), F.col("q_vec")).alias("score"))
+    if odd_q:
+        scored = scored.unionByName(one_by_one(odd(q), fine(c)))
+    if odd_c:
+        scored = scored.unionByName(one_by_one(queries, odd(c)))
+    scored = scored.withColumn("score", F.round("score", 6))
     if threshold is not None:
         scored = scored.where(F.col("score") >= threshold)
     return top_k(scored, k)

@@ -60,9 +60,14 @@ def branches(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, Da
     dense = ranking.dense_search(q.drop("q_label"), c.drop("label"), K).drop("rank")
     parts = c.select("label", F.posexplode("vec").alias("pos", "x")).groupBy("label", "pos").agg(F.avg(F.col("x").cast("double")).alias("m"))
     centers = parts.groupBy(F.col("label").alias("q_label")).agg(F.transform(F.sort_array(F.collect_list(F.struct("pos", "m"))), lambda p: p["m"]).alias("center"))
-    asked = ranking.checked_broadcast(q.join(centers, "q_label").select("question_id", "center"))
-    scored = c.join(asked, F.lit(True)).select("question_id", "chunk_id", F.round(ranking.cosine(F.col("vec"), F.col("center")), 6).alias("score"))
-    return q, c, dense, ranking.top_k(scored, K).drop("rank")
+    # a chunk's score is the same for all questions of a label, so lists are made once a label
+    asked = ranking.checked_broadcast(centers.join(q.select("q_label"), "q_label", "left_semi"))
+    cosine = ranking.cosine_of(F.col("vec"), F.col("center"), F.col("length"), F.col("center_length"))
+    sized = c.select("chunk_id", "vec", F.sqrt(ranking.dot(F.col("vec"), F.col("vec"))).alias("length"))
+    asked = asked.withColumn("center_length", F.sqrt(ranking.dot(F.col("center"), F.col("center"))))
+    scored = sized.join(asked, F.lit(True)).select("q_label", "chunk_id", F.round(cosine, 6).alias("score"))
+    lists = ranking.top_k(scored, K, "q_label").drop("rank")
+    return q, c, dense, q.select("question_id", "q_label").join(lists, "q_label").select("question_id", "chunk_id", "score")
 
 
 def _scored(spark: SparkSession, sf_dir: str) -> DataFrame:
