@@ -8,8 +8,6 @@ from fusemill.operators import curves, intervals
 from fusemill.registry import register
 from fusemill.sources.tables import table
 
-MINUTE = 60_000_000.0
-
 _SESSIONS = """SELECT user_id, min(ts) AS started, max(ts) AS ended FROM (SELECT user_id, ts, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS s FROM (
 SELECT user_id, ts, event_id, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) < INTERVAL '6 hours' THEN 0 ELSE 1 END AS fresh FROM events) x) y GROUP BY user_id, s"""
 
@@ -17,25 +15,23 @@ SELECT user_id, ts, event_id, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id
 def sessions(spark, sf_dir):
     """user_id, started, ended (first and last event), start and end in microseconds: a gap of six hours ends a session."""
     e = table(spark, sf_dir, "events").select("user_id", F.col("ts").cast("timestamp").alias("ts"))
-    s = e.groupBy("user_id", F.session_window("ts", "6 hours")).agg(F.min("ts").alias("started"), F.max("ts").alias("ended"))
-    return s.select("user_id", "started", "ended", F.unix_micros("started").alias("start"), F.unix_micros("ended").alias("end"))
+    s = e.groupBy("user_id", F.session_window("ts", "6 hours")).agg(F.min("ts").alias("started"), F.max("ts").alias("ended"), F.count(F.lit(1)).alias("own"))
+    return s.select("user_id", "started", "ended", "own", F.unix_micros("started").alias("start"), F.unix_micros("ended").alias("end"))
 
 
 @register("events_in_sessions", f"WITH s AS ({_SESSIONS}) SELECT s.user_id, started, count(*) AS n, min(e.event_id) AS first_event FROM s JOIN events e ON e.ts BETWEEN started AND ended AND e.user_id <> s.user_id GROUP BY 1, 2")
 def events_in_sessions(spark, sf_dir):
     """Events of other users within each session."""
-    e = table(spark, sf_dir, "events").select("event_id", F.col("user_id").alias("other"), F.unix_micros(F.col("ts").cast("timestamp")).alias("at"))
-    met = intervals.contained(e, sessions(spark, sf_dir), MINUTE).where("other <> user_id")
-    return met.groupBy("user_id", "started").agg(F.count(F.lit(1)).alias("n"), F.min("event_id").alias("first_event"))
+    e = table(spark, sf_dir, "events").select(F.col("event_id").alias("id"), F.col("user_id").alias("key"), F.unix_micros(F.col("ts").cast("timestamp")).alias("at"))
+    met = intervals.others_within(e, sessions(spark, sf_dir).withColumnRenamed("user_id", "key"))
+    return met.select(F.col("key").alias("user_id"), F.timestamp_micros("start").alias("started"), "n", F.col("first_id").alias("first_event"))
 
 
 @register("session_overlaps", f"WITH s AS ({_SESSIONS}) SELECT a.user_id, count(*) AS n, count(DISTINCT b.user_id) AS users FROM s a JOIN s b ON a.started <= b.ended AND b.started <= a.ended AND a.user_id <> b.user_id GROUP BY 1")
 def session_overlaps(spark, sf_dir):
     """With how many sessions of others, and of how many others, a user's sessions overlap."""
-    s = sessions(spark, sf_dir)
-    side = lambda k: s.select(F.struct("user_id", "start").alias(k), "start", "end")
-    met = intervals.overlapping(side("id_a"), side("id_b"), MINUTE).where("id_a.user_id <> id_b.user_id")
-    return met.groupBy(F.col("id_a.user_id").alias("user_id")).agg(F.count(F.lit(1)).alias("n"), F.count_distinct("id_b.user_id").alias("users"))
+    met = intervals.overlap_counts(sessions(spark, sf_dir).withColumnRenamed("user_id", "key"))
+    return met.select(F.col("key").alias("user_id"), "n", F.col("keys").alias("users"))
 
 
 @register("nearest_order", "SELECT event_id, min(abs(epoch_us(o_orderdate) - epoch_us(ts))) AS gap FROM events LEFT JOIN orders ON o_custkey = user_id GROUP BY 1")
