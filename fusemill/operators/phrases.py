@@ -2,29 +2,58 @@
 
 A match may not begin or end inside a run of letters and digits. If the longest phrase from a place ends inside such a run, no shorter one is
 tried there. A phrase therefore begins with the whole run that stands at its place, so texts meet the dictionary in an equi-join on that
-first run (or first character, where that is neither letter nor digit): nothing is broadcast by hand, and AQE may split a frequent run.
+first run (or first character, where that is neither letter nor digit), and AQE may split a frequent run. Places whose first run begins no phrase are left out before
+the join by a table of ``SLOTS`` hashed bits, a megabyte whatever the dictionary; the join decides. Places leave a task by the ``PLACES``, not by the batch of texts.
 """
 
 from __future__ import annotations
 
 import re
+import zlib
+from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 _PLACE = re.compile(r"[^\W_]+|\S")
-_PLACES = "array<struct<start:int,stem:string,ahead:string>>"
+#: Bits of the table of first runs, and places of a text that are handed on at a time.
+SLOTS, PLACES = 1 << 23, 1 << 14
 
 
-def places(text: Column, longest: int) -> Column:
-    """Places where a phrase may begin, each with its first run and the next ``longest`` + 1 characters."""
+def _slot(stem: str) -> int:
+    return zlib.crc32(stem.encode("utf-8", "surrogatepass")) % SLOTS
 
-    @F.pandas_udf(_PLACES)
-    def run(texts: pd.Series) -> pd.Series:
-        return pd.Series([[(m.start(), m[0], t[m.start() : m.start() + longest + 1]) for m in _PLACE.finditer(t)] for t in texts.fillna("")], dtype=object)
 
-    return run(text)
+def _slot_bits(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    bits = np.zeros(SLOTS, dtype=bool)
+    for b in batches:
+        bits[[_slot(s) for s in b["stem"]]] = True
+    yield pd.DataFrame({"bits": [np.packbits(bits).tobytes()]})
+
+
+def places(texts: DataFrame, keys: DataFrame, longest: int) -> DataFrame:
+    """id, start, stem, ahead: places where a phrase may begin, each with its first run and the next ``longest`` + 1 characters. texts: id, text; keys: stem."""
+    parts = keys.select("stem").mapInPandas(_slot_bits, "bits binary").rdd.map(lambda r: np.frombuffer(r[0], dtype=np.uint8))
+    known = texts.sparkSession.sparkContext.broadcast(parts.treeAggregate(np.zeros(SLOTS // 8, dtype=np.uint8), np.bitwise_or, np.bitwise_or).tobytes())
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        bits, out = known.value, []
+        named = lambda: pd.DataFrame(out, columns=["id", "start", "stem", "ahead"])
+        for batch in batches:
+            for i, t in zip(batch["id"], batch["text"].fillna(""), strict=True):
+                for m in _PLACE.finditer(t):
+                    slot = _slot(m[0])
+                    if bits[slot >> 3] & (128 >> (slot & 7)):
+                        out.append((i, m.start(), m[0], t[m.start() : m.start() + longest + 1]))
+                        if len(out) >= PLACES:
+                            yield named()
+                            out = []
+        if out:
+            yield named()
+
+    return texts.mapInPandas(run, f"id {texts.schema['id'].dataType.simpleString()}, start int, stem string, ahead string")
 
 
 def stems(keys: Column) -> Column:
@@ -50,7 +79,7 @@ def matches(texts: DataFrame, dictionary: DataFrame, id_col: str, text_col: str)
     """
     keys = best_records(dictionary.where(F.length("match_key") > 0)).withColumn("stem", stems(F.col("match_key"))).where(F.col("stem").isNotNull())
     longest = keys.agg(F.max(F.length("match_key"))).first()[0] or 0
-    at = texts.select(F.col(id_col).alias("id"), F.explode(places(F.col(text_col), longest)).alias("p")).select("id", "p.*")
+    at = places(texts.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), keys, longest)
     n = F.length("match_key")
     found = at.join(keys, "stem").where(F.startswith("ahead", "match_key"))
     longest_here = found.groupBy("id", "start").agg(F.max_by(F.struct("match_key", "canonical", "df", "prio", "ahead"), n).alias("m"))

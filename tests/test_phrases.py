@@ -41,3 +41,12 @@ def test_null_empty_and_cap(spark):
     found = phrases.matches(spark.createDataFrame([(1, "x w v y z")], "doc int, text string"), d, "doc", "text")
     assert [(r["rank"], r["canonical"]) for r in phrases.rank_and_cap(found).orderBy("rank").collect()] == [(1, "Y"), (2, "W")]
     assert [r["canonical"] for r in phrases.rank_and_cap(found, most=1, max_df=None).collect()] == ["Y"]
+
+
+def test_only_places_of_first_runs_leave_a_text(spark):
+    long = "word other " * 40_000 + "new york"
+    texts = spark.createDataFrame([(1, long), (2, None), (3, "new " * 40_000)], "id int, text string")
+    keys = spark.createDataFrame([("new",)], "stem string")
+    got = phrases.places(texts, keys, 8).collect()
+    assert len(got) == 40_001 and {r.stem for r in got} == {"new"}
+    assert [(r.start, r.ahead) for r in got if r.id == 1] == [(440_000, "new york")]
