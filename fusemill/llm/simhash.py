@@ -117,12 +117,28 @@ def links(fps: DataFrame, fp: str = "fp") -> DataFrame:
     return edges.where("src < dst").distinct()
 
 
+def _looked_up(jump: DataFrame) -> DataFrame:
+    further = jump.select(F.col("old").alias("new"), F.col("new").alias("last"))
+    return jump.join(further, "new", "left").select("old", F.coalesce("last", "new").alias("new"), (F.col("last") < F.col("new")).alias("moved"))
+
+
+def _followed(jump: DataFrame) -> DataFrame:
+    """(old, new) with every chain of new labels followed to its end."""
+    moved = True
+    while moved:
+        jump = stored(_looked_up(_looked_up(jump).drop("moved")))
+        moved = not jump.where("moved").isEmpty()
+        jump = jump.drop("moved")
+    return jump
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, label) of all nodes of ``edges``; the label is the component's smallest node.
 
-    Rounds of contraction: every label takes the smallest label next to it, chains are shortened by looking a label's own
-    new label up, and edges inside one label go, until none is left. Each round's tables are written: a checkpoint would keep the planner's guess of its size, and
-    guesses of joins over guesses grow to numbers that take longer to multiply than the join takes to run.
+    Rounds of contraction: every label takes the smallest label next to it, chains are followed to their end by looking a label's own
+    new label up until none changes, and edges inside one label go, until none is left. A label that stays is smaller than all next to it, so each round leaves half of an open component's
+    labels at most, and its lookups double the reach: an ordered chain of n nodes takes one round of log n lookups. Each round's tables are written: a checkpoint would keep the planner's
+    guess of its size, and guesses of joins over guesses grow to numbers that take longer to multiply than the join takes to run.
     """
     nodes = edges.select(F.explode(F.array("src", "dst")).alias("node")).distinct()
     labels = stored(nodes.withColumn("label", F.col("node")))
@@ -130,10 +146,7 @@ def components(edges: DataFrame) -> DataFrame:
     while not rest.isEmpty():
         both = rest.select("src", "dst").union(rest.select(F.col("dst"), F.col("src")))
         jump = cut(both.groupBy("src").agg(F.min("dst").alias("near")).select(F.col("src").alias("old"), F.least("src", "near").alias("new")))
-        for _ in range(2):
-            further = jump.select(F.col("old").alias("new"), F.col("new").alias("last"))
-            jump = jump.join(further, "new", "left").select("old", F.coalesce("last", "new").alias("new"))
-        jump = cut(jump)
+        jump = _followed(jump)
         renamed = jump.select(F.col("old").alias("label"), "new")
         labels = stored(labels.join(renamed, "label", "left").select("node", F.coalesce("new", "label").alias("label")))
         a, b = jump.select(F.col("old").alias("src"), F.col("new").alias("a")), jump.select(F.col("old").alias("dst"), F.col("new").alias("b"))
