@@ -94,6 +94,28 @@ def test_bpe_matches_library(spark):
     assert len(out) == len(ODD) and all(r.e.decoded == (r.text or "") and r.e.n_tokens == len(r.e.ids) for r in out)
 
 
+def test_bpe_takes_texts_together(monkeypatch):
+    tokenizers = pytest.importorskip("tokenizers")
+    path = queries.tokenizer_path()
+    library = tokenizers.Tokenizer.from_file(path)
+    rng = random.Random(2)
+    pieces = ["\n", "\n\n", " ", "Was", "was", "it's", "'s", "éa", "a×b", "a÷", "ſĀž", "ƀ", "日本", "12", "½", "\u2028", "\xa0", "\r", "!", "<|endoftext|>", "<|", "\x00"]
+    texts = [None, "", *("".join(rng.choices(pieces, k=rng.randint(1, 12))) for _ in range(1500)), "\nWas", "x\n", "\n", "", "<|endoftext|>"]
+    want = []
+    for t in texts:
+        ids = library.encode(t or "", add_special_tokens=False).ids
+        want.append((len(ids), *(hashlib.sha256(x.encode()).hexdigest() for x in (",".join(map(str, ids)), t or ""))))
+    for window in (1, 50, 1 << 19):
+        monkeypatch.setattr(bpe, "WINDOW", window)
+        assert bpe.Codec(path).digests(texts) == want
+    c = bpe.Codec(path)
+    assert c.fragments(["a\nWas\n\nit"]) == [[b"a", b"\n", b"Was", b"\n\nit"]]
+    calls = []
+    real, c.library = c.library, type("Counted", (), {"model": c.library.model, "encode_batch_fast": lambda self, x, **kw: calls.append(x) or real.encode_batch_fast(x, **kw)})()
+    c.digests([f"num{k} word{chr(97 + k % 26)}{chr(97 + k // 26 % 26)}" for k in range(1000)])
+    assert len(calls) <= 4  # a thousand new numbers and words don't take a call a text
+
+
 def fingerprint_plain(text):
     w = (text or "").encode().lower().split()
     parts = [b" ".join(w[i : i + 3]) for i in range(len(w) - 2)] if len(w) > 2 else [b" ".join(w)] if w else []
