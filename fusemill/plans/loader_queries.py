@@ -35,7 +35,7 @@ FROM said JOIN orders ON o_orderkey = l_orderkey GROUP BY l_orderkey""",
 def multihop_items(spark, sf_dir):
     """Benchmark items of raw multi-hop records, written as JSON lines and read by the loader: orders without a supporting sentence go."""
     path = f"{shared_folder(spark)}/records-{uuid4().hex}.jsonl"
-    _order_records(spark, sf_dir).write.text(path)
+    _order_records(spark, sf_dir).write.text(path, compression="gzip")
     items = benchmarks.load_multihop(benchmarks.read_variants(spark, path), "2wiki")
     return items.select("question_id", *[F.array_join(c, "|").alias(n) for c, n in (("gold_answers", "answers"), ("gold_support_sentences", "sentences"), ("gold_support_titles", "titles"))])
 

@@ -7,7 +7,7 @@ sentences, which needs an HTML parser, runs in Arrow batches.
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator, Mapping, Sequence
+from collections.abc import Callable, Iterator, Mapping, Sequence
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -216,6 +216,11 @@ def load_nq(records: DataFrame, version: str | None = None) -> DataFrame:
     ).select(*ITEM)
 
 
+def _once(value: Column, then: Callable[[Column], Column]) -> Column:
+    """``then`` of a value that is computed once: what a lambda takes from outside is computed anew for each element."""
+    return F.get(F.transform(F.array(value), then), F.lit(0))
+
+
 def support_lines(v: Column) -> Column:
     """Array of (title, sent_id, sentence): each supporting fact in the first article of its title that has the sentence; each sentence once."""
     titles = F.transform(F.try_variant_get(v, "$.supporting_facts.title", "array<variant>"), lambda x: F.trim(F.try_variant_get(x, "$", "string")))
@@ -224,20 +229,25 @@ def support_lines(v: Column) -> Column:
     bodies = F.transform(F.try_variant_get(v, "$.context.sentences", "array<variant>"), lambda x: F.try_variant_get(x, "$", "array<string>"))
     facts = F.zip_with(titles, ids, lambda t, i: F.struct(t.alias("title"), i.alias("sent_id")))
 
-    def line(f: Column) -> Column:
-        held = F.zip_with(there, bodies, lambda t, b: F.when((t == f["title"]) & (f["sent_id"] >= 0), _filled(F.get(b, f["sent_id"]))))
+    def line(f: Column, articles_: Column) -> Column:
+        held = F.transform(articles_, lambda a: F.when((a["title"] == f["title"]) & (f["sent_id"] >= 0), _filled(F.get(a["body"], f["sent_id"]))))
         return F.struct(f["title"].alias("title"), f["sent_id"].alias("sent_id"), F.get(F.filter(held, lambda s: s.isNotNull()), F.lit(0)).alias("sentence"))
 
-    found = F.filter(F.transform(facts, line), lambda x: (x["title"] != "") & x["sentence"].isNotNull())
-    spelled = F.transform(found, lambda x: x["sentence"])
-    return F.coalesce(F.filter(found, lambda x, k: F.array_position(spelled, x["sentence"]) == k + 1), F.array().cast("array<struct<title:string,sent_id:int,sentence:string>>"))
+    context = F.zip_with(there, bodies, lambda t, b: F.struct(t.alias("title"), b.alias("body")))
+    found = F.filter(_once(context, lambda c: F.transform(facts, lambda f: line(f, c))), lambda x: (x["title"] != "") & x["sentence"].isNotNull())
+
+    def distinct(lines: Column) -> Column:
+        return _once(F.transform(lines, lambda x: x["sentence"]), lambda spelled: F.filter(lines, lambda x, k: F.array_position(spelled, x["sentence"]) == k + 1))
+
+    return F.coalesce(_once(found, distinct), F.array().cast("array<struct<title:string,sent_id:int,sentence:string>>"))
 
 
 def load_multihop(records: DataFrame, source: str, version: str | None = None, strip_question: bool = True) -> DataFrame:
     """Benchmark items of rows with context and supporting_facts; rows that lack a question, an answer or a supporting sentence go."""
     v = F.col("v")
     asked = F.try_variant_get(v, "$.question", "string")
-    made = records.select((_strip(asked) if strip_question else asked).alias("question"), _texts(F.try_variant_get(v, "$.answer", "variant")).alias("gold_answers"), support_lines(v).alias("lines"))
+    made = F.struct((_strip(asked) if strip_question else asked).alias("question"), _texts(F.try_variant_get(v, "$.answer", "variant")).alias("gold_answers"), support_lines(v).alias("lines"))
+    made = records.select(F.explode(F.array(made)).alias("r")).select("r.*")  # no filter is pushed below a generator, so nothing is parsed for it once more
     made = made.where((F.coalesce("question", F.lit("")) != "") & (F.size("gold_answers") > 0) & (F.size("lines") > 0))
     return made.withColumns(
         {

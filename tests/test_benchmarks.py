@@ -2,6 +2,7 @@
 
 import hashlib
 import json
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -78,6 +79,16 @@ def test_multihop(spark, tmp_path):
         benchmarks.read_variants(spark, "x.csv")
 
 
+def test_multihop_reads_the_context_once(spark, tmp_path):
+    """A record of many facts: time goes with facts times articles at most, not with a new reading of the context for each fact and each line found."""
+    n = 150
+    record = {"question": "q", "answer": "x", "context": {"title": [f"T{k}" for k in range(n)], "sentences": [["no", f"said {k}"] for k in range(n)]}, "supporting_facts": {"title": [f"T{k}" for k in range(n)], "sent_id": [1] * n}}
+    began = time.time()
+    (row,) = loaded(spark, tmp_path, [record], benchmarks.load_multihop, source="2wiki")
+    assert row.gold_support_sentences == [f"said {k}" for k in range(n)] and row.gold_support_titles[-1] == f"T{n - 1}"
+    assert time.time() - began < 15
+
+
 def test_samples_and_paths(spark, tmp_path):
     rows = [hop("q one", [("A", 0)]), {"question": "q two", "answer": "x"}, {"question": "q three"}]
     path = f"{tmp_path}/r.jsonl"
