@@ -1,4 +1,4 @@
-"""Which needles of any length stand in which texts, by an equi-join instead of every text against every needle.
+"""Which needles of any length stand in which texts, by an equi-join instead of every text against every needle; where each needle stands (``found``), by scans with an automaton as long as the needles are few.
 
 Words are what white space parts. A needle of three words or more holds whole words of the text inside; the rarest of them, by document counts, is its key. A needle of one word lies inside a word of the
 text, and of a needle of two words the first ends and the second begins one: these meet the texts' distinct words, of which there are far fewer than places, in an inverted index of q-grams
@@ -13,7 +13,11 @@ Defined results: an empty or blank needle, and a null one, stands nowhere; null
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
+from functools import reduce
 
+import ahocorasick
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -21,6 +25,8 @@ from fusemill.checkpoint import shared_folder
 
 #: Characters of a key that is no whole word.
 PART = 8
+#: Characters of needles in one automaton (a few hundred bytes each in a worker), and how many scans of the texts are better than the join.
+SCAN_CHARS, SCANS = 500_000, 16
 
 
 def _words(text: Column) -> Column:
@@ -91,9 +97,40 @@ def _candidates(index: DataFrame, asked: DataFrame, with_single: bool) -> DataFr
     return each.join(_written(keys, "keys"), "word").select("id", "needle").distinct()
 
 
-def found(hay: DataFrame, needles: DataFrame) -> DataFrame:
-    """Distinct (id, needle) where the needle stands in the text. hay: id (unique), hay; needles: needle."""
-    index, asked = indexed(hay), _asked(needles)
+def _scanned(hay: DataFrame, needles: list[str]) -> DataFrame:
+    """(id, needle) by one scan of the texts where they lie: each task builds the automaton of the needles, which are broadcast."""
+    shared = hay.sparkSession.sparkContext.broadcast(needles)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        trie = ahocorasick.Automaton()
+        for n in shared.value:
+            trie.add_word(n, n)
+        trie.make_automaton()
+        for batch in batches:
+            for k in range(0, len(batch), 256):
+                part = batch.iloc[k : k + 256]
+                rows = [(i, n) for i, t in zip(part["id"], part["hay"], strict=True) if t for n in {n for _, n in trie.iter(t)}]
+                yield pd.DataFrame(rows, columns=["id", "needle"])
+
+    return hay.select("id", "hay").mapInPandas(run, f"id {hay.schema['id'].dataType.simpleString()}, needle string")
+
+
+def found(hay: DataFrame, needles: DataFrame, scan_chars: int = SCAN_CHARS, scans: int = SCANS) -> DataFrame:
+    """Distinct (id, needle) where the needle stands in the text. hay: id (unique), hay; needles: needle.
+
+    Needles of up to ``scan_chars`` characters together take one scan of the texts, without a shuffle; up to ``scans`` times as many are dealt to so many scans. Beyond, texts meet needles
+    by the equi-join, whose disk goes with the texts' words.
+    """
+    plain = _written(needles.select("needle").where(F.col("needle").rlike(r"\S")).distinct(), "asked")
+    chars = plain.agg(F.coalesce(F.sum(F.length("needle")), F.lit(0))).first()[0]
+    parts = max(1, -(-chars // scan_chars))
+    if parts <= scans:
+        dealt: list[list[str]] = [[] for _ in range(parts)]
+        for r in plain.withColumn("part", F.pmod(F.xxhash64("needle"), F.lit(parts))).toLocalIterator():  # scans * scan_chars characters at most
+            dealt[r["part"]].append(r["needle"])
+        each = [_scanned(hay, part) for part in dealt if part]
+        return reduce(DataFrame.union, each) if each else hay.select("id", F.lit("").alias("needle")).where(F.lit(False))
+    index, asked = indexed(hay), _asked(plain)
     met = _candidates(index, asked, True)
     return met.join(index.select("id", "hay"), "id").where(F.contains(F.col("hay"), F.col("needle"))).select("id", "needle")
 

@@ -109,6 +109,20 @@ def test_containment_finds_needles_of_any_length(spark):
     assert sorted(r.needle for r in containment.standing(texts, asked).collect()) == sorted({n for _, n in want})
 
 
+def test_containment_scans_and_join_agree(spark, capsys):
+    hay = [(1, "ein Haus am See\u00a0x \U0001f600b"), (2, "am  See am See"), (3, ""), (4, None)]
+    texts = spark.createDataFrame(hay, "id long, hay string")
+    asked = ["am See", "See", " a", "m  S", "", " ", None, "\u00a0", "\U0001f600", "\U0001f600b", "See", "Haus am See", "no", "n H"]
+    needles = spark.createDataFrame([(n,) for n in asked], "needle string")
+    want = sorted((i, n) for i, t in hay for n in {n for n in asked if n and n != " "} if n in (t or ""))
+    for how in ({}, {"scan_chars": 10}, {"scans": 0}):
+        assert sorted(tuple(r) for r in containment.found(texts, needles, **how).collect()) == want
+    assert containment.found(texts, needles.where("needle = ' '")).collect() == []
+    containment.found(texts, needles).explain()
+    plan = capsys.readouterr().out
+    assert "MapInPandas" in plan and "Exchange" not in plan
+
+
 def test_keep_rules_and_coverage(spark):
     hay = spark.createDataFrame([(1, "this corpus contains alpha and other content"), (2, "table style beta gamma values"), (3, None)], "id int, hay string")
     rows = [("k", "nq", ["alpha", "missing"]), ("d", "nq", ["not present"]), ("w", "2wiki", ["beta", "gamma"]), ("v", "2wiki", ["beta", "not present"]), ("h", "hotpotqa", ["beta", "gamma"]), ("e", "nq", []), ("n", "2wiki", None), ("s", "nq", ["a"])]
