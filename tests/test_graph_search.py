@@ -1,11 +1,14 @@
 """The graph query in small graphs: steps, paths, grounding, masses, and the whole against a plain search over the same tables."""
 
 import math
+import random
 from collections import defaultdict
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
+from fusemill import checkpoint
 from fusemill.operators import graph, graph_search
 from fusemill.operators.graph_search import Local, Path, Settings, Step
 
@@ -143,3 +146,35 @@ def test_seed_signals(spark):
     s = spark.createDataFrame([("q", f"n{k}", k / 10) for k in range(1, 7)], "q string, node string, specificity double")
     (row,) = graph.seed_summary(s, "q").collect()
     assert (row.least, row.median, row.greatest) == (0.1, 0.4, 0.6) and [x.node for x in row.lowest] == ["n1", "n2", "n3", "n4", "n5"]
+
+
+def test_walk_over_edges_equals_pagerank_over_moves(spark):
+    rng = random.Random(5)
+    lines = [(f"c{rng.randrange(12)}", rng.randrange(1, 6), rng.choice("abcdefgh")) for _ in range(70)] + [("c0", 1, None), ("alone", 1, "z"), ("twin", 1, "y"), ("twin", 2, "y")]
+    frame = spark.createDataFrame(lines, "chunk_id string, line int, entity string")
+    triples = graph.next_in_chunk(frame).withColumn("pred", F.lit("next_to"))
+    want = sorted((a[2] or "", b[2] or "", a[0]) for a in lines for b in lines if a[0] == b[0] and b[1] == a[1] + 1)
+    assert sorted((r.subj or "", r.obj or "", r.chunk_id) for r in triples.collect()) == want
+    whole = frame.where("entity IS NOT NULL")
+    triples = graph.next_in_chunk(whole).withColumn("pred", F.lit("next_to"))
+    mixed = triples.unionByName(spark.createDataFrame([("a", "b", "x", "instance_of"), ("q", "r", "x", "instance_of"), (None, "a", "x", "next_to"), ("a", None, "x", "next_to")], "subj string, obj string, chunk_id string, pred string"))
+    for t, mode in ((triples, "support"), (mixed, "support"), (mixed, "uniform")):
+        made, plain = graph.related_of(t, mode), graph.related(graph.rel_edges(t), mode)
+        assert sorted(made.collect(), key=repr) == sorted(plain.collect(), key=repr)
+    appears, rel = whole.select("entity", "chunk_id").distinct(), graph.rel_edges(mixed.where("subj IS NOT NULL AND obj IS NOT NULL"))
+    seeds = spark.createDataFrame([("a", 0.5), ("q", 0.25), ("z", 0.25)], "entity string, mass double")
+    for rounds in (1, 4):
+        entities, chunks = graph.walked(appears, graph.related(rel), seeds, rounds=rounds)
+        got = {f"E:{r.entity}": r.mass for r in entities.collect()} | {f"C:{r.chunk_id}": r.mass for r in chunks.collect()}
+        plain = graph.pagerank(graph.transitions(appears, rel), seeds.select(F.concat(F.lit("E:"), "entity").alias("node"), "mass"), rounds=rounds)
+        assert got == pytest.approx({r.node: r.mass for r in plain.collect()})
+
+
+def test_walk_moves_no_edges(spark, tmp_path):
+    """Of a join by an edge's start only the masses are moved: the edges are read in their buckets."""
+    frame = spark.range(4000).selectExpr("CAST(id % 500 AS long) chunk_id", "CAST(id DIV 500 AS int) line", "CAST(id * 7 % 301 AS long) entity")
+    near = graph.related_of(graph.next_in_chunk(frame).withColumn("pred", F.lit("next_to")))
+    table = checkpoint.bucketed(near, "near", "a")
+    joined = table.hint("merge").join(frame.select(F.col("entity").alias("a")).distinct(), "a")
+    plan = joined._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("hashpartitioning(a#") == 1 and "SelectedBucketsCount" in plan
