@@ -1,16 +1,18 @@
 """The graph query: each question's neighbourhood, best-first paths in it, their grounding in chunks, and chunks ranked by local PageRank.
 
-Neighbourhoods are found by joins over the whole edge tables, hop by hop; hubs are no steps. What a question then needs is one group of its own,
-bounded by the degree limit and the hops, and is searched in an Arrow batch: the frontier is a priority queue, which no join expresses.
+Entities that a path may go on from are found by joins over the whole edge tables, hop by hop; hubs are no steps. Their edges are one group a question,
+bounded by the degree limit and the hops, and are searched in an Arrow batch: the frontier is a priority queue, which no join expresses. Chunks are fetched for what the search has chosen.
 """
 
 from __future__ import annotations
 
 import heapq
 import math
+import pickle
 from collections import defaultdict
 from collections.abc import Iterable
 from dataclasses import dataclass, field
+from functools import reduce
 from typing import NamedTuple
 
 import numpy as np
@@ -18,7 +20,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fusemill.checkpoint import cut
+from fusemill.checkpoint import bucketed, written
 from fusemill.operators.graph import MAX_APPEARANCES, MAX_DEGREE, TYPE_LABEL
 
 
@@ -237,11 +239,9 @@ def bundle_score(graph: Local, path: Path, mass: dict[str, float]) -> float:
     return max(mass.get(n, 0.0) for n in ends) * (0.5 + 0.5 * float(np.mean([graph.specific.get(n, 0.05) for n in ends])))
 
 
-def answer(graph: Local, seeds: dict[str, float], s: Settings) -> tuple[list[tuple[str, float, list[str]]], dict[str, float]]:
-    """Ranked (chunk, mass, path lines) of one question, and its figures."""
-    paths, pops = best_first(graph, seeds, s)
+def concluded(graph: Local, seeds: dict[str, float], paths: list[Path], pops: int, entities: list[str], s: Settings) -> tuple[list[tuple[str, float, list[str]]], dict[str, float]]:
+    """Ranked (chunk, mass, path lines) by the paths found and the entities in scope, and the figures of the search."""
     reports = [ground(graph, p, s.threshold) for p in paths]
-    entities = scope(graph, paths, seeds, s.max_entities)
     m, chunks = local_moves(graph, entities, s)
     mass, rounds, gap = walk(m, np.array([seeds.get(e, 0.0) for e in entities] + [0.0] * len(chunks)), s.alpha, s.rounds, s.tol)
     of = dict(zip(entities, mass[: len(entities)].tolist(), strict=True))
@@ -254,72 +254,106 @@ def answer(graph: Local, seeds: dict[str, float], s: Settings) -> tuple[list[tup
     return [(c, w, ["Path: " + spelled(x[-1]) for x in sorted(by_chunk[c], key=lambda x: x[:3])[:3]]) for c, w in ranked], figures
 
 
-_ROW = "question_id string, kind string, a string, b string, pred string, support bigint, ids array<string>, value double"
+def answer(graph: Local, seeds: dict[str, float], s: Settings) -> tuple[list[tuple[str, float, list[str]]], dict[str, float]]:
+    """Ranked (chunk, mass, path lines) of one question, and its figures."""
+    paths, pops = best_first(graph, seeds, s)
+    return concluded(graph, seeds, paths, pops, scope(graph, paths, seeds, s.max_entities), s)
+
+
+_ASKED = "question_id string, kind string, a string, b string, found binary"
+_FOUND = "question_id string, chunk_id string, score double, rank int, path_lines array<string>, pops int, paths int, grounded int, entities int, rounds int, residual double"
 
 
-def neighbourhoods(seeds: DataFrame, appears: DataFrame, rel: DataFrame, degree: DataFrame, hops: int = 2, both_ways: bool = True) -> DataFrame:
-    """Typed rows of what each question's search may touch. seeds: question_id, entity, mass; appears: entity, chunk_id;
-    rel: subj, pred, obj, support, chunk_ids; degree: entity, appearances, rel_degree, total_degree, specificity. Ids are strings."""
-    hub = (F.col("total_degree") > MAX_DEGREE) | (F.col("appearances") > MAX_APPEARANCES)
-    fit = degree.where(~hub).select("entity")
-    # all labels of an edge are asked for, so that a question sees whether it has only the type label
-    ahead = rel.select(F.col("subj").alias("entity"), F.col("obj").alias("next"))
-    ahead = (ahead.union(rel.select("obj", "subj")) if both_ways else ahead).distinct()
-    ahead = cut(ahead.join(fit.withColumnRenamed("entity", "next"), "next", "left_semi"))
-    scope_ = seeds.select("question_id", "entity").distinct()
-    frontier = scope_
-    for _ in range(hops):
-        frontier = frontier.join(ahead, "entity").select("question_id", F.col("next").alias("entity")).distinct()
-        scope_ = cut(scope_.union(frontier).distinct())
-    none, text = F.lit(None), F.lit(None).cast("string")
-    row = lambda df, kind, a, b=text, pred=text, support=none.cast("bigint"), ids=none.cast("array<string>"), value=none.cast("double"): df.select(
-        "question_id", F.lit(kind).alias("kind"), F.col(a).alias("a"), b.alias("b"), pred.alias("pred"), support.alias("support"), ids.alias("ids"), value.alias("value")
-    )
-    other = scope_.select(F.col("question_id").alias("q2"), F.col("entity").alias("e2"))
-    edges = scope_.join(rel, F.col("entity") == F.col("subj")).join(other, (F.col("question_id") == F.col("q2")) & (F.col("obj") == F.col("e2")))
-    nodes = scope_.join(degree, "entity").withColumn("hub", hub.cast("bigint"))
-    parts = [
-        row(seeds, "seed", "entity", value=F.col("mass")),
-        row(edges, "edge", "subj", F.col("obj"), F.col("pred"), F.col("support"), F.col("chunk_ids")),
-        row(nodes, "node", "entity", support=F.col("hub"), value=F.col("specificity"), ids=F.array(F.col("rel_degree").cast("string"))),
-        row(scope_.join(appears, "entity"), "chunk", "entity", F.col("chunk_id")),
-    ]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
-
-
-def gathered(rows: pd.DataFrame) -> tuple[Local, dict[str, float]]:
-    """The piece of graph and the seeds of one question's rows."""
-    kind = dict(iter(rows.groupby("kind")))
-    none = rows.iloc[:0]
-    edges: dict[tuple[str, str], dict[str, tuple[int, frozenset[str]]]] = {}
-    for r in kind.get("edge", none).itertuples():
-        edges.setdefault((r.a, r.b), {})[r.pred] = (int(r.support), frozenset(r.ids))
-    chunks: dict[str, set[str]] = defaultdict(set)
-    for r in kind.get("chunk", none).itertuples():
-        chunks[r.a].add(r.b)
-    nodes = list(kind.get("node", none).itertuples())
-    degree = defaultdict(int, {r.a: int(r.ids[0]) for r in nodes})
-    graph = Local(edges, chunks, {r.a: r.value for r in nodes}, {r.a for r in nodes if r.support}, degree)
-    return graph, {r.a: r.value for r in kind.get("seed", none).itertuples()}
+def _edges_ahead(seeds: DataFrame, rel: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Edges by each of their ends, in buckets: entity, other, reverse, pred, support, and specificity, rel_degree and hub of the other. Edges to hubs stay only if these are seeds."""
+    asked = seeds.select("entity").distinct().withColumn("asked", F.lit(True))
+    ends = nodes.join(asked, "entity", "left").where(~F.col("hub") | F.col("asked")).select(F.col("entity").alias("other"), "specificity", "rel_degree", "hub")
+    one = lambda a, b, reverse: rel.select(F.col(a).alias("entity"), F.col(b).alias("other"), F.lit(reverse).alias("reverse"), "pred", "support")
+    return bucketed(one("subj", "obj", False).union(one("obj", "subj", True)).join(ends, "other"), "ahead", "entity")
+
+
+def _searched(seeds: DataFrame, ahead: DataFrame, s: Settings) -> DataFrame:
+    """Each question's search by the edges of those entities alone that a path may go on from, and what it asks for then. seeds: question_id, entity, mass, specificity, rel_degree, hub.
+
+    Rows: found (the search, pickled), scope (an entity whose edges and chunks are asked for), near (one whose chunks are), edge (an edge of a path).
+    """
+    ways = (ahead if s.both_ways else ahead.where("NOT reverse")).where("NOT hub")
+    frontier = scope_ = seeds.select("question_id", "entity").distinct()
+    for _ in range(s.hops - 1):
+        frontier = frontier.join(ways, "entity").select("question_id", F.col("other").alias("entity")).distinct()
+        scope_ = written(scope_.union(frontier).distinct(), "frontier")
+    none = F.lit(None)
+    starts = seeds.select("question_id", "entity", none.cast("string").alias("other"), none.cast("boolean").alias("reverse"), none.cast("string").alias("pred"), none.cast("bigint").alias("support"), "specificity", "rel_degree", "hub", "mass")
+    steps = scope_.where(F.lit(s.hops > 0)).join(ways, "entity").select("question_id", "entity", "other", "reverse", "pred", "support", "specificity", "rel_degree", "hub", none.cast("double").alias("mass"))
+
+    def search(group: pd.DataFrame) -> pd.DataFrame:
+        edges: dict[tuple[str, str], dict[str, tuple[int, frozenset[str]]]] = {}
+        specific, hubs, masses, degree = {}, set(), {}, defaultdict(int)
+        for r in group.itertuples():
+            name = r.entity if r.other is None else r.other
+            specific[name], degree[name] = r.specificity, int(r.rel_degree)
+            if r.other is None:
+                masses[name] = r.mass
+                if r.hub:
+                    hubs.add(name)
+            else:
+                edges.setdefault((r.other, r.entity) if r.reverse else (r.entity, r.other), {})[r.pred] = (int(r.support), frozenset())
+        graph = Local(edges, specific=specific, hubs=hubs, degree=degree)
+        paths, pops = best_first(graph, masses, s)
+        entities = scope(graph, paths, masses, s.max_entities)
+        ends = sorted({n for p in paths for x in p.steps for n in (x.source, x.target)})
+        found = pickle.dumps(([tuple(map(tuple, p.steps)) for p in paths], pops, entities, masses, {n: specific[n] for n in {*ends, *masses} if n in specific}))
+        rows = [("found", None, None, found)] + [("scope", e, None, None) for e in entities] + [("edge", *e, None) for e in sorted({x.stored() for p in paths for x in p.steps})]
+        if s.threshold <= 0:  # only then may a chunk of its ends ground a step
+            rows += [("near", e, None, None) for e in ends if e not in set(entities)]
+        return pd.DataFrame([(group["question_id"].iat[0], *r) for r in rows], columns=[c.split()[0] for c in _ASKED.split(", ")])
+
+    return written(starts.unionByName(steps).groupBy("question_id").applyInPandas(search, _ASKED), "searched")
 
 
 def retrieve(seeds: DataFrame, appears: DataFrame, rel: DataFrame, degree: DataFrame, settings: Settings | None = None) -> DataFrame:
-    """question_id, chunk_id, score, rank (from 0), path_lines, and the figures of the question's search.
+    """question_id, chunk_id, score, rank (from 0), path_lines, and the figures of the question's search. seeds: question_id, entity, mass; appears: entity, chunk_id;
+    rel: subj, pred, obj, support, chunk_ids; degree: entity, appearances, rel_degree, total_degree, specificity. Ids are strings.
 
+    The search comes first and takes edges only; chunks, and the edges' chunk ids, are fetched for the entities and edges that it has chosen, not for the whole neighbourhood.
     Questions without a seed in the graph give no rows, which is their NO_CONTEXT.
     """
     s = settings or Settings()
-    known = seeds.join(degree.select("entity"), "entity", "left_semi").where(F.col("mass") > 0)
-    rows = neighbourhoods(known, appears, rel, degree, s.hops, s.both_ways)
-    schema = "question_id string, chunk_id string, score double, rank int, path_lines array<string>, pops int, paths int, grounded int, entities int, rounds int, residual double"
+    hub = (F.col("total_degree") > MAX_DEGREE) | (F.col("appearances") > MAX_APPEARANCES)
+    nodes = written(degree.select("entity", "specificity", "rel_degree", hub.alias("hub")), "nodes")
+    rel = written(rel.select("subj", "pred", "obj", "support", "chunk_ids"), "rel")
+    known = written(seeds.select("question_id", "entity", "mass").where(F.col("mass") > 0).join(nodes, "entity"), "seeds")
+    ahead = _edges_ahead(known, rel, nodes)
+    asked = _searched(known, ahead, s)
+    none, text, listed = F.lit(None), F.lit(None).cast("string"), F.lit(None).cast("array<string>")
+    row = lambda df, kind, a=text, b=text, pred=text, support=none.cast("bigint"), ids=listed, found=none.cast("binary"): df.select(
+        "question_id", F.lit(kind).alias("kind"), a.alias("a"), b.alias("b"), pred.alias("pred"), support.alias("support"), ids.alias("ids"), found.alias("found")
+    )
+    inside = asked.where("kind = 'scope'").select("question_id", F.col("a").alias("entity"))
+    wanted = asked.where("kind IN ('scope', 'near')").select("question_id", F.col("a").alias("entity"))
+    of = appears.join(wanted.select("entity").distinct(), "entity", "left_semi").groupBy("entity").agg(F.collect_set("chunk_id").alias("ids"))
+    taken = asked.where("kind = 'edge'").select("question_id", F.col("a").alias("subj"), F.col("b").alias("obj")).join(rel, ["subj", "obj"])
+    parts = [
+        row(asked.where("kind = 'found'"), "found", found=F.col("found")),
+        row(inside.join(ahead.where("NOT reverse"), "entity"), "edge", F.col("entity"), F.col("other"), F.col("pred"), F.col("support")),
+        row(taken, "taken", F.col("subj"), F.col("obj"), F.col("pred"), F.col("support"), F.col("chunk_ids")),
+        row(wanted.join(of, "entity"), "chunks", F.col("entity"), ids=F.col("ids")),
+    ]
 
-    def search(group: pd.DataFrame) -> pd.DataFrame:
-        graph, masses = gathered(group)
-        found, figures = answer(graph, masses, s)
+    def rank(group: pd.DataFrame) -> pd.DataFrame:
+        steps, pops, entities, masses, specific = pickle.loads(next(iter(group.loc[group["kind"] == "found", "found"])))
+        paths = [Path(p[0][0], tuple(Step(*x) for x in p)) for p in steps]
+        within, chunks = set(entities), defaultdict(set)
+        edges: dict[tuple[str, str], dict[str, tuple[int, frozenset[str]]]] = {}
+        for r in group.itertuples():
+            if r.kind == "chunks":
+                chunks[r.a] = set(r.ids)
+            elif r.kind == "edge" and r.b in within:
+                edges.setdefault((r.a, r.b), {}).setdefault(r.pred, (int(r.support), frozenset()))
+            elif r.kind == "taken":
+                edges.setdefault((r.a, r.b), {})[r.pred] = (int(r.support), frozenset(r.ids))
+        ranked, figures = concluded(Local(edges, chunks, specific), masses, paths, pops, entities, s)
         qid = group["question_id"].iat[0]
-        return pd.DataFrame([(qid, c, w, k, lines, *figures.values()) for k, (c, w, lines) in enumerate(found)], columns=[x.split()[0] for x in schema.split(", ")])
+        return pd.DataFrame([(qid, c, w, k, lines, *figures.values()) for k, (c, w, lines) in enumerate(ranked)], columns=[x.split()[0] for x in _FOUND.split(", ")])
 
-    return rows.groupBy("question_id").applyInPandas(search, schema)
+    return reduce(DataFrame.unionByName, parts).groupBy("question_id").applyInPandas(rank, _FOUND)

@@ -178,3 +178,39 @@ def test_walk_moves_no_edges(spark, tmp_path):
     joined = table.hint("merge").join(frame.select(F.col("entity").alias("a")).distinct(), "a")
     plan = joined._jdf.queryExecution().executedPlan().toString()
     assert plan.count("hashpartitioning(a#") == 1 and "SelectedBucketsCount" in plan
+
+
+@pytest.mark.parametrize("settings", [Settings(), Settings(max_paths=7, max_entities=6), Settings(both_ways=False, hops=3), Settings(threshold=0.0, max_paths=9, max_entities=5)], ids=["whole", "few", "one way", "loose"])
+def test_retrieve_equals_a_plain_search_of_the_whole_graph(spark, settings):
+    rng = random.Random(8)
+    names = [f"e{k:02d}" for k in range(30)]
+    triples = [(a, rng.choice(["led", "met", "instance_of"]), b, f"c{rng.randrange(40):02d}") for a, b in (rng.sample(names, 2) for _ in range(110))]
+    chunks = [(f"c{k:02d}", rng.sample(names, 3)) for k in range(40)] + [(f"h{k}", ["e00", "e01"]) for k in range(31)]  # e00 and e01 are hubs
+    triples += [("e00", "led", "e01", "c01"), ("e02", "led", "e00", "c02"), ("e02", "gone", "e03", None)]
+    appears, rel, degree = tables(spark, triples, chunks)
+    asked = [("p", "e00", 0.5), ("p", "e01", 0.3), ("p", "e02", 0.2), ("q", "e05", 1.0), ("q", "e06", 0.0)]
+    got = graph_search.retrieve(spark.createDataFrame(asked, "question_id string, entity string, mass double"), appears, rel, degree, settings).collect()
+    edges, of = {}, defaultdict(set)
+    for r in rel.collect():
+        edges.setdefault((r.subj, r.obj), {})[r.pred] = (r.support, frozenset(r.chunk_ids))
+    for r in appears.collect():
+        of[r.entity].add(r.chunk_id)
+    d = degree.collect()
+    hubs = {r.entity for r in d if r.total_degree > graph.MAX_DEGREE or r.appearances > graph.MAX_APPEARANCES}
+    assert {"e00", "e01"} <= hubs
+    whole = Local(edges, of, {r.entity: r.specificity for r in d}, hubs, defaultdict(int, {r.entity: r.rel_degree for r in d}))
+    for q in "pq":
+        want, figures = graph_search.answer(whole, {e: m for i, e, m in asked if i == q and m > 0}, settings)
+        rows = sorted((r for r in got if r.question_id == q), key=lambda r: r["rank"])
+        assert [(r.chunk_id, r.path_lines) for r in rows] == [(c, lines) for c, _, lines in want] and [r.score for r in rows] == pytest.approx([w for _, w, _ in want])
+        assert {k: rows[0][k] for k in figures} == pytest.approx(figures)
+
+
+def test_retrieve_fetches_chunks_of_its_scope_only(spark, monkeypatch):
+    triples = [("s", "met", f"n{k:03d}", "c") for k in range(100)] + [(f"n{k:03d}", "met", f"m{k:03d}", "c") for k in range(100)]
+    appears, rel, degree = tables(spark, triples, [(f"c{k}", [f"n{k:03d}", f"m{k:03d}"]) for k in range(100)] + [("c", ["s"])])
+    seeds, seen = spark.createDataFrame([("q", "s", 1.0)], "question_id string, entity string, mass double"), []
+    monkeypatch.setattr(graph_search, "written", lambda df, name: seen.append((name, out := checkpoint.written(df, name))) or out)
+    graph_search.retrieve(seeds, appears, rel, degree, Settings(max_paths=5)).collect()
+    asked = [r for name, df in seen if name == "searched" for r in df.collect()]
+    assert sum(r.kind in ("scope", "near") for r in asked) == 6 and sum(r.kind == "edge" for r in asked) == 5
